@@ -5,14 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contextmill.llm import setsketch
+from contextmill.llm import runs, setsketch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL_OP2 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i+49], ' ') AS g FROM p),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM f WHERE first < doc_id),
+r AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT w.doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN r USING (doc_id))
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+FROM k
+"""
+
+
 def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
@@ -37,8 +57,8 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.x
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_setsketch_near_dedup": op10_setsketch_near_dedup}
+    return {"op2_substring_dedup": op2_substring_dedup, "op10_setsketch_near_dedup": op10_setsketch_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_setsketch_near_dedup": SQL_OP10}
+    return {"op2_substring_dedup": SQL_OP2, "op10_setsketch_near_dedup": SQL_OP10}
