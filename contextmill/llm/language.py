@@ -159,18 +159,29 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     return model
 
 
+def predictor(docs: DataFrame, model: Model) -> Column:
+    """The prediction of docs.text as a struct (lang_pred, score)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        known = shared.value
+        return pd.DataFrame([known.predict(t) for t in texts], columns=["lang_pred", "score"])
+
+    return predict(F.col("text").cast("string"))
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for every row of docs, from its whole text.
 
     ``und`` with score 0 if the text is null, has no letter, or nothing was learned. A tie goes to the language that
     comes first. Repeated rows and null doc_ids are rows like others; other columns are ignored. Empty input: no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), predictor(docs, model).alias("found"))
+    return found.select("doc_id", "found.lang_pred", "found.score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            found = [known.predict(t.as_py()) for t in batch.column("text")]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+def recognised(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
+    """The rows of docs, all columns, whose language is determined with a score of at least ``least``."""
+    found = predictor(docs, model)
+    return docs.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= least))

@@ -116,7 +116,10 @@ def _cut(window: int):
                     n_words.append(n)
                     n_removed.append(gone)
                     kept.append(b" ".join(words).decode("utf-8", "replace"))
-                yield pa.record_batch([batch.column("doc_id").slice(at, to - at), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                out = {"doc_id": batch.column("doc_id").slice(at, to - at), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())}
+                if "row" in batch.schema.names:
+                    out["row"] = batch.column("row").slice(at, to - at)
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
@@ -185,8 +188,8 @@ class WindowIndex:
             self.scratch.drop(*old)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept for every row of docs.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, carry: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept for every row of docs; with ``carry`` also row, a struct of all its columns.
 
     Words are runs of bytes other than space and \\t to \\r, unchanged. Each word that a window of ``window`` words covers
     whose word sequence also starts in a document with a smaller doc_id is removed; windows are judged on the input.
@@ -214,5 +217,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
             batch = reps.where((F.col("doc_id") >= cuts[k]) & (F.col("doc_id") < cuts[k + 1]))
             marks.append(index.add(batch, texts.where(F.col("doc_id") < cuts[k + 1]), f"batch-{k}"))
     decided = reduce(DataFrame.union, marks, copies).groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
-    out = texts.join(decided, "doc_id", "left").select("doc_id", "text", F.coalesce("marks", F.array().cast("array<long>")).alias("marks"))
-    return out.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")] + [F.struct(*docs.columns).alias("row")] * carry
+    chosen = docs.select(*own)
+    out = chosen.join(decided, "doc_id", "left").select(*chosen.columns, F.coalesce("marks", F.array().cast("array<long>")).alias("marks"))
+    kind = f", row {chosen.schema['row'].dataType.simpleString()}" if carry else ""
+    return out.mapInArrow(_cut(window), f"doc_id long, n_words long, n_removed long, kept string{kind}")
