@@ -149,23 +149,49 @@ def _estimates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield f.loc[f.estimate >= PERCENT / 100 - MARGIN, ["a", "b", "estimate"]]
 
 
+def _linked(f: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links of one cell that join different components, as few as join them; every pair's full sets are compared."""
+    elements, parts = [], [0]
+    for _, _, data, offsets in chunks(pa.array(f.text, pa.large_string())):
+        own, ends = shingle_sets(words_of(data, offsets, NOT_SPACE, FOLD))
+        elements.append(own)
+        parts.extend(parts[-1] + ends[1:])
+    size = np.diff(parts)
+    _, column, times = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(f)), size), times[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    block, rep = f.block.to_numpy(), f.rep.to_numpy()
+    first, second = np.flatnonzero(block == f.left.iloc[0]), np.flatnonzero(block == f.right.iloc[0])
+    common, width = np.zeros((len(first), len(second)), np.float32), 1 << 13
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        x, y = np.searchsorted(column, [lo, lo + width])
+        there = np.zeros((len(f), width), np.float32)
+        there[owner[x:y], column[x:y] - lo] = 1
+        common += there[first] @ there[second].T
+    both = common.astype(np.int64)
+    top, out = f.component.to_numpy(), []
+    above = {}
+
+    def root(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            x = up
+        return x
+
+    near = (100 * both >= PERCENT * (size[first][:, None] + size[second][None, :] - both)) & (top[first][:, None] != top[second][None, :])
+    for i, j in np.argwhere(near):
+        i, j = first[i], second[j]
+        x, y = root(top[i]), root(top[j])
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+    return out
+
+
 def _cells(f: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one cell of a large bucket that may be links between different components."""
-    out = []
-    first, second = f[f.block == f.left], f[f.block == f.right]
-    b = np.frombuffer(b"".join(second["sketch"]), np.uint8).reshape(len(second), -1)
-    n_b, comp_b, id_b = (second[c].to_numpy() for c in ("n", "component", "rep"))
-    same = bool(len(f)) and f.left.iloc[0] == f.right.iloc[0]
-    for sketch, n, comp, rep in zip(first["sketch"], first["n"], first["component"], first["rep"], strict=True):
-        near = (comp_b != comp) & (100 * np.minimum(n_b, n) >= PERCENT * np.maximum(n_b, n))
-        if same:
-            near &= id_b > rep
-        at = np.flatnonzero(near)
-        if len(at):
-            a = np.broadcast_to(np.frombuffer(sketch, np.uint8), (len(at), b.shape[1]))
-            at = at[similarity(a, b[at], np.full(len(at), float(n)), n_b[at].astype(float)) >= PERCENT / 100 - MARGIN]
-            out.append(pd.DataFrame({"a": np.minimum(id_b[at], rep), "b": np.maximum(id_b[at], rep)}))
-    return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    links = [pair for _, cell in f.groupby("key", sort=False) for pair in _linked(cell)]
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
 def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,8 +229,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equal; a null doc_id stays alone with component null and kept true. Other columns are ignored. Empty input: no rows.
 
     Documents with equal sets are one class, so copies never pair. A bucket (members of a band key) links each member
-    with the smallest one; members that this leaves in different components are compared block by block, so no link
-    is lost to the bucket's size, and a large group of near copies costs one pair a member. With 64 bands of 6
+    with the smallest one; members that this leaves in different components are compared block by block on their full sets, so no
+    link is lost to the bucket's size, and a large group of near copies costs one pair a member. With 64 bands of 6
     registers a pair at the threshold shares no bucket with a probability of about four in a million.
     """
     spark = docs.sparkSession
@@ -222,7 +248,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fits = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
     stars = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     likely = scratch.save(stars.join(b, "b").join(a, "a").where(fits).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInPandas(_estimates, "a long, b long, estimate double"), "likely")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(reps.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    # texts of documents that share a bucket, written once: later steps move only these
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    texts = scratch.save(texts.join(buckets.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "texts")
 
     def asked(pairs: DataFrame) -> DataFrame:
         """Texts of the documents in pairs; equal sets of one doc_id make any of its rows fit."""
@@ -246,17 +274,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = components(links, scratch, "second")
     # buckets of three and more whose members lie in different components: compare those members with each other
     crowded = placed(buckets.where("size > 2").select("key", "rep", "size"), found)
-    mixed = crowded.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    crowded = scratch.save(crowded.join(mixed, "key", "left_semi"), "crowded")
-    if not crowded.isEmpty():
-        # every pair of blocks of a bucket is a cell; a member goes to the cells of its block
+    mixed = crowded.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.first("size").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2")).where("c1 <> c2")
+    mixed = mixed.groupBy("size", "m1", "m2").agg(F.min("key").alias("key"))  # bands whose buckets have the same members count once
+    crowded = scratch.save(crowded.join(mixed.select("key"), "key", "left_semi"), "crowded")
+    rows = crowded.count()
+    if rows:
+        # every pair of blocks of a bucket is a cell, and a member goes to the cells of its block; small buckets go in bundles
         dealt = crowded.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-        cells = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", "rep", "component", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-        pairs = cells.join(slim, "rep").groupBy("key", "left", "right").applyInPandas(_cells, "a long, b long").distinct()
-        pairs = scratch.save(pairs.join(likely, ["a", "b"], "left_anti"), "cross")
-        if not pairs.isEmpty():
-            links = links.union(scratch.save(confirmed(pairs, asked(pairs)), "links-3"))
-            found = components(links, scratch, "third")
+        bundle = F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(rows // (4 * BLOCK) + 1)))
+        cells = dealt.withColumn("bundle", bundle).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        cells = cells.select("bundle", "key", "rep", "component", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+        links = links.union(scratch.save(cells.join(texts, "rep").groupBy("bundle", "left", "right").applyInPandas(_cells, "a long, b long"), "links-3"))
+        found = components(links, scratch, "third")
     out = all_rows.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2"], "left")
     out = out.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     out = out.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
