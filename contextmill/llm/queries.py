@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextmill.llm import bpe, language, oph, runs, setsketch, templates
+from contextmill.llm import bpe, language, licenses, oph, runs, setsketch, templates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,9 +85,9 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.x
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_language_id, op2_substring_dedup, op3_fingerprints, op5_byte_bpe, op9_template_decontamination, op10_setsketch_near_dedup]
+    named = [op1_language_id, op2_substring_dedup, op3_fingerprints, op4_license_scan, op5_byte_bpe, op9_template_decontamination, op10_setsketch_near_dedup]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SQL_OP2, "op10_setsketch_near_dedup": SQL_OP10}
+    return {"op2_substring_dedup": SQL_OP2, "op4_license_scan": licenses.sql(), "op10_setsketch_near_dedup": SQL_OP10}
