@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextmill.llm import bpe, language, licenses, oph, runs, setsketch, templates
+from contextmill.llm import bpe, language, licenses, mincut, oph, runs, setsketch, templates, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = language.training_fold(F.col("doc_id"), 3, 1)
+    machine = toxicity.fit(docs.where(learn), table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, machine).select("doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -85,7 +96,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.x
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_language_id, op2_substring_dedup, op3_fingerprints, op4_license_scan, op5_byte_bpe, op9_template_decontamination, op10_setsketch_near_dedup]
+    named = [op1_language_id, op2_substring_dedup, op3_fingerprints, op4_license_scan, op5_byte_bpe, op6_toxicity, op7_mincut_html, op9_template_decontamination, op10_setsketch_near_dedup]
     return {f.__name__: f for f in named}
 
 
