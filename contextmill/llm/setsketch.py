@@ -32,7 +32,7 @@ PERCENT = 75
 MARGIN = 0.16
 SMALL = 64
 #: Members of a bucket that are compared with each other in one task, at most about twice this.
-BLOCK = 256
+BLOCK = 1024
 
 
 def shingle_sets(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +164,7 @@ def _linked(f: pd.DataFrame) -> list[tuple[int, int]]:
     owner, column = owner[order], column[order]
     block, rep = f.block.to_numpy(), f.rep.to_numpy()
     first, second = np.flatnonzero(block == f.left.iloc[0]), np.flatnonzero(block == f.right.iloc[0])
-    common, width = np.zeros((len(first), len(second)), np.float32), 1 << 13
+    common, width = np.zeros((len(first), len(second)), np.float32), 1 << 12
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         x, y = np.searchsorted(column, [lo, lo + width])
         there = np.zeros((len(f), width), np.float32)
@@ -240,9 +240,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = known.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
     owners = scratch.save(known.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "rep"), "owners")
     reps = scratch.save(known.join(owners.where("doc_id = rep").select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands"), "reps")
-    members = reps.select("rep", F.explode("bands").alias("key"))
+    members = reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
     pivots = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = scratch.save(members.join(pivots, "key").select("key", "rep", "pivot", "size"), "buckets")
+    buckets = scratch.save(members.join(pivots, "key").select("key", "rep", "n", "pivot", "size"), "buckets")
     slim = reps.select("rep", "n", "sketch")
     a, b = (slim.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     fits = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
@@ -273,15 +273,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(scratch.save(confirmed(open_pairs, asked(open_pairs)), "links-2"))
         found = components(links, scratch, "second")
     # buckets of three and more whose members lie in different components: compare those members with each other
-    crowded = placed(buckets.where("size > 2").select("key", "rep", "size"), found)
-    mixed = crowded.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.first("size").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2")).where("c1 <> c2")
-    mixed = mixed.groupBy("size", "m1", "m2").agg(F.min("key").alias("key"))  # bands whose buckets have the same members count once
-    crowded = scratch.save(crowded.join(mixed.select("key"), "key", "left_semi"), "crowded")
+    crowded = placed(buckets.where("size > 2").select("key", "rep", "n"), found)
+    apart_in = lambda df, *by: df.groupBy(*by).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2")).where("c1 <> c2")
+    crowded = crowded.join(apart_in(crowded, "key").select("key"), "key", "left_semi")
+    # linked sets differ in size by a quarter at most, so they lie in one class of sizes or in two that follow
+    level = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9)
+    crowded = scratch.save(crowded.withColumn("level", F.explode(F.array(level, level - 1))).select("key", "level", "rep", "component"), "sized")
+    mixed = apart_in(crowded, "key", "level").groupBy("size", "m1", "m2").agg(F.min(F.struct("key", "level")).alias("k"))  # groups with the same members count once
+    crowded = scratch.save(crowded.join(mixed.select("k.key", "k.level", "size"), ["key", "level"]), "crowded")
+    scratch.drop("sized")
     rows = crowded.count()
     if rows:
-        # every pair of blocks of a bucket is a cell, and a member goes to the cells of its block; small buckets go in bundles
-        dealt = crowded.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-        bundle = F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(rows // (4 * BLOCK) + 1)))
+        # every pair of blocks of a group is a cell, and a member goes to the cells of its block; small groups go in bundles
+        dealt = crowded.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("key", F.xxhash64("key", "level"))
+        bundle = F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(rows // BLOCK + 1)))
         cells = dealt.withColumn("bundle", bundle).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         cells = cells.select("bundle", "key", "rep", "component", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
         links = links.union(scratch.save(cells.join(texts, "rep").groupBy("bundle", "left", "right").applyInPandas(_cells, "a long, b long"), "links-3"))
