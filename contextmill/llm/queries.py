@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextmill.llm import bpe, language, licenses, mincut, oph, runs, setsketch, templates, toxicity
+from contextmill.llm import bpe, language, licenses, lm, mincut, oph, runs, setsketch, templates, toxicity
+
+from contextmill.llm.scratch import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,14 @@ def op7_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_lbl_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = language.training_fold(F.col("doc_id"), 5, 1)
+    scratch = Scratch(spark, "lm")
+    out = lm.scores(docs, lm.fit(docs.where(learn), scratch), scratch)
+    return out.select("doc_id", (~learn).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -96,7 +106,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.x
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_language_id, op2_substring_dedup, op3_fingerprints, op4_license_scan, op5_byte_bpe, op6_toxicity, op7_mincut_html, op9_template_decontamination, op10_setsketch_near_dedup]
+    named = [op1_language_id, op2_substring_dedup, op3_fingerprints, op4_license_scan, op5_byte_bpe, op6_toxicity, op7_mincut_html, op8_lbl_score, op9_template_decontamination, op10_setsketch_near_dedup]
     return {f.__name__: f for f in named}
 
 
