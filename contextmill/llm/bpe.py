@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers; beyond it the memory starts anew, which changes the speed only.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 
 
 class Ranks:
@@ -27,28 +28,94 @@ class Ranks:
     def __init__(self, raw: bytes):
         self.id_of = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in raw.splitlines() if line.strip())}
         self.bytes_of = {i: token for token, i in self.id_of.items()}
+        self.sizes = {i: len(token) for token, i in self.id_of.items()}
         self.longest = max(map(len, self.id_of), default=1)
-        self.follows: dict[tuple[int, int], bool] = {}
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """Plain merging: the adjacent pair of lowest rank becomes one, until no pair is a token."""
+        self.follows: dict[int, bool] = {}
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.endings = ahocorasick.Automaton()
+        for token, i in self.id_of.items():
+            self.endings.add_word(token.decode("latin-1"), (i, len(token)))
+        self.endings.make_automaton()
+
+    def merged(self, data: bytes, below: int = 1 << 62) -> list[bytes]:
+        """Plain merging by tokens below a rank: the adjacent pair of lowest rank becomes one, the leftmost first."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            rank, at = min((self.id_of.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
-            if rank == 1 << 62:
+            rank, at = min((self.id_of.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1))
+            if rank >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def may_follow(self, left: int, right: int) -> bool:
-        known = self.follows.get((left, right))
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens that merge into this one; (-1, -1) for one that no merge makes."""
+        known = self.parts.get(token)
         if known is None:
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            known = self.follows[left, right] = self.merged(a + b) == [a, b]
-            if len(self.follows) > 4 * REMEMBERED:
-                self.follows.clear()
+            pair = self.merged(self.bytes_of[token], token)
+            known = self.parts[token] = (self.id_of[pair[0]], self.id_of[pair[1]]) if len(pair) == 2 else (-1, -1)
+        return known
+
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether merging the joint bytes of two tokens gives back just these two.
+
+        Merges are undone from the last one on. The tokens at the border must never have had a merge with each other of
+        lower rank than the merge that took one of them away; of equal ranks the merge further left came first.
+        """
+        known = self.follows.get(left << 20 | right)
+        if known is not None:
+            return known
+        if len(self.follows) > 4 * REMEMBERED:
+            self.follows.clear()
+        x, y, until = left, right, 1 << 62
+        while True:
+            if self.id_of.get(self.bytes_of[x] + self.bytes_of[y], 1 << 62) < until:
+                known = False
+                break
+            end, start = self.halves(x)[1], self.halves(y)[0]
+            if end >= 0 and (start < 0 or x > y):
+                x, until = end, x
+            elif start >= 0:
+                y, until = start, y + 1
+            else:
+                known = True
+                break
+        self.follows[left << 20 | right] = known
         return known
 
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Tokens of many pieces: their prefix tables, one behind the other, in one walk over all tokens that end anywhere."""
+        joined = "\u0100".join(x.decode("latin-1") for x in pieces)
+        last = [-1] * (len(joined) + 1)
+        ends, at = [], 0
+        for piece in pieces:
+            last[at] = -2  # a piece begins here: any token may
+            at += len(piece) + 1
+            ends.append(at - 1)
+        known, follows = self.follows.get, self.may_follow
+        for stop, (token, size) in self.endings.iter(joined):
+            stop += 1
+            if last[stop] == -1:
+                left = last[stop - size]
+                if left >= 0:
+                    fits = known(left << 20 | token)
+                    if fits or fits is None and follows(left, token):
+                        last[stop] = token
+                elif left == -2:
+                    last[stop] = token
+        out, begin, sizes = [], 0, self.sizes
+        for end in ends:
+            own, at = [], end
+            while at > begin:
+                token = last[at]
+                if token < 0:
+                    raise ValueError(f"the vocabulary has no token for byte {ord(joined[at - 1])}")
+                own.append(token)
+                at -= sizes[token]
+            own.reverse()
+            out.append(own)
+            begin = end + 1
+        return out
+
 
 class PrefixTable:
     """The last token of every prefix of one piece."""
@@ -146,32 +213,43 @@ class _Memory:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.new: list[int] = []
-        self.ends = [0]
-        self.flat, self.stops = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def encode(self, text: str) -> np.ndarray:
-        pieces = self.split(text)
-        number = self.number
-        try:
-            numbers = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        except KeyError:
-            if len(number) > REMEMBERED:
+        self.flat, self.stops = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+
+    def _add(self, pieces: list[str]) -> None:
+        """Encodes new pieces and puts their tokens behind the others; the arrays double when they are full."""
+        id_of, at = self.ranks.id_of, len(self.number)
+        raw = [piece.encode() for piece in pieces]
+        rest = iter(self.ranks.encode_pieces([x for x in raw if x not in id_of]))
+        tokens, ends = [], []
+        for x in raw:
+            if (whole := id_of.get(x)) is not None:  # a token's bytes are encoded as that token
+                tokens.append(whole)
+            else:
+                tokens += next(rest)
+            ends.append(len(tokens))
+        self.number.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+        have = int(self.stops[at])
+        while len(self.flat) < have + len(tokens):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while len(self.stops) < at + len(pieces) + 1:
+            self.stops = np.concatenate((self.stops, np.zeros_like(self.stops)))
+        self.flat[have : have + len(tokens)] = tokens
+        self.stops[at + 1 : at + len(pieces) + 1] = have + np.array(ends, np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.split(t) for t in texts]
+        new = list(set().union(*split).difference(self.number))
+        if new:
+            if len(self.number) + len(new) > REMEMBERED:
                 self.forget()
-                number = self.number
-            for piece in dict.fromkeys(pieces):
-                if piece not in number:
-                    raw = piece.encode()
-                    whole = self.ranks.id_of.get(raw)
-                    self.new += [whole] if whole is not None and len(raw) == 1 else PrefixTable(self.ranks, raw).tokens()
-                    number[piece] = len(self.ends) - 1
-                    self.ends.append(len(self.new))
-            numbers = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        if len(self.flat) != len(self.new):
-            grown = len(self.flat)
-            self.flat = np.concatenate((self.flat, np.array(self.new[grown:], np.int32)))
-            self.stops = np.array(self.ends, np.int64)
-        return _gather(self.flat, self.stops[numbers], self.stops[numbers + 1] - self.stops[numbers])
+                new = list(set().union(*split))
+            self._add(new)
+        out = []
+        for pieces in split:
+            numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+            start = self.stops[numbers]
+            out.append(_gather(self.flat, start, self.stops[numbers + 1] - start))
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         ids = ids.astype(np.int64)
@@ -213,12 +291,12 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool
             ids, texts = batch.column("doc_id"), batch.column("text")
             at = 0
             while at < len(texts):
-                to, size, parts = at, 0, []
+                to, size, own = at, 0, []
                 while to < len(texts) and size < 1 << 20:
-                    text = texts[to].as_py() or ""
-                    size += len(text)
-                    parts.append(memory.encode(text))
+                    own.append(texts[to].as_py() or "")
+                    size += len(own[-1])
                     to += 1
+                parts = memory.encode(own)
                 counts = np.array([len(x) for x in parts], np.int64)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(np.concatenate(parts)))
                 out = [ids.slice(at, to - at), pa.array(counts), tokens]
