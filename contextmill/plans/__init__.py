@@ -1,0 +1,9 @@
+"""Queries over the driver's tables: name -> (query, DuckDB SQL or None)."""
+
+from __future__ import annotations
+
+from contextmill.plans import analytics, commands, ranking, state
+
+
+def catalogue() -> dict:
+    return {**ranking.QUERIES, **analytics.QUERIES, **state.QUERIES, **commands.QUERIES}
