@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from contextmill.llm.scratch import Scratch
 from contextmill.llm.words import FOLD, NOT_SPACE, U, chunks, seeded, signed, words_of
@@ -188,7 +189,11 @@ def fit(training: DataFrame, scratch: Scratch, vocabulary: int = VOCABULARY, fre
     texts = training.select(F.col("text").cast("string").alias("text"))
     counts = scratch.save(texts.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    # the smallest count that at most ``frequent`` words reach: so no task sends more of them than there are in all
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    least = sizes.withColumn("so_far", F.sum("words").over(W.orderBy(F.desc("n")))).where(F.col("so_far") <= frequent).agg(F.min("n")).first()[0]
+    known = F.col("word") == int(signed(np.array([END]))[0])
+    top = counts.where(known if least is None else known | (F.col("n") >= least)).toPandas().sort_values(["n", "word"], ascending=[False, True])
     hashes, n = top.word.to_numpy(np.int64).view(U), top.n.to_numpy(np.int64)
     inside = np.zeros(len(hashes), bool)
     inside[: vocabulary - 1] = True
