@@ -273,19 +273,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(scratch.save(confirmed(open_pairs, asked(open_pairs)), "links-2"))
         found = components(links, scratch, "second")
     # buckets of three and more whose members lie in different components: compare those members with each other
-    crowded = placed(buckets.where("size > 2").select("key", "rep", "n"), found)
-    apart_in = lambda df, *by: df.groupBy(*by).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2")).where("c1 <> c2")
-    crowded = crowded.join(apart_in(crowded, "key").select("key"), "key", "left_semi")
-    # linked sets differ in size by a quarter at most, so they lie in one class of sizes or in two that follow
     level = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9)
-    crowded = scratch.save(crowded.withColumn("level", F.explode(F.array(level, level - 1))).select("key", "level", "rep", "component"), "sized")
-    mixed = apart_in(crowded, "key", "level").groupBy("size", "m1", "m2").agg(F.min(F.struct("key", "level")).alias("k"))  # groups with the same members count once
-    crowded = scratch.save(crowded.join(mixed.select("k.key", "k.level", "size"), ["key", "level"]), "crowded")
+    crowded = placed(buckets.where("size > 2").select("key", "rep", "n"), found).withColumn("level", level)
+
+    def apart_in(df: DataFrame, *by: str) -> DataFrame:
+        """Groups with members of different components; of groups with the same members one."""
+        sums = df.groupBy(*by).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2"), F.collect_set("level").alias("levels"))
+        return sums.where("c1 <> c2").groupBy("size", "m1", "m2").agg(F.min(F.struct(*by)).alias("k"), F.max("levels").alias("levels")).select("k.*", "size", "levels")
+
+    # linked sets differ in size by a quarter at most, so they lie in one class of sizes or in two that follow: a group
+    # is two classes that follow, or one that stands alone
+    has = lambda by: F.array_contains("levels", F.col("level") + by)
+    groups = F.array_compact(F.array(F.when(has(1), F.col("level")), F.when(has(-1), F.col("level") - 1), F.when(~has(1) & ~has(-1), F.col("level"))))
+    crowded = crowded.join(apart_in(crowded, "key").select("key", "levels"), "key").select("key", "rep", "component", "level", F.explode(groups).alias("group"))
+    crowded = scratch.save(crowded, "sized")
+    crowded = scratch.save(crowded.join(apart_in(crowded, "key", "group").select("key", "group", "size"), ["key", "group"]), "crowded")
     scratch.drop("sized")
     rows = crowded.count()
     if rows:
         # every pair of blocks of a group is a cell, and a member goes to the cells of its block; small groups go in bundles
-        dealt = crowded.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("key", F.xxhash64("key", "level"))
+        dealt = crowded.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("key", F.xxhash64("key", "group"))
         bundle = F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(rows // BLOCK + 1)))
         cells = dealt.withColumn("bundle", bundle).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         cells = cells.select("bundle", "key", "rep", "component", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
