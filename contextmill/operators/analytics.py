@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from contextmill.functions import scalar as S
 
-SAVED = F.greatest(F.col("original") - F.col("compressed"), F.lit(0))
+
+def saved() -> Column:
+    return F.greatest(F.col("original") - F.col("compressed"), F.lit(0))
 
 
 def heatmap(entries: DataFrame, n_runs: int | None = None) -> DataFrame:
@@ -18,7 +20,7 @@ def heatmap(entries: DataFrame, n_runs: int | None = None) -> DataFrame:
     """
     out = entries.groupBy("path").agg(
         F.count(F.lit(1)).alias("inclusions"), F.count_distinct("run").alias("runs"), F.sum("original").alias("original_tokens"), F.sum("compressed").alias("compressed_tokens"),
-        F.sum(SAVED).alias("saved_tokens"), F.max("compressed").alias("max_compressed"),
+        F.sum(saved()).alias("saved_tokens"), F.max("compressed").alias("max_compressed"),
     )
     total = F.broadcast(entries.agg(F.count_distinct("run").alias("all_runs")))
     out = out.crossJoin(total) if n_runs is None else out.withColumn("all_runs", F.lit(n_runs))
@@ -34,7 +36,7 @@ def stage_totals(entries: DataFrame) -> DataFrame:
     """Seven stages, always present: entries, tokens before and after, saved."""
     stages = ["cache_reuse", "symbol_extraction", "slicing", "compression", "snippet", "full", "delta"]
     dim = entries.sparkSession.createDataFrame([(s,) for s in stages], "stage string")
-    sums = entries.withColumn("stage", S.savings_stage(F.col("cache_status"), F.col("strategy"), F.lit(""))).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("original").alias("o"), F.sum("compressed").alias("c"), F.sum(SAVED).alias("s"))
+    sums = entries.withColumn("stage", S.savings_stage(F.col("cache_status"), F.col("strategy"), F.lit(""))).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("original").alias("o"), F.sum("compressed").alias("c"), F.sum(saved()).alias("s"))
     zero = F.lit(0).cast("long")
     return F.broadcast(dim).join(sums, "stage", "left").select("stage", F.coalesce("n", zero).alias("entries"), F.coalesce("o", zero).alias("tokens_before"), F.coalesce("c", zero).alias("tokens_after"), F.coalesce("s", zero).alias("tokens_saved"))
 
