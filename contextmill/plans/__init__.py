@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from contextmill.plans import analytics, commands, ranking, state
+from contextmill.plans import analytics, commands, ranking, reports, state
 
 
 def catalogue() -> dict:
-    return {**ranking.QUERIES, **analytics.QUERIES, **state.QUERIES, **commands.QUERIES}
+    return {**ranking.QUERIES, **analytics.QUERIES, **state.QUERIES, **commands.QUERIES, **reports.QUERIES}
