@@ -167,9 +167,10 @@ class WindowIndex:
         windows = texts.join(asked, "doc_id").select("doc_id", "text", "prints").mapInArrow(_windows(self.window), "w1 long, w2 int, doc_id long, mark long")
         windows = self.scratch.save(windows, f"{name}-windows")
         firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
+        firsts = self.scratch.save(firsts, f"{name}-firsts")  # a join of written tables: Spark can split a window that very many documents have
         late = windows.where(F.col("doc_id") >= edge[0]).join(firsts, ["w1", "w2"]).where("doc_id > first")
         marks = self.scratch.save(late.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), f"{name}-marks")
-        self.scratch.drop(f"{name}-windows")
+        self.scratch.drop(f"{name}-windows", f"{name}-firsts")
         self.compact()
         return marks
 
