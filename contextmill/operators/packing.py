@@ -21,6 +21,15 @@ def prefix_stop(ranked: DataFrame, budget: int, pack: list[str] | None = None) -
     return ranked.withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= budget)
 
 
+def best_within(rows: DataFrame, order: list[Column], budget: int) -> DataFrame:
+    """The first rows in the given order whose tokens (one at least in each) fit the budget, with rank and used.
+
+    So no more than ``budget`` rows can be taken: each task passes on its own first ones, and only these are ranked.
+    """
+    first = rows.where("tokens >= 1").orderBy(*order).limit(budget + 1)
+    return prefix_stop(first.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long")), budget)
+
+
 def greedy_skip(ranked: DataFrame, budget: int, pack: list[str]) -> DataFrame:
     """(pack, rank, used) of the rows that fit when rows that overflow are passed over. A pack is one ordered fold.
 

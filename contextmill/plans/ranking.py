@@ -13,26 +13,17 @@ from contextmill.sources import bindings as B
 KEYS = ["thatin", "ononst", "inoran", "hehely", "orantion"]
 BUDGET = 24_000
 _SCORE = " + ".join(f"least(4.0, 0.25 * CAST((length(lower(text)) - length(replace(lower(text), '{k}', ''))) / {len(k)} AS BIGINT))" for k in KEYS)
-_RANKED = f"""{B.SQL_FILES}, scored AS (SELECT doc_id, path, text, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, sha1(text) AS h, CAST({_SCORE} AS DOUBLE) AS score FROM files),
-ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)"""
+_SCORED = f"{B.SQL_FILES}, scored AS (SELECT doc_id, path, text, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, sha1(text) AS h, CAST({_SCORE} AS DOUBLE) AS score FROM files)"
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     return B.files(spark, d).select("doc_id", "path", "text", S.tokens(F.col("text")).alias("tokens"), F.sha1("text").alias("h"), ranking.content_score(F.col("text"), KEYS).alias("score"))
 
 
-def ranked(spark: SparkSession, d: str) -> DataFrame:
-    """The whole ranking needs a global order: only doc_id, tokens, hash and score go through that sort."""
-    slim = scored(spark, d).drop("text", "path").where("score > 0")
-    return slim.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")).cast("long"))
-
-
-def unique(spark: SparkSession, d: str) -> DataFrame:
-    return packing.first_of_each(ranked(spark, d), ["h"], [F.col("rank")])
-
-
 def pack_prefix_stop(spark: SparkSession, d: str) -> DataFrame:
-    return packing.prefix_stop(unique(spark, d), BUDGET).select("rank", "doc_id", "score", "tokens", F.col("used").alias("used_tokens"))
+    """Distinct texts by score, until the budget overflows. Only hash, id, tokens and score are shuffled."""
+    best = scored(spark, d).where("score > 0").groupBy("h").agg(F.min(F.struct((-F.col("score")).alias("order"), "doc_id", "tokens")).alias("b"))
+    return packing.best_within(best.select("b.doc_id", "b.tokens", (-F.col("b.order")).alias("score")), [F.desc("score"), F.asc("doc_id")], BUDGET).select("rank", "doc_id", "score", "tokens", F.col("used").alias("used_tokens"))
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
@@ -70,8 +61,8 @@ SELECT doc_id, CASE m WHEN 0 THEN 'test' WHEN 1 THEN 'docs' ELSE 'prod' END AS r
 
 
 def token_estimators(spark: SparkSession, d: str) -> DataFrame:
-    models = spark.createDataFrame([("heuristic",), ("gpt-4o",), ("claude-x",), ("unknown",)], "model string")
-    rows = B.files(spark, d).select("doc_id", "text").crossJoin(F.broadcast(models))  # four rows
+    models = F.array(*[F.lit(m) for m in ("heuristic", "gpt-4o", "claude-x", "unknown")])
+    rows = B.files(spark, d).select("doc_id", "text", F.explode(models).alias("model"))
     n = F.when(F.col("model") == "heuristic", S.tokens(F.col("text"))).otherwise(S.model_tokens(F.col("text"), F.col("model")))
     return rows.groupBy("model").agg(F.count(F.lit(1)).alias("samples"), F.sum(n).alias("tokens"))
 
@@ -228,10 +219,10 @@ SELECT path, CAST(line_no AS BIGINT) AS line_no, substring(line, 1, 200) AS text
 
 
 QUERIES = {
-    "rank_keyword_score": (lambda s, d: scored(s, d).where("score > 0").select("doc_id", "tokens", "score"), f"WITH {_RANKED} SELECT doc_id, tokens, score FROM ranked"),
+    "rank_keyword_score": (lambda s, d: scored(s, d).where("score > 0").select("doc_id", "tokens", "score"), f"WITH {_SCORED} SELECT doc_id, tokens, score FROM scored WHERE score > 0"),
     "rank_file_score": (rank_file_score, SQL_FILE_SCORE),
-    "pack_prefix_stop": (pack_prefix_stop, f"""WITH {_RANKED}, u AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY h ORDER BY rank) = 1)
-SELECT rank, doc_id, score, tokens, CAST(used AS BIGINT) AS used_tokens FROM (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM u) WHERE used <= {BUDGET}"""),
+    "pack_prefix_stop": (pack_prefix_stop, f"""WITH {_SCORED}, u AS (SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY h ORDER BY score DESC, doc_id) = 1), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM u)
+SELECT rank, doc_id, score, tokens, CAST(used AS BIGINT) AS used_tokens FROM (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM r) WHERE used <= {BUDGET}"""),
     "pack_greedy_skip": (pack_greedy_skip, f"""WITH RECURSIVE {B.SQL_PACKED}, o AS (SELECT run, position, compressed AS t, row_number() OVER (PARTITION BY run ORDER BY position, part, original, compressed) AS k FROM packed),
 g AS (SELECT run, k, CASE WHEN t <= 1500 THEN t ELSE 0 END AS used, t <= 1500 AS ok FROM o WHERE k = 1 UNION ALL
 SELECT o.run, o.k, g.used + CASE WHEN g.used + t <= 1500 THEN t ELSE 0 END, g.used + t <= 1500 FROM g JOIN o ON o.run = g.run AND o.k = g.k + 1)
