@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.!?,;:]")
 #: Elements whose content is no text of the page.
@@ -37,6 +37,8 @@ AGAINST = frozenset(
     "form search share sharing social related recommended recommendations recirc trending popular pagination pager toolbar skip tags disclaimer contentinfo complementary".split()
 )
 FOR = frozenset("article content main body post entry story text".split())
+#: Elements that hold whole pages; their class names tell of the layout, such as one with a sidebar.
+FRAMES = frozenset("html body main article".split())
 _SMOOTH = 1.5
 
 
@@ -59,7 +61,7 @@ def _evidence(tag: str, attributes: str, inside: bool) -> float:
             name = name.lower()
             if name in ("class", "id", "role"):
                 words = {w.lower() for w in _NAME.findall(value)}
-                if words & AGAINST:
+                if words & AGAINST and tag not in FRAMES:
                     total -= 3 if inside and words & {"header", "side", "text", "tags"} else 12
                 elif words & FOR:
                     total += 2

@@ -172,6 +172,11 @@ def test_main_text_of_a_page(spark):
     assert mincut.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_layout_classes_and_attributes_with_other_names():
+    page = '<body class="with-sidebar"><main class="has-comments"><p data-class="ad">One sentence, long enough to be text.</p><p hidden>Not this one, it is hidden text.</p></main><div class="sidebar">Links and more.</div></body>'
+    assert mincut.main_text(page) == "One sentence, long enough to be text."
+
+
 def test_main_text_of_all_pages_of_the_table(spark):
     page = spark.read.parquet(f"{SMALL}/pages.parquet")
     for r in mincut.extract(page).join(page.select("page_id", "html"), "page_id").collect():
