@@ -218,6 +218,17 @@ SQL_SEARCH = f"""WITH {B.SQL_FILES}, l AS (SELECT path, doc_id, unnest(string_sp
 SELECT path, CAST(line_no AS BIGINT) AS line_no, substring(line, 1, 200) AS text FROM l WHERE regexp_matches(line, '(?i)licen[cs]e|copyright') ORDER BY doc_id, line_no LIMIT 100"""
 
 
+def tier_builder(spark: SparkSession, d: str) -> DataFrame:
+    return packing.tier_texts(scored(spark, d).withColumn("score", F.col("score") * 10), KEYS)
+
+
+SQL_TIERS = f"""WITH {_SCORED}, l AS (SELECT path, text, score * 10 AS score, string_split(text, chr(10)) AS ls FROM scored),
+h AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(lower(ls[i]), '{'|'.join(KEYS)}'))[1:6] AS hits FROM l),
+x AS (SELECT *, array_to_string(list_filter(ls, lambda a, i: len(list_filter(hits, lambda k: abs(k - i) <= 1)) > 0), chr(10)) AS snip, array_to_string(list_filter(ls, lambda a: trim(a) <> '')[1:8], chr(10)) AS summ FROM h)
+SELECT path, 0::BIGINT AS place, 'full' AS tier, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM x WHERE ceil(length(text) / 4) <= 300
+UNION ALL SELECT path, 1, 'snippet', CAST(ceil(length(snip) / 4) AS BIGINT) FROM x WHERE score >= 2.5 AND len(hits) > 0 UNION ALL SELECT path, 2, 'summary', CAST(greatest(1, ceil(length(summ) / 4)) AS BIGINT) FROM x"""
+
+
 QUERIES = {
     "rank_keyword_score": (lambda s, d: scored(s, d).where("score > 0").select("doc_id", "tokens", "score"), f"WITH {_SCORED} SELECT doc_id, tokens, score FROM scored WHERE score > 0"),
     "rank_file_score": (rank_file_score, SQL_FILE_SCORE),
@@ -233,6 +244,7 @@ SELECT o.run, o.k, CASE WHEN g.used + t0 <= 1500 THEN 0 WHEN g.used + t1 <= 1500
 g.used + CASE WHEN g.used + t0 <= 1500 THEN t0 WHEN g.used + t1 <= 1500 THEN t1 WHEN g.used + t2 <= 1500 THEN t2 ELSE 0 END FROM g JOIN o ON o.run = g.run AND o.k = g.k + 1)
 SELECT run, k AS rank, tier, tokens, used FROM g WHERE tier IS NOT NULL"""),
     "pack_progressive": (pack_progressive, None),
+    "tier_builder": (tier_builder, SQL_TIERS),
     "token_estimators": (token_estimators, SQL_ESTIMATORS),
     "dup_reads_prevented": (dup_reads_prevented, "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicate_reads_prevented, CAST(sum((n - 1) * t) AS BIGINT) AS tokens_prevented FROM (SELECT count(*) AS n, max(ceil(length(coalesce(text, '')) / 4)) AS t FROM documents GROUP BY coalesce(text, ''))"),
     "line_dedup_first_seen": (line_dedup_first_seen, SQL_LINES),
