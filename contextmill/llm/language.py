@@ -23,6 +23,8 @@ BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 #: Documents of each language that the weights and the temperature are fitted on, about.
 SAMPLE_PER_LANGUAGE = 500
+#: Labels up to this number are broadcast with their shares; with more the join shuffles.
+BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -131,8 +133,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     known = stats[stats.bucket >= 0]
     df[known.bucket.to_numpy()] = known.n.to_numpy()
     idf = np.log((1 + total) / (1 + df)) + 1
-    sizes = rows.groupBy("lang").count()
-    shares = rows.join(F.broadcast(sizes.withColumn("share", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))).select("lang", "share")), "lang")
+    sizes = rows.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))).select("lang", "share")
+    few = sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    shares = rows.join(F.broadcast(sizes) if few else sizes, "lang")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = shares.where(draw < F.col("share")).where(F.col("text").rlike(r"\p{L}")).select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).alias("part"))
     seen = chosen.mapInPandas(_vectors, "lang string, part long, buckets array<int>, counts array<int>").toPandas()

@@ -24,6 +24,8 @@ BINS = 512
 BITS = 4
 #: Rows of a block of neighbouring documents, about.
 BLOCK_ROWS = 2000
+#: Beyond so many blocks they grow instead: a block is sorted and read as a stream, so its size costs no memory.
+MOST_BLOCKS = 10_000
 _probe = np.argsort(seeded(BINS * BINS, 4242).reshape(BINS, BINS), axis=1)
 
 
@@ -143,7 +145,7 @@ def neighbours(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     scratch = Scratch(spark, "fingerprints")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     count = rows.select("doc_id").count()
-    parts = max(1, count // block_rows)
+    parts = max(1, min(count // block_rows, MOST_BLOCKS))
     cuts = rows.select("doc_id").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
     bounds = spark.sparkContext.broadcast(np.unique(np.array(cuts)))  # one number for each block
 
