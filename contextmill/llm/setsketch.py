@@ -242,6 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = scratch.save(known.join(owners.where("doc_id = rep").select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands"), "reps")
     members = reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
     pivots = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    pivots = scratch.save(pivots, "pivots")  # a join of written tables: Spark can split a key that very many documents have
     buckets = scratch.save(members.join(pivots, "key").select("key", "rep", "n", "pivot", "size"), "buckets")
     slim = reps.select("rep", "n", "sketch")
     a, b = (slim.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
