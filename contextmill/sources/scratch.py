@@ -41,6 +41,13 @@ class Scratch:
         self.names[name] = self.path(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but the named ones."""
+        if gone := [n for n in self.names if n not in names]:
+            self.drop(*gone)
+            for n in gone:
+                del self.names[n]
+
     def drop(self, *names: str) -> None:
         """Deletes the named tables, or without names the whole folder."""
         try:
