@@ -217,6 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
         for k in range(batches):
             batch = reps.where((F.col("doc_id") >= cuts[k]) & (F.col("doc_id") < cuts[k + 1]))
             marks.append(index.add(batch, texts.where(F.col("doc_id") < cuts[k + 1]), f"batch-{k}"))
+    scratch.keep("survey", *(f"batch-{k}-marks" for k in range(batches)))  # the result reads these alone
     decided = reduce(DataFrame.union, marks, copies).groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")] + [F.struct(*docs.columns).alias("row")] * carry
     chosen = docs.select(*own)

@@ -299,6 +299,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         cells = cells.select("bundle", "key", "rep", "component", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
         links = links.union(scratch.save(cells.join(texts, "rep").groupBy("bundle", "left", "right").applyInPandas(_cells, "a long, b long"), "links-3"))
         found = components(links, scratch, "third")
+    found = scratch.save(found, "found")
+    scratch.keep("sketches", "found")  # the result reads these alone
     out = all_rows.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2"], "left")
     out = out.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     out = out.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
