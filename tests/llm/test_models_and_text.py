@@ -259,7 +259,7 @@ def test_pipeline_stages_against_brute_force(spark, reference):
 
 
 def test_pipeline_stages_on_awkward_rows(docs, no_docs, spark):
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", "row")
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", "row", F.lit(1).alias("kept_id"), F.lit(2).alias("leak"), F.lit(3).alias("kept"))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, rows, SMALL)
         assert out.count() <= rows.count() and (name == "byte_bpe" or out.columns == corpus_pipeline.COLUMNS)

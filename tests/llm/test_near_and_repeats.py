@@ -8,6 +8,8 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from contextmill.llm import oph, runs, setsketch
 from contextmill.llm.scratch import Scratch
@@ -181,3 +183,18 @@ def test_words_and_chunks_keep_texts_apart():
 def test_sha_of_kept_is_of_utf8(spark):
     r = runs.remove_repeats(spark.createDataFrame([(1, "é  ü\tx")], "doc_id long, text string")).first()
     assert hashlib.sha256(r.kept.encode()).hexdigest() == hashlib.sha256("é ü x".encode()).hexdigest()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab É\u00a0\t\n\x0b\x1c.Z", max_size=30), max_size=8), st.integers(1, 40))
+def test_words_are_those_of_the_pattern(texts, most):
+    """Equal words have equal hashes and others do not, wherever they stand and however texts are cut into pieces."""
+    hashes = {}
+    for at, to, data, offsets in chunks(pa.array(texts, pa.string()), most=most):
+        w = words_of(data, offsets, NOT_SPACE, FOLD)
+        for text, a, b in zip(texts[at:to], w.offsets[:-1], w.offsets[1:], strict=True):
+            found = WORD.findall(fold(text))
+            assert len(found) == b - a
+            for word, h in zip(found, w.hashes[a:b].tolist(), strict=True):
+                assert hashes.setdefault(word, h) == h
+    assert len(set(hashes.values())) == len(hashes)
