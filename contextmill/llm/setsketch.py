@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "near")
     all_rows = scratch.save(sketches(docs), "sketches")
     known = all_rows.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
+    # written, so that Spark can split the joins with it at a set that very many documents have
+    classes = scratch.save(known.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
     owners = scratch.save(known.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "rep"), "owners")
     reps = scratch.save(known.join(owners.where("doc_id = rep").select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands"), "reps")
     members = reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
@@ -300,7 +301,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(scratch.save(cells.join(texts, "rep").groupBy("bundle", "left", "right").applyInPandas(_cells, "a long, b long"), "links-3"))
         found = components(links, scratch, "third")
     found = scratch.save(found, "found")
-    scratch.keep("sketches", "found")  # the result reads these alone
+    scratch.keep("sketches", "classes", "found")  # the result reads these alone
     out = all_rows.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2"], "left")
     out = out.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     out = out.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
