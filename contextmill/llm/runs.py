@@ -206,7 +206,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = scratch.save(texts.mapInArrow(_survey(window), "doc_id long, n_words long, key1 long, key2 long, prints array<long>"), "survey")
     able = found.where(f"n_words >= {window} and doc_id is not null")
-    firsts = able.groupBy("key1", "key2").agg(F.min("doc_id").alias("first"))
+    # written, so that Spark can split the join with it at a sequence that very many documents have
+    firsts = scratch.save(able.groupBy("key1", "key2").agg(F.min("doc_id").alias("first")), "sequences")
     marked = able.join(firsts, ["key1", "key2"])
     copies = marked.where("doc_id > first").select("doc_id", F.expr(f"array(shiftleft(key1 & {_TAG}L, 32) | {_ALL}L)").alias("marks"))
     reps = scratch.save(marked.where("doc_id = first").select("doc_id", "prints"), "first")
@@ -217,7 +218,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
         for k in range(batches):
             batch = reps.where((F.col("doc_id") >= cuts[k]) & (F.col("doc_id") < cuts[k + 1]))
             marks.append(index.add(batch, texts.where(F.col("doc_id") < cuts[k + 1]), f"batch-{k}"))
-    scratch.keep("survey", *(f"batch-{k}-marks" for k in range(batches)))  # the result reads these alone
+    scratch.keep("survey", "sequences", *(f"batch-{k}-marks" for k in range(batches)))  # the result reads these alone
     decided = reduce(DataFrame.union, marks, copies).groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")] + [F.struct(*docs.columns).alias("row")] * carry
     chosen = docs.select(*own)
