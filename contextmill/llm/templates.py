@@ -1,13 +1,16 @@
 """Operator 9: benchmark decontamination by templates.
 
 Numbers, names and units become typed placeholders, so a question with other values has the same template. Windows of
-eight template tokens are hash-joined between documents and benchmark items; matches on one diagonal (same shift between
-document and item) must map the item's slot values one to one onto the document's, and have to cover half of the item's
-windows.
+template tokens are hash-joined between documents and benchmark items, in three forms: as they are in any case (so exact
+copies meet whatever they hold), with placeholders where half of the tokens at least stay literal, and with some capitalised
+words that begin a sentence as names too. Windows have eight tokens, fewer for short items, so that one changed word
+leaves half of them. What meets at nearby shifts between document and item forms one alignment in ascending order; its
+slot values map one to one, and it has to cover half of the item's windows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextmill.llm.scratch import Scratch
-from contextmill.llm.words import FOLD, U, Words, chunks, mix, seeded, signed, spans, words_of
+from contextmill.llm.words import _BASE, FOLD, U, Words, _powers_of, chunks, mix, seeded, signed, spans, words_of
 
 WINDOW = 8
 #: Items with fewer tokens are too short to recognise and match nothing.
@@ -42,20 +45,26 @@ NUMBER, NAME, UNIT = seeded(3, 909)
 _unit_hashes = np.sort(words_of(np.frombuffer(" ".join(UNITS).encode(), np.uint8), np.array([0, len(" ".join(UNITS))]), _TOKEN, FOLD).hashes)
 
 
-def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Tokens, their template hashes, and whether each is a slot.
-
-    A token is a run of letters and digits (bytes from 128 count as letters); a point or comma between digits belongs to
-    the number. Tokens with a digit are numbers; capitalised tokens that do not begin a sentence or line are names.
-    """
+def _joined_numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with digits for points and commas that lie between digits, and where these are."""
     digit = _DIGIT[data]
     marks = np.zeros(len(data), bool)
     if len(data) > 2:
         marks[1:-1] = ((data[1:-1] == 44) | (data[1:-1] == 46)) & digit[:-2] & digit[2:]
-    seen = data if not marks.any() else np.where(marks, np.uint8(48), data)
+    return (data if not marks.any() else np.where(marks, np.uint8(48), data)), marks
+
+
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, their template hashes, whether each is a slot, and whether it may be one.
+
+    A token is a run of letters and digits (bytes from 128 count as letters); a point or comma between digits belongs to
+    the number. Tokens with a digit are numbers; capitalised tokens that do not begin a sentence or line are names, and
+    those that do may be.
+    """
+    seen, marks = _joined_numbers(data)
     w = words_of(seen, offsets, _TOKEN, FOLD)
     count = lambda flags: np.concatenate(([0], np.cumsum(flags)))
-    digits, stops = count(digit), count(_STOP[data] & ~marks)
+    digits, stops = count(_DIGIT[data]), count(_STOP[data] & ~marks)
     number = digits[w.end] > digits[w.start]
     head = data[w.start]
     second = data[np.minimum(w.start + 1, len(data) - 1)] if len(data) else head
@@ -67,11 +76,50 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     unit = (_unit_hashes[at] == w.hashes) & ~number
     name = upper & ~opens & ~number & ~unit
     kind = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, w.hashes)))
-    return w, kind, number | name | unit
+    return w, kind, number | name | unit, upper & opens & ~number & ~unit
+
+
+def window_size(total: np.ndarray | int, window: int = WINDOW):
+    """Tokens in the windows of an item: all of a short item, else so many that one changed token leaves half of the windows."""
+    return np.where(np.asarray(total) <= window, total, np.minimum(window, (np.asarray(total) + 1) // 3))
+
+
+#: Forms of a window: its words in lower case; placeholders; placeholders, with words that begin a sentence as names.
+LITERAL, TEMPLATE, NAMED = 0, 1, 2
+_AS_WORDS, _AS_TEMPLATE = 0x2127599BF4325C37, 0x4CF5AD432745937F
+
 
+def _forms(where: np.ndarray, size: int, words: np.ndarray, kind: np.ndarray, slot: np.ndarray, maybe: np.ndarray):
+    """(form, windows, hashes, names): each form of the windows; names are arrays of the places of chosen sentence beginnings."""
+    yield LITERAL, where, spans(words, where, where + size, _AS_WORDS), []
+    slots = np.concatenate(([0], np.cumsum(slot)))
+    own = where[slots[where + size] > slots[where]]  # without a slot it is the literal form
+    yield TEMPLATE, own, spans(kind, own, own + size, _AS_TEMPLATE), []
+    begins = np.flatnonzero(maybe)
+    if not len(begins):
+        return
+    up, down = _powers_of(_AS_TEMPLATE, len(kind) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate(([U(0)], np.cumsum(kind * up[: len(kind)])))
+        change = (NAME - kind[begins]) * up[begins]  # of the sum when the word counts as a name
+        so_far = np.concatenate(([0], np.cumsum(maybe)))
+        own = where[so_far[where + size] > so_far[where]]
+        first, held = so_far[own], so_far[own + size] - so_far[own]
+        todo = [(0, own, first, held, total[own + size] - total[own], [])]
+        while todo:  # one more chosen beginning at a time, in ascending order
+            least, own, first, held, sums, names = todo.pop()
+            for b in range(least, size):
+                more = held > b
+                if not more.any():
+                    break
+                at = first[more] + b
+                part = (own[more], first[more], held[more], sums[more] + change[at], [*(x[more] for x in names), begins[at]])
+                yield NAMED, part[0], mix(part[3] * down[part[0]] + U(size) * U(_BASE)), part[4]
+                todo.append((b + 1, *part))
 
-def _windows(sizes: list[int], filtered: object, whole_items: bool):
-    """Rows of windows: id, at, size, hash, slots (hashes of the slots' own words in order), literals, total."""
+
+def _windows(sizes: list[int], filtered: object, whole_items: bool, window: int = WINDOW):
+    """Rows of windows: id, at, size, hash, form, slots (hashes of the slots' own words in order), literals, total."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = filtered.value if filtered is not None else None
@@ -80,37 +128,43 @@ def _windows(sizes: list[int], filtered: object, whole_items: bool):
             gate[(wanted >> U(42)).astype(np.int64)] = True
         for batch in batches:
             for lo, to, data, offsets in chunks(batch.column("text")):
-                w, kind, slot = tokens_of(data, offsets)
+                if wanted is not None and not len(wanted):
+                    continue
+                w, kind, slot, maybe = tokens_of(data, offsets)
                 total = np.repeat(w.counts, w.counts)
                 left = np.repeat(w.offsets[1:], w.counts) - np.arange(len(kind))
                 for size in sizes:
                     fits = left >= size
                     if whole_items:
-                        fits &= (total >= SHORTEST) & (np.minimum(total, WINDOW) == size)
-                    where = np.flatnonzero(fits)
-                    hashes = spans(kind, where, where + size, 0x4CF5AD432745937F)
-                    if wanted is not None and len(wanted):
-                        near = gate[(hashes >> U(42)).astype(np.int64)]
-                        where, hashes = where[near], hashes[near]
-                        at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                        same = wanted[at] == hashes
-                        where, hashes = where[same], hashes[same]
-                    for s in range(0, len(where), 1 << 15):
-                        part, own = where[s : s + (1 << 15)], hashes[s : s + (1 << 15)]
-                        inside = part[:, None] + np.arange(size)
-                        held = slot[inside]
-                        ends = np.concatenate(([0], np.cumsum(held.sum(1)))).astype(np.int32)
-                        owner = np.searchsorted(w.offsets, part, "right") - 1
-                        yield pa.record_batch(
-                            [batch.column("id").take(pa.array(lo + owner)), pa.array((part - w.offsets[owner]).astype(np.int64)), pa.array(np.full(len(part), size, np.int32)), pa.array(signed(own)),
-                             pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(mix(w.hashes[inside][held])))), pa.array((~held).sum(1).astype(np.int32)), pa.array(total[part].astype(np.int64))],
-                            ["id", "at", "size", "hash", "slots", "literals", "total"],
-                        )
+                        fits &= (total >= SHORTEST) & (window_size(total, window) == size)
+                    starts = np.flatnonzero(fits)
+                    for s in range(0, len(starts), 1 << 15):
+                        part = starts[s : s + (1 << 15)]
+                        a, b = part[0], part[-1] + size
+                        for form, where, hashes, names in _forms(part - a, size, w.hashes[a:b], kind[a:b], slot[a:b], maybe[a:b]):
+                            where, names = where + a, [at + a for at in names]
+                            if wanted is not None:
+                                near = np.flatnonzero(gate[(hashes >> U(42)).astype(np.int64)])
+                                same = near[wanted[np.minimum(np.searchsorted(wanted, hashes[near]), len(wanted) - 1)] == hashes[near]]
+                                where, hashes, names = where[same], hashes[same], [at[same] for at in names]
+                            if not len(where):
+                                continue
+                            inside = where[:, None] + np.arange(size)
+                            held = slot[inside] if form != LITERAL else np.zeros(inside.shape, bool)
+                            for at in names:
+                                held[np.arange(len(where)), at - where] = True
+                            ends = np.concatenate(([0], np.cumsum(held.sum(1)))).astype(np.int32)
+                            owner = np.searchsorted(w.offsets, where, "right") - 1
+                            yield pa.record_batch(
+                                [batch.column("id").take(pa.array(lo + owner)), pa.array((where - w.offsets[owner]).astype(np.int64)), pa.array(np.full(len(where), size, np.int32)), pa.array(signed(hashes)),
+                                 pa.array(np.full(len(where), form, np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(mix(w.hashes[inside][held])))), pa.array((~(held | slot[inside])).sum(1).astype(np.int32)), pa.array(total[where].astype(np.int64))],
+                                ["id", "at", "size", "hash", "form", "slots", "literals", "total"],
+                            )
 
     return run
 
 
-_ROWS = "id long, at long, size int, hash long, slots array<long>, literals int, total long"
+_ROWS = "id long, at long, size int, hash long, form int, slots array<long>, literals int, total long"
 
 
 def one_to_one(left: Column, right: Column) -> Column:
@@ -119,34 +173,101 @@ def one_to_one(left: Column, right: Column) -> Column:
     return (F.size(left) == F.size(right)) & (F.size(F.array_distinct(left)) == pairs) & (F.size(F.array_distinct(right)) == pairs)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def _joined(pairs: list[tuple[int, int]], to: dict[int, int], back: dict[int, int]) -> tuple[dict[int, int], dict[int, int]] | None:
+    """The one-to-one map with more pairs, or None if they contradict it."""
+    to, back = dict(to), dict(back)
+    for a, b in pairs:
+        if to.setdefault(a, b) != b or back.setdefault(b, a) != a:
+            return None
+    return to, back
+
+
+def aligned(windows: list[tuple[int, int, int, list[int], list[int]]]) -> int:
+    """Number of item windows on one alignment. windows: (shift, item_at, form, slots, item_slots).
+
+    Shifts join it by their number of windows: all of a shift's windows if their slot values together map one to one
+    with those before, else those of the same words. Windows with sentence beginnings as names join one by one. Places in
+    the document ascend with those in the item.
+    """
+    shifts: dict[int, tuple[set, dict, list]] = {}
+    for shift, at, form, slots, own in sorted(windows, key=lambda x: x[:3]):
+        literal, template, named = shifts.setdefault(shift, (set(), {}, []))
+        if form == LITERAL:
+            literal.add(at)
+        elif form == TEMPLATE:
+            template.setdefault(at, []).extend(zip(own, slots, strict=True))
+        else:
+            named.append((at, list(zip(own, slots, strict=True))))
+    together = lambda template: [p for pairs in template.values() for p in pairs]
+    whole = {s: len(x[0] | set(x[1])) if _joined(together(x[1]), {}, {}) else len(x[0]) for s, x in shifts.items()}
+    most = {s: (-n, -len({at for at, _ in shifts[s][2]}), s) for s, n in whole.items()}
+    places: list[int] = []
+    shift_at: dict[int, int] = {}
+
+    def ascends(at: int, shift: int) -> bool:
+        k = bisect_left(places, at)
+        if k < len(places) and places[k] == at:
+            return False
+        return (k == 0 or shift_at[places[k - 1]] + places[k - 1] < shift + at) and (k == len(places) or shift + at < shift_at[places[k]] + places[k])
+
+    def add(at: int, shift: int) -> None:
+        if ascends(at, shift):
+            places.insert(bisect_left(places, at), at)
+            shift_at[at] = shift
+
+    known: tuple[dict, dict] = ({}, {})
+    for s in sorted(shifts, key=most.get):
+        literal, template, _ = shifts[s]
+        template = {at: pairs for at, pairs in template.items() if ascends(at, s)}
+        more = _joined(together(template), *known)
+        known = more or known
+        for at in sorted(literal | set(template) if more else literal):
+            add(at, s)
+    for s in sorted(shifts, key=most.get):
+        for at, pairs in shifts[s][2]:
+            more = _joined(pairs, *known) if ascends(at, s) else None
+            if more:
+                known = more
+                add(at, s)
+    return len(places)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = 0.0) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage): the best consistent alignment of every document and item that meet.
 
-    A window counts if its slot values map one to one, and an alignment if all of its slot values together do; else the
-    windows whose slots are the same words in both still count. Items and documents with null text match nothing.
+    A window counts if its slot values map one to one, and an alignment (windows at shifts that differ by less than the
+    item's length) as in ``aligned``. Pairs that cannot reach the least coverage may be left out. Items and documents with
+    null text match nothing.
     """
     scratch = Scratch(docs.sparkSession, "templates")
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").distinct()
-    sizes = list(range(SHORTEST, window + 1))
-    of_items = items.mapInArrow(_windows(sizes, None, True), _ROWS).where("2 * literals >= size")
-    of_items = scratch.save(of_items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "size", "hash", F.col("slots").alias("item_slots")), "items")
+    sizes = list(range(min(SHORTEST, int(window_size(window + 1, window))), window + 1))
+    of_items = items.mapInArrow(_windows(sizes, None, True, window), _ROWS).where("2 * literals >= size")
+    of_items = scratch.save(of_items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "size", "hash", "form", F.col("slots").alias("item_slots"), "total"), "items")
     filtered = None
     if of_items.count() <= BROADCAST_WINDOWS:  # the size is checked: at most 16 MB; otherwise every window takes part in the join
         held = of_items.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(U)
         filtered = docs.sparkSession.sparkContext.broadcast(np.sort(held))
     used = [r["size"] for r in of_items.select("size").distinct().collect()] or [window]
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_windows(sorted(used), filtered, False), _ROWS).select(F.col("id").alias("doc_id"), "at", "size", "hash", "slots")
-    met = found.join(of_items, ["hash", "size"]).where(one_to_one(F.col("slots"), F.col("item_slots")))
-    met = met.withColumn("literal", F.expr("slots = item_slots"))
-    lines = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.count_distinct("item_at").alias("all_windows"), F.count_distinct(F.when(F.col("literal"), F.col("item_at"))).alias("same_windows"),
-        F.flatten(F.collect_list("slots")).alias("l"), F.flatten(F.collect_list("item_slots")).alias("r"),
-    )
-    lines = lines.withColumn("matched", F.when(one_to_one(F.col("l"), F.col("r")), F.col("all_windows")).otherwise(F.col("same_windows")))
-    best = lines.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+    found = texts.mapInArrow(_windows(sorted(used), filtered, False), _ROWS).select(F.col("id").alias("doc_id"), "at", "size", "hash", "form", "slots")
+    met = found.join(of_items.drop("form"), ["hash", "size"]).where(one_to_one(F.col("slots"), F.col("item_slots")))
+    met = met.withColumn("shift", F.col("at") - F.col("item_at"))
+    # every two shifts of a document and item that differ by less than its length share a part, and a part has at most twice as many
+    part = F.floor(F.col("shift") / F.col("total"))
+    met = met.withColumn("part", F.explode(F.array(part, part + 1)))
+    lines = met.groupBy("doc_id", "item_id", "part").agg(F.collect_set(F.struct("shift", "item_at", "form", "slots", "item_slots")).alias("met"))
     per_item = of_items.groupBy("item_id").agg(F.count_distinct("item_at").alias("windows"))
-    return best.join(per_item, "item_id").select("doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"))
+    lines = lines.join(per_item, "item_id").where(F.size(F.array_distinct("met.item_at")) >= F.lit(least) * F.col("windows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [aligned([tuple(x.values()) for x in found.as_py()]) for found in b.column("met")]
+            yield pa.record_batch([b.column("doc_id"), b.column("item_id"), pa.array(counts, pa.int64()), b.column("windows")], ["doc_id", "item_id", "matched", "windows"])
+
+    best = lines.select("doc_id", "item_id", "windows", "met").mapInArrow(run, "doc_id long, item_id long, matched long, windows long")
+    best = best.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("windows").alias("windows"))
+    return best.select("doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -155,7 +276,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     Rows that repeat a doc_id, null included, are judged as one document. Empty and null texts are clean. Other columns
     are ignored; repeated items count once for each item_id. Empty benchmark: all clean. Empty docs: no rows.
     """
-    hits = matches(docs, benchmark).where(F.col("coverage") >= coverage)
+    hits = matches(docs, benchmark, least=coverage).where(F.col("coverage") >= coverage)
     leaks = hits.groupBy(F.col("doc_id").alias("leak")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("coverage"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(leaks, F.col("doc_id").eqNullSafe(F.col("leak")) & F.col("items").isNotNull(), "left")
     return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))

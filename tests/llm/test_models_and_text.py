@@ -226,6 +226,39 @@ def test_templates_catch_new_numbers_but_not_inconsistent_ones(spark):
     assert templates.contaminated(docs, bench.limit(0)).where("contaminated").count() == 0 and templates.contaminated(docs.limit(0), bench).count() == 0
 
 
+def judged(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = templates.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench)
+    return [list(r["items"]) for r in found.orderBy("doc_id").collect()]
+
+
+def test_templates_survive_a_changed_inserted_or_deleted_word(spark):
+    words = "one can often see how the old grey river runs past all these small towns before it meets that cold northern sea at last".split()
+    items, texts, want = [], [], []
+    for n in range(9, len(words) + 1):
+        item = words[:n]
+        items.append(" ".join([*item[:-1], f"end{n}"]))
+        middle = n // 2
+        for text in (item[:middle] + ["zzz"] + item[middle + 1 :], item[:middle] + ["zzz"] + item[middle:], item[:middle] + item[middle + 1 :]):
+            texts.append(" ".join([*text[:-1], f"end{n}"]))
+            want.append(n - 9)
+    assert [k in found for k, found in zip(want, judged(spark, items, texts), strict=True)] == [True] * len(want)
+    scattered = " ".join(f"{a} q{k} r{k}" for k, a in enumerate(words))
+    assert judged(spark, items, [scattered, " ".join(reversed(words))]) == [[], []]
+
+
+def test_templates_find_names_that_begin_sentences_or_have_two_words(spark):
+    apples = "Alice has 3 apples. Bob gives her 4 apples. How many apples does Alice have now?"
+    berlin = "The fast train leaves from Berlin at 9 and then travels all night to the sea"
+    texts = [
+        "Carol has 7 apples. Dave gives her 9 apples. How many apples does Carol have now?",
+        "well, Carol has 7 apples. Dave gives her 9 apples. how many apples does Carol have now?",
+        "The fast train leaves from New York at 8 and then travels all night to the sea",
+        "Carol has 7 pears. Nobody knows why. How many people live in Rome?",
+    ]
+    assert judged(spark, [apples, berlin], texts) == [[0], [0], [1], []]
+
+
 def test_templates_join_without_the_broadcast_filter(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     want = sorted(map(tuple, templates.matches(docs, bench).collect()))
