@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,16 @@ NUMBER, NAME, UNIT = seeded(3, 909)
 _unit_hashes = np.sort(words_of(np.frombuffer(" ".join(UNITS).encode(), np.uint8), np.array([0, len(" ".join(UNITS))]), _TOKEN, FOLD).hashes)
 
 
+def lowered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts in lower case, with ss for sharp s. Letters stay letters, so the tokens are the same."""
+    if not (data >= 128).any():
+        return data, offsets  # words_of folds A-Z
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data)))
+    texts = pc.replace_substring(pc.utf8_lower(texts), "\u00df", "ss")
+    _, _, low, low_offsets = next(chunks(texts, 1 << 62))
+    return low, low_offsets
+
+
 def _joined_numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes with digits for points and commas that lie between digits, and where these are."""
     digit = _DIGIT[data]
@@ -63,6 +74,9 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     """
     seen, marks = _joined_numbers(data)
     w = words_of(seen, offsets, _TOKEN, FOLD)
+    low, low_offsets = lowered(data, offsets)
+    if low is not data:
+        w.hashes = words_of(_joined_numbers(low)[0], low_offsets, _TOKEN, FOLD).hashes
     count = lambda flags: np.concatenate(([0], np.cumsum(flags)))
     digits, stops = count(_DIGIT[data]), count(_STOP[data] & ~marks)
     number = digits[w.end] > digits[w.start]
@@ -157,7 +171,7 @@ def _windows(sizes: list[int], filtered: object, whole_items: bool, window: int
                             owner = np.searchsorted(w.offsets, where, "right") - 1
                             yield pa.record_batch(
                                 [batch.column("id").take(pa.array(lo + owner)), pa.array((where - w.offsets[owner]).astype(np.int64)), pa.array(np.full(len(where), size, np.int32)), pa.array(signed(hashes)),
-                                 pa.array(np.full(len(where), form, np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(mix(w.hashes[inside][held])))), pa.array((~(held | slot[inside])).sum(1).astype(np.int32)), pa.array(total[where].astype(np.int64))],
+                                 pa.array(np.full(len(where), form, np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(mix(w.hashes[inside][held])))), pa.array((~held).sum(1).astype(np.int32)), pa.array(total[where].astype(np.int64))],
                                 ["id", "at", "size", "hash", "form", "slots", "literals", "total"],
                             )
 
@@ -242,7 +256,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
     scratch = Scratch(docs.sparkSession, "templates")
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").distinct()
     sizes = list(range(min(SHORTEST, int(window_size(window + 1, window))), window + 1))
-    of_items = items.mapInArrow(_windows(sizes, None, True, window), _ROWS).where("2 * literals >= size")
+    of_items = items.mapInArrow(_windows(sizes, None, True, window), _ROWS).where(f"form = {LITERAL} or 2 * literals >= size")
     of_items = scratch.save(of_items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "size", "hash", "form", F.col("slots").alias("item_slots"), "total"), "items")
     filtered = None
     if of_items.count() <= BROADCAST_WINDOWS:  # the size is checked: at most 16 MB; otherwise every window takes part in the join

@@ -259,6 +259,13 @@ def test_templates_find_names_that_begin_sentences_or_have_two_words(spark):
     assert judged(spark, [apples, berlin], texts) == [[0], [0], [1], []]
 
 
+def test_templates_find_exact_copies_of_few_literals_and_of_any_case(spark):
+    items = ["12 + 34 = 46, 56 + 78 = 134, 90 - 12 = 78, 5 x 6 = 30", "Die Straße führt über Österreich nach Süden und dort endet sie am großen Meer", "3 km 5 kg 7 lb 2 ft 9 mi"]
+    title = "Die Stra\u00dfe F\u00fchrt \u00dcber \u00d6sterreich Nach S\u00fcden Und Dort Endet Sie Am Gro\u00dfen Meer"
+    texts = ["see " + items[0], items[1].upper(), "And " + title, items[2], "11 + 35 = 47, 57 + 79 = 135, 91 - 13 = 79, 6 x 7 = 31"]
+    assert judged(spark, items, texts) == [[0], [1], [1], [2], []]
+
+
 def test_templates_join_without_the_broadcast_filter(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     want = sorted(map(tuple, templates.matches(docs, bench).collect()))
