@@ -136,7 +136,7 @@ def _windows(sizes: list[int], filtered: object, whole_items: bool, window: int
     """Rows of windows: id, at, size, hash, form, slots (hashes of the slots' own words in order), literals, total."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = filtered.value if filtered is not None else None
+        wanted, pairs = filtered.value if filtered is not None else (None, None)
         if wanted is not None:
             gate = np.zeros(1 << 22, bool)
             gate[(wanted >> U(42)).astype(np.int64)] = True
@@ -147,8 +147,17 @@ def _windows(sizes: list[int], filtered: object, whole_items: bool, window: int
                 w, kind, slot, maybe = tokens_of(data, offsets)
                 total = np.repeat(w.counts, w.counts)
                 left = np.repeat(w.offsets[1:], w.counts) - np.arange(len(kind))
+                if wanted is not None:  # words that are literal in every form have to stand in this order in some item
+                    plain = ~(slot | maybe)
+                    two = np.flatnonzero((left >= 2)[:-1] & plain[:-1] & plain[1:])
+                    hashes = spans(w.hashes, two, two + 2, _AS_WORDS)
+                    strange = np.zeros(len(kind) + 1, np.int64)
+                    strange[two + 1] = pairs[np.minimum(np.searchsorted(pairs, hashes), len(pairs) - 1)] != hashes
+                    strange = np.cumsum(strange)
                 for size in sizes:
                     fits = left >= size
+                    if wanted is not None and len(fits) >= size:
+                        fits[: len(fits) - size + 1] &= strange[size - 1 : len(fits)] == strange[: len(fits) - size + 1]
                     if whole_items:
                         fits &= (total >= SHORTEST) & (window_size(total, window) == size)
                     starts = np.flatnonzero(fits)
@@ -261,7 +270,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
     filtered = None
     if of_items.count() <= BROADCAST_WINDOWS:  # the size is checked: at most 16 MB; otherwise every window takes part in the join
         held = of_items.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(U)
-        filtered = docs.sparkSession.sparkContext.broadcast(np.sort(held))
+        pairs = items.mapInArrow(_windows([2], None, False), _ROWS).where(f"form = {LITERAL}").select("hash").distinct()
+        pairs = pairs.toPandas()["hash"].to_numpy(np.int64).view(U)
+        filtered = docs.sparkSession.sparkContext.broadcast((np.sort(held), np.sort(pairs)))
     used = [r["size"] for r in of_items.select("size").distinct().collect()] or [window]
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     found = texts.mapInArrow(_windows(sorted(used), filtered, False), _ROWS).select(F.col("id").alias("doc_id"), "at", "size", "hash", "form", "slots")
