@@ -2,24 +2,27 @@
 
 The fingerprint of a window of 50 words is the smallest hash of its 12-word grams, so a repeated window has the same
 fingerprint wherever it stands, while neighbouring windows share it and the index holds a few per cent of the positions.
-Each batch of documents becomes one immutable run sorted by fingerprint. A batch is merge-joined with the runs before it
-and with itself; for fingerprints that meet, whole windows are compared by two further hashes of all 50 words, 96 bits
-together. Runs of one level are merged into a run of the next level once there are ``fanout`` of them.
+Each batch of documents becomes one immutable run: a table bucketed and sorted by fingerprint. The batch is merge-joined,
+bucket by bucket, with the runs before it, which are never exchanged; for fingerprints that meet, whole windows are
+compared by a cryptographic digest of their bytes. Runs of one level are merged into a run of the next level, again bucket
+by bucket, once there are ``fanout`` of them. The index lives in a folder and can be opened by a later session.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contextmill.llm.scratch import Scratch
-from contextmill.llm.words import U, Words, chunks, mix, signed, spans, windows_of, words_of
+from contextmill.llm.words import U, Words, chunks, signed, windows_of, words_of
 
 WINDOW = 50
 GRAM = 12
@@ -45,10 +48,30 @@ def fingerprints(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
     return least, left >= window
 
 
-def keys_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each text's whole word sequence."""
-    a, b = w.offsets[:-1], w.offsets[1:]
-    return spans(w.hashes, a, b, 0x9FB21C651E98DF25), spans(w.hashes, a, b, 0xC2B2AE3D27D4EB4F)
+def sequences(data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
+    """The words of each text."""
+    whole = data.tobytes()
+    return [whole[a:b].split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def key_of(words: list[bytes]) -> bytes:
+    """16 bytes that stand for the word sequence."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _tag(key: bytes) -> int:
+    return int.from_bytes(key[:4], "little") & _TAG
+
+
+_DIGEST = np.dtype([("w1", "<i8"), ("w2", "<i4")])
+
+
+def digests(words: list[bytes], where: np.ndarray, window: int) -> np.ndarray:
+    """12-byte digests of the ``window`` words from each place on."""
+    whole = b" ".join(words)
+    start = np.concatenate(([0], np.cumsum([len(x) + 1 for x in words])))
+    spans = zip(start[where].tolist(), (start[where + window] - 1).tolist(), strict=True)
+    return np.frombuffer(b"".join(hashlib.blake2b(whole[a:b], digest_size=12).digest() for a, b in spans), _DIGEST)
 
 
 def _survey(window: int):
@@ -60,10 +83,10 @@ def _survey(window: int):
                 new = fits.copy()
                 new[1:] &= (least[1:] != least[:-1]) | ~fits[:-1]
                 own = [np.unique(least[a:b][new[a:b]]) for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
-                k1, k2 = keys_of(w)
+                keys = np.frombuffer(b"".join(map(key_of, sequences(data, offsets))), np.int64)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(at, to - at), pa.array(w.counts.astype(np.int64)), pa.array(signed(k1)), pa.array(signed(k2)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(own))))],
+                    [batch.column("doc_id").slice(at, to - at), pa.array(w.counts.astype(np.int64)), pa.array(keys[0::2]), pa.array(keys[1::2]), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(own))))],
                     ["doc_id", "n_words", "key1", "key2", "prints"],
                 )
 
@@ -71,7 +94,11 @@ def _survey(window: int):
 
 
 def _windows(window: int):
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["w1", "w2", "doc_id", "mark"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             shared = batch.column("prints")
             for at, to, data, offsets in chunks(batch.column("text")):
@@ -80,14 +107,24 @@ def _windows(window: int):
                 wanted = np.zeros(len(least), bool)
                 for i, (a, b) in enumerate(zip(w.offsets[:-1], w.offsets[1:], strict=True)):
                     wanted[a:b] = np.isin(least[a:b], shared[at + i].values.to_numpy().view(U))
-                where = np.flatnonzero(wanted & fits)
-                owner = np.searchsorted(w.offsets, where, "right") - 1
-                w1 = spans(w.hashes, where, where + window, 0xA0761D6478BD642F)
-                w2 = spans(mix(w.hashes), where, where + window, 0xE7037ED1A0B428DB) >> U(32)
-                tags = (keys_of(w)[0] & U(_TAG))[owner] << U(32) | (where - w.offsets[owner]).astype(U)
-                for s in range(0, len(where), 1 << 16):
-                    e = s + (1 << 16)
-                    yield pa.record_batch([pa.array(signed(w1[s:e])), pa.array(w2[s:e].astype(np.uint32).view(np.int32)), batch.column("doc_id").take(pa.array(at + owner[s:e])), pa.array(signed(tags[s:e]))], ["w1", "w2", "doc_id", "mark"])
+                wanted &= fits
+                for i, (a, b) in enumerate(zip(w.offsets[:-1], w.offsets[1:], strict=True)):
+                    where = np.flatnonzero(wanted[a:b])
+                    if not len(where):
+                        continue
+                    words = data[offsets[i] : offsets[i + 1]].tobytes().split()
+                    tag, doc = _tag(key_of(words)) << 32, batch.column("doc_id")[at + i].as_py()
+                    for s in range(0, len(where), 1 << 16):
+                        part = where[s : s + (1 << 16)]
+                        found = digests(words, part, window)
+                        held.append((found["w1"], found["w2"], np.full(len(part), doc), tag | part))
+                        size += len(part)
+                        if size >= 1 << 16:
+                            yield rows(held)
+                            held, size = [], 0
+            if held:
+                yield rows(held)
+                held, size = [], 0
 
     return run
 
@@ -97,17 +134,14 @@ def _cut(window: int):
         for batch in batches:
             marks = batch.column("marks")
             for at, to, data, offsets in chunks(batch.column("text")):
-                tags = None
                 n_words, n_removed, kept = [], [], []
                 for i in range(to - at):
                     words = data[offsets[i] : offsets[i + 1]].tobytes().split()
                     n, own = len(words), marks[at + i].values
                     gone = 0
                     if own is not None and len(own):
-                        if tags is None:
-                            tags = keys_of(words_of(data, offsets))[0] & U(_TAG)
-                        own = own.to_numpy().view(U)
-                        start = (own[own >> U(32) == tags[i]] & U(_ALL)).astype(np.int64)
+                        own = own.to_numpy()
+                        start = own[own >> 32 == _tag(key_of(words))] & _ALL
                         edge = np.zeros(n + 1, np.int64)
                         np.add.at(edge, start[start != _ALL], 1)
                         np.add.at(edge, start[start != _ALL] + window, -1)
@@ -125,30 +159,79 @@ def _cut(window: int):
 
 
 class WindowIndex:
-    """Fingerprints of all batches added so far, as sorted runs in the shared folder.
+    """Fingerprints of all batches added so far, as runs in a folder that driver and executors share.
 
     Batches must come in ascending ranges of doc_id; ``add`` raises ValueError otherwise, since "earlier" is decided by
-    doc_id alone.
+    doc_id alone. The manifest, a small table, is written anew after each change, so a driver that dies between leaves the
+    state before. ``open`` goes on with an index of an earlier session.
     """
 
-    def __init__(self, scratch: Scratch, window: int = WINDOW, fanout: int = FANOUT):
-        self.scratch, self.window, self.fanout = scratch, window, fanout
+    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.path, self.window, self.fanout = spark, path.rstrip("/"), window, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: dict[str, int] = {}
         self.last: int | None = None
-        self.made = 0
-
-    def _write(self, posts: DataFrame, level: int) -> None:
-        """Sorted by fingerprint in every file; rebalancing lets Spark split a fingerprint that very many documents have."""
-        name = f"run-{self.made}"
-        self.made += 1
-        ordered = posts.withColumn("slice", F.shiftright("print", 56)).hint("rebalance", "slice").sortWithinPartitions("print", "doc_id").select("print", "doc_id")
-        self.scratch.save(ordered, name)
+        self.version = 0
+        self.tables: dict[str, str] = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> WindowIndex:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+        found = [x.getPath().getName() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+        versions = sorted(int(x.split("-")[1]) for x in found if x.startswith("manifest-"))
+        for version in reversed(versions):
+            rows = spark.read.parquet(f"{path.rstrip('/')}/manifest-{version}").collect()
+            if rows:
+                out = cls(spark, path, rows[0].window, rows[0].fanout, rows[0].buckets)
+                out.last, out.version, out.runs = rows[0].last, version, {r.name: r.level for r in rows}
+                return out
+        raise ValueError(f"no index in {path}")
+
+    def _record(self) -> None:
+        rows = [(name, level, self.window, self.fanout, self.buckets, self.last) for name, level in self.runs.items()]
+        self.spark.createDataFrame(rows, "name string, level int, window int, fanout int, buckets int, last long").coalesce(1).write.parquet(f"{self.path}/manifest-{self.version + 1}")
+        self._delete(f"manifest-{self.version}")
+        self.version += 1
+
+    def _delete(self, name: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def _write(self, posts: DataFrame, level: int) -> str:
+        """A run of posts that are dealt by fingerprint already: each bucket is a sorted file."""
+        name = f"run-{uuid.uuid4().hex}"
+        posts.select("print", "doc_id").write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "print").sortBy("print").saveAsTable(f"windows_{name[4:]}")
+        self.tables[name] = f"windows_{name[4:]}"
         self.runs[name] = level
+        return name
 
-    def posts(self) -> DataFrame:
-        return reduce(DataFrame.union, (self.scratch.spark.read.schema("print long, doc_id long").parquet(self.scratch.path(name)) for name in self.runs))
+    def run(self, name: str) -> DataFrame:
+        """The posts (print, doc_id) of a run; Spark knows how it is bucketed."""
+        if name not in self.tables:
+            table = f"windows_{name[4:]}_{uuid.uuid4().hex[:8]}"
+            self.spark.sql(f"CREATE TABLE {table} (print LONG, doc_id LONG) USING parquet CLUSTERED BY (print) SORTED BY (print) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            self.tables[name] = table
+        return self.spark.table(self.tables[name])
 
-    def add(self, batch: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    def posts(self) -> DataFrame:
+        return reduce(DataFrame.union, map(self.run, self.runs))
+
+    def close(self) -> None:
+        """Forgets the tables' names; the files stay."""
+        for table in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables = {}
+
+    def met(self, new: str, old: list[str]) -> DataFrame:
+        """(print, doc_id): posts of all runs whose fingerprint is in the new run and in another document of any run."""
+        own = self.run(new)
+        prints = own.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        before = [self.run(name).join(prints.hint("merge"), "print", "left_semi") for name in old]
+        shared = prints.where("first < last").select("print")
+        both = reduce(DataFrame.union, [x.select("print") for x in before], shared)
+        return reduce(DataFrame.union, before, own.join(both, "print", "left_semi"))
+
+    def add(self, batch: DataFrame, texts: DataFrame, scratch: Scratch, name: str, compact: bool = True) -> DataFrame:
         """Adds a batch (doc_id, prints) and returns (doc_id, marks): its windows that start in an earlier document too.
 
         texts (doc_id, text) has the documents of this batch and of all before it; only those with a fingerprint that
@@ -156,37 +239,40 @@ class WindowIndex:
         """
         edge = batch.agg(F.min("doc_id"), F.max("doc_id")).first()
         if edge[0] is None:
-            return self.scratch.spark.createDataFrame([], "doc_id long, marks array<long>")
+            return self.spark.createDataFrame([], "doc_id long, marks array<long>")
         if self.last is not None and edge[0] <= self.last:
             raise ValueError(f"batches must ascend: {edge[0]} comes after {self.last}")
+        old = list(self.runs)
+        new = self._write(batch.select(F.explode("prints").alias("print"), "doc_id").repartition(self.buckets, "print").distinct(), 0)
         self.last = edge[1]
-        self._write(batch.select(F.explode("prints").alias("print"), "doc_id").distinct(), 0)
-        posts = self.posts()
-        met = posts.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(f"first < last and last >= {edge[0]}")
-        asked = posts.join(met.select("print"), "print").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
+        self._record()
+        asked = self.met(new, old).groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
         windows = texts.join(asked, "doc_id").select("doc_id", "text", "prints").mapInArrow(_windows(self.window), "w1 long, w2 int, doc_id long, mark long")
-        windows = self.scratch.save(windows, f"{name}-windows")
+        windows = scratch.save(windows, f"{name}-windows")
         firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
-        firsts = self.scratch.save(firsts, f"{name}-firsts")  # a join of written tables: Spark can split a window that very many documents have
+        firsts = scratch.save(firsts, f"{name}-firsts")  # a join of written tables: Spark can split a window that very many documents have
         late = windows.where(F.col("doc_id") >= edge[0]).join(firsts, ["w1", "w2"]).where("doc_id > first")
-        marks = self.scratch.save(late.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), f"{name}-marks")
-        self.scratch.drop(f"{name}-windows", f"{name}-firsts")
-        self.compact()
+        marks = scratch.save(late.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), f"{name}-marks")
+        scratch.drop(f"{name}-windows", f"{name}-firsts")
+        if compact:
+            self.compact()
         return marks
 
     def compact(self) -> None:
-        """Merges the runs of a level into one of the next level wherever there are ``fanout``."""
+        """Merges the runs of a level into one of the next level wherever there are ``fanout``: bucket by bucket, without an exchange."""
         while True:
             levels = list(self.runs.values())
             level = min((k for k in levels if levels.count(k) >= self.fanout), default=None)
             if level is None:
                 return
             old = [n for n, k in self.runs.items() if k == level]
-            merged = reduce(DataFrame.union, (self.scratch.spark.read.schema("print long, doc_id long").parquet(self.scratch.path(n)) for n in old))
-            self._write(merged, level + 1)
+            self._write(reduce(DataFrame.union, map(self.run, old)), level + 1)
             for n in old:
                 del self.runs[n]
-            self.scratch.drop(*old)
+            self._record()
+            for n in old:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(n)}")
+                self._delete(n)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, carry: bool = False) -> DataFrame:
@@ -199,7 +285,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
     Empty input: no rows.
 
     Documents with equal word sequences beyond the first lose all words at once, since each of their windows starts in
-    the first too; so only the first of each sequence enters the index, in ``batches`` ranges of doc_id.
+    the first too; so only the first of each sequence enters the index, in ``batches`` ranges of doc_id with about as many
+    documents each.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
@@ -211,14 +298,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
     marked = able.join(firsts, ["key1", "key2"])
     copies = marked.where("doc_id > first").select("doc_id", F.expr(f"array(shiftleft(key1 & {_TAG}L, 32) | {_ALL}L)").alias("marks"))
     reps = scratch.save(marked.where("doc_id = first").select("doc_id", "prints"), "first")
-    low, high = reps.agg(F.min("doc_id"), F.max("doc_id")).first()
-    index, marks = WindowIndex(scratch, window), []
-    if low is not None:
-        cuts = [low + (high - low + 1) * k // batches for k in range(batches)] + [high + 1]
-        for k in range(batches):
-            batch = reps.where((F.col("doc_id") >= cuts[k]) & (F.col("doc_id") < cuts[k + 1]))
-            marks.append(index.add(batch, texts.where(F.col("doc_id") < cuts[k + 1]), f"batch-{k}"))
-    scratch.keep("survey", "sequences", *(f"batch-{k}-marks" for k in range(batches)))  # the result reads these alone
+    index, marks = WindowIndex(spark, scratch.path("index"), window), []
+    cuts = sorted(set(reps.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        batch, seen = reps, texts
+        if low is not None:
+            batch = batch.where(F.col("doc_id") > int(low))
+        if high is not None:
+            batch, seen = batch.where(F.col("doc_id") <= int(high)), seen.where(F.col("doc_id") <= int(high))
+        marks.append(index.add(batch, seen, scratch, f"batch-{k}", compact=high is not None))
+    index.close()
+    scratch.drop("index")
+    scratch.keep("survey", "sequences", *(f"batch-{k}-marks" for k in range(len(marks))))  # the result reads these alone
     decided = reduce(DataFrame.union, marks, copies).groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")] + [F.struct(*docs.columns).alias("row")] * carry
     chosen = docs.select(*own)

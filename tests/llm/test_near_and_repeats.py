@@ -130,17 +130,66 @@ def test_one_doc_id_with_two_texts(spark):
     assert got == brute_repeats(rows)
 
 
+def indexed(spark, n=8):
+    texts = spark.createDataFrame([(i, f"a b c d e f{i} g{i}") for i in range(n)], "doc_id long, text string")
+    survey = texts.mapInArrow(runs._survey(4), "doc_id long, n_words long, key1 long, key2 long, prints array<long>").select("doc_id", "prints").cache()
+    return texts, survey
+
+
 def test_index_merges_runs_and_refuses_disorder(spark):
     scratch = Scratch(spark, "test")
-    index = runs.WindowIndex(scratch, window=4, fanout=2)
-    texts = spark.createDataFrame([(i, f"a b c d e f{i} g{i}") for i in range(8)], "doc_id long, text string")
-    survey = texts.mapInArrow(runs._survey(4), "doc_id long, n_words long, key1 long, key2 long, prints array<long>").select("doc_id", "prints").cache()
+    index = runs.WindowIndex(spark, scratch.path("index"), window=4, fanout=2)
+    texts, survey = indexed(spark)
     for k in range(4):
-        marks = index.add(survey.where(f"doc_id between {2 * k} and {2 * k + 1}"), texts, f"b{k}")
+        marks = index.add(survey.where(f"doc_id between {2 * k} and {2 * k + 1}"), texts, scratch, f"b{k}")
         assert {r.doc_id for r in marks.collect()} == ({1} if k == 0 else {2 * k, 2 * k + 1})
     assert list(index.runs.values()) == [2] and index.posts().select("doc_id").distinct().count() == 8
     with pytest.raises(ValueError):
-        index.add(survey.where("doc_id = 0"), texts, "again")
+        index.add(survey.where("doc_id = 0"), texts, scratch, "again")
+
+
+def test_a_later_session_goes_on_with_the_index_and_runs_are_not_exchanged(spark):
+    scratch = Scratch(spark, "test")
+    first = runs.WindowIndex(spark, scratch.path("index"), window=4, fanout=9)
+    texts, survey = indexed(spark)
+    first.add(survey.where("doc_id < 3"), texts, scratch, "b0")
+    first.add(survey.where("doc_id between 3 and 4"), texts, scratch, "b1")
+    first.close()
+    index = runs.WindowIndex.open(spark.newSession(), scratch.path("index"))
+    assert (index.window, index.fanout, index.last, len(index.runs)) == (4, 9, 4, 2)
+    texts, survey = (df.sparkSession and index.spark.createDataFrame(df.collect(), df.schema) for df in (texts, survey))
+    marks = index.add(survey.where("doc_id between 5 and 6"), texts, Scratch(index.spark, "later"), "b2", compact=False)
+    assert {r.doc_id for r in marks.collect()} == {5, 6}
+    old, new = list(index.runs)[:2], list(index.runs)[2]
+    plan = index.met(new, old)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "Bucketed: true" in plan
+    for name in index.runs:  # only prints that met may move, never the posts of a run
+        alone = index.run(name).join(index.run(new).groupBy("print").count(), "print", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in alone
+    index.compact()
+    before = {(r["print"], r.doc_id) for r in index.posts().collect()}
+    index.fanout = 3
+    index.compact()
+    assert list(index.runs.values()) == [1] and {(r["print"], r.doc_id) for r in index.posts().collect()} == before
+    with pytest.raises(ValueError):
+        index.add(survey.where("doc_id = 0"), texts, Scratch(index.spark, "later"), "again")
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_collide_under_polynomials_modulo_a_power_of_two_are_told_apart(spark):
+    """A Thue-Morse word of 1,024 letters and its complement: equal under any odd base modulo 2**64."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(i, " ".join(f"{w}{k}" for k in range(60))) for i, w in ((1, one), (2, other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in runs.remove_repeats(docs).collect()} == {1: 0, 2: 0}
+    assert {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs).collect()} == {1: 1, 2: 2}
+    words = [(1, " ".join("xy"[bin(i).count("1") & 1] for i in range(2048))), (2, " ".join("yx"[bin(i).count("1") & 1] for i in range(2048)))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in runs.remove_repeats(spark.createDataFrame(words, "doc_id long, text string")).collect())
+    assert got == brute_repeats(words)
 
 
 def test_fingerprints_of_neighbours(docs, rows):
