@@ -31,8 +31,8 @@ PERCENT = 75
 #: Candidates are dropped if their likelihood estimate is so far below the threshold: seven standard errors and more.
 MARGIN = 0.16
 SMALL = 64
-#: Members of a bucket that are compared with each other in one task, at most about twice this.
-BLOCK = 1024
+#: Counters of shingles by a part of their hash; they give the order of the prefix filter, any order is exact.
+COUNTERS = 1 << 20
 
 
 def shingle_sets(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -130,15 +130,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         keys[k, full] = np.add.reduceat(mix(elements * salt + U(k)), parts[:-1][full])
             bands = bands_of(registers)
             yield pa.record_batch(
-                [ids.take(pa.array(rows)), pa.array(sizes), pa.array(signed(keys[0])), pa.array(signed(keys[1])), pa.array([x.tobytes() for x in registers], pa.binary()),
+                [ids.take(pa.array(rows)), batch.column("digest").take(pa.array(rows)), pa.array(sizes), pa.array(signed(keys[0])), pa.array(signed(keys[1])), pa.array([x.tobytes() for x in registers], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(signed(bands.ravel())))],
-                ["doc_id", "n_shingles", "key1", "key2", "sketch", "bands"],
+                ["doc_id", "digest", "n_shingles", "key1", "key2", "sketch", "bands"],
             )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles (set size), key1 and key2 (a 128-bit key of the set), sketch (register bytes), bands."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_features, "doc_id long, n_shingles long, key1 long, key2 long, sketch binary, bands array<long>")
+    """doc_id, digest (of the text), n_shingles (set size), key1 and key2 (a 128-bit key of the set), sketch (register bytes), bands."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest")).mapInArrow(_features, "doc_id long, digest long, n_shingles long, key1 long, key2 long, sketch binary, bands array<long>")
 
 
 def _estimates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,67 +150,93 @@ def _estimates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield f.loc[f.estimate >= PERCENT / 100 - MARGIN, ["a", "b", "estimate"]]
 
 
-def _linked(f: pd.DataFrame) -> list[tuple[int, int]]:
-    """Links of one cell that join different components, as few as join them; every pair's full sets are compared."""
-    elements, parts = [], [0]
-    for _, _, data, offsets in chunks(pa.array(f.text, pa.large_string())):
-        own, ends = shingle_sets(words_of(data, offsets, NOT_SPACE, FOLD))
-        elements.append(own)
-        parts.extend(parts[-1] + ends[1:])
-    size = np.diff(parts)
-    _, column, times = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
-    owner, shared = np.repeat(np.arange(len(f)), size), times[column] > 1
-    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    block, rep = f.block.to_numpy(), f.rep.to_numpy()
-    first, second = np.flatnonzero(block == f.left.iloc[0]), np.flatnonzero(block == f.right.iloc[0])
-    common, width = np.zeros((len(first), len(second)), np.float32), 1 << 12
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        x, y = np.searchsorted(column, [lo, lo + width])
-        there = np.zeros((len(f), width), np.float32)
-        there[owner[x:y], column[x:y] - lo] = 1
-        common += there[first] @ there[second].T
-    both = common.astype(np.int64)
-    top, out = f.component.to_numpy(), []
-    above = {}
-
-    def root(x: int) -> int:
-        while (up := above.get(x, x)) != x:
-            x = up
-        return x
-
-    near = (100 * both >= PERCENT * (size[first][:, None] + size[second][None, :] - both)) & (top[first][:, None] != top[second][None, :])
-    for i, j in np.argwhere(near):
-        i, j = first[i], second[j]
-        x, y = root(top[i]), root(top[j])
-        if x != y:
-            above[max(x, y)] = min(x, y)
-            out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
-    return out
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts have shingles of each counter."""
+    n = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for _, _, data, offsets in chunks(batch.column("text")):
+            elements, _ = shingle_sets(words_of(data, offsets, NOT_SPACE, FOLD))
+            n += np.bincount((elements >> U(44)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(n)
+    yield pa.record_batch([pa.array(at), pa.array(n[at])], ["counter", "n"])
 
 
-def _cells(f: pd.DataFrame) -> pd.DataFrame:
-    links = [pair for _, cell in f.groupby("key", sort=False) for pair in _linked(cell)]
-    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+def prefixes(elements: np.ndarray, tallies: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The set's prefix and the places of its elements: the rarest n - ceil(n * percent / 100) + 1, rare first.
 
+    Of two sets at the threshold the prefixes have an element in common, as both are in one order.
+    """
+    order = np.lexsort((elements, tallies[(elements >> U(44)).astype(np.int64)]))
+    keep = len(elements) + (-len(elements) * percent // 100) + 1
+    return elements[order[:keep]], np.arange(keep)
 
-def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        sets: dict[int, np.ndarray] = {}
 
-        def full(ids: pd.Series, texts: pd.Series, sets: dict = sets) -> list[np.ndarray]:
-            new = ~ids.isin(list(sets)) & ~ids.duplicated()
-            for at, to, data, offsets in chunks(pa.array(texts[new], pa.large_string())):
+def _prefix_rows(shared: object):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies = shared.value
+        for batch in batches:
+            for at, _, data, offsets in chunks(batch.column("text")):
                 elements, parts = shingle_sets(words_of(data, offsets, NOT_SPACE, FOLD))
-                for i, k in enumerate(ids[new].iloc[at:to]):
-                    sets[k] = elements[parts[i] : parts[i + 1]]
-            return [sets[k] for k in ids]
+                own = [prefixes(elements[a:b], tallies) for a, b in zip(parts[:-1], parts[1:], strict=True)]
+                rows = pa.array(at + np.repeat(np.arange(len(own)), [len(x) for x, _ in own]))
+                yield pa.record_batch(
+                    [batch.column("rep").take(rows), batch.column("component").take(rows), pa.array(np.repeat(np.diff(parts), [len(x) for x, _ in own])), pa.array(signed(np.concatenate([x for x, _ in own]))), pa.array(np.concatenate([k for _, k in own]))],
+                    ["rep", "component", "n", "element", "place"],
+                )
+
+    return run
 
-        left, right = full(f.a, f.text_a), full(f.b, f.text_b)
-        both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
-        size = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - both
-        yield f.loc[100 * both >= PERCENT * size, ["a", "b"]]
+
+def candidates(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b): pairs of members (rep, component, text) of different components that may reach the threshold; none that does is missing.
+
+    An exact prefix-filter join: the rarest quarter of each member's shingles is joined, with length and positional filters.
+    """
+    tallied = members.select("text").mapInArrow(_tallies, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
+    tallies = np.zeros(COUNTERS, np.int64)
+    tallies[tallied.counter.to_numpy()] = tallied.n.to_numpy()
+    shared = members.sparkSession.sparkContext.broadcast(tallies)
+    rows = scratch.save(members.select("rep", "component", "text").mapInArrow(_prefix_rows(shared), "rep long, component long, n long, element long, place long"), f"{name}-prefixes")
+    mixed = rows.groupBy("element").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("element")
+    mixed = scratch.save(rows.join(mixed, "element", "left_semi"), f"{name}-postings")  # written, so that Spark can split the join with a frequent element
+    x, y = (mixed.select("element", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "n", "place"))) for k in "ab")
+    met = x.join(y, "element").where("rep_a < rep_b and component_a <> component_b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    met = met.where(f"{100 + PERCENT} * least(n_a - place_a, n_b - place_b) >= {PERCENT} * (n_a + n_b) - {100 + PERCENT} * least(place_a, place_b)")
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def exact_sets(texts: list[str]) -> list[np.ndarray]:
+    """Shingle sets of the texts as numbers that are equal for equal shingles only: words are compared by their bytes."""
+    known: dict[bytes, int] = {}
+    short: dict[tuple, int] = {}
+    ids = []
+    for _, _, data, offsets in chunks(pa.array(texts, pa.large_string())):
+        whole = FOLD[data].tobytes()
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            ids.append(np.array([known.setdefault(w, len(known)) for w in whole[a:b].split()], np.int64))
+    every, size = np.concatenate(ids) if ids else np.zeros(0, np.int64), len(known) + 1
+    ranks = lambda x: np.unique(x, return_inverse=True)[1]
+    two = ranks(every[:-1] * size + every[1:])
+    four = ranks(two[:-2] * (len(two) + 1) + two[2:]) if len(two) > 2 else two[:0]
+    five = four[: max(0, len(every) - 4)] * size + every[4:]
+    out, at = [], 0
+    for own in ids:
+        n = len(own)
+        out.append(np.unique(five[at : at + n - SHINGLE + 1]) if n >= SHINGLE else np.array([-1 - short.setdefault(tuple(own), len(short))] if n else [], np.int64))
+        at += n
+    return out
+
+
+def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for s in range(0, len(frame), 2048):
+            f = frame.iloc[s : s + 2048]
+            ids, texts = pd.concat((f.a, f.b)), pd.concat((f.text_a, f.text_b))
+            first = ~ids.duplicated()
+            sets = dict(zip(ids[first], exact_sets(texts[first].tolist()), strict=True))
+            both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(f.a, f.b, strict=True)], np.int64)
+            size = np.array([len(sets[x]) + len(sets[y]) for x, y in zip(f.a, f.b, strict=True)], np.int64) - both
+            yield f.loc[100 * both >= PERCENT * size, ["a", "b"]]
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -225,18 +252,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts are lower-cased in A-Z and cut into words at white space; the set of a document is its distinct shingles of
     five words, or its whole sequence if it is shorter. Null, empty and blank texts have an empty set and are linked
     with nothing. Documents with 100 * intersection >= 75 * union are linked; component_id is the smallest doc_id that
-    links reach, class_id the smallest with an equal set. Rows that repeat a doc_id are one document if their sets are
-    equal; a null doc_id stays alone with component null and kept true. Other columns are ignored. Empty input: no rows.
+    links reach, class_id the smallest with an equal set. Rows that repeat a doc_id are one document: its text is the one
+    with the smallest 64-bit hash, and each of its rows gets that text's values. A null doc_id stays alone with component
+    null and kept true. Other columns are ignored. Empty input: no rows.
 
     Documents with equal sets are one class, so copies never pair. A bucket (members of a band key) links each member
-    with the smallest one; members that this leaves in different components are compared block by block on their full sets, so no
-    link is lost to the bucket's size, and a large group of near copies costs one pair a member. With 64 bands of 6
-    registers a pair at the threshold shares no bucket with a probability of about four in a million.
+    with the smallest one, so a large group of near copies costs one pair a member; members that this leaves in different
+    components are joined by an exact prefix filter, so no link is lost to the bucket's size and work is for candidates.
+    Confirmed links compare shingles by their words' bytes. With 64 bands of 6 registers a pair at the threshold shares no
+    bucket with a probability of about four in a million; its estimate is more than MARGIN too low, seven standard errors,
+    with a probability below one in ten billion.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     all_rows = scratch.save(sketches(docs), "sketches")
-    known = all_rows.where("n_shingles > 0 and doc_id is not null")
+    spread = all_rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select(F.col("doc_id").alias("id"), "least")
+    if repeated := not spread.isEmpty():
+        spread = scratch.save(spread, "spread")  # documents of several texts
+
+    def single(df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+        """Without rows of a document whose text does not stand for it."""
+        if not repeated:
+            return df
+        return df.join(spread, (F.col(doc_id) == F.col("id")) & (F.col("digest") != F.col("least")), "left_anti")
+
+    known = single(all_rows.where("n_shingles > 0 and doc_id is not null"))
     # written, so that Spark can split the joins with it at a set that very many documents have
     classes = scratch.save(known.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
     owners = scratch.save(known.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "rep"), "owners")
@@ -251,7 +291,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     likely = scratch.save(stars.join(b, "b").join(a, "a").where(fits).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInPandas(_estimates, "a long, b long, estimate double"), "likely")
     # texts of documents that share a bucket, written once: later steps move only these
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("digest"))
+    texts = single(texts, "rep").drop("digest")
     texts = scratch.save(texts.join(buckets.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "texts")
 
     def asked(pairs: DataFrame) -> DataFrame:
@@ -274,35 +315,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not open_pairs.isEmpty():
         links = links.union(scratch.save(confirmed(open_pairs, asked(open_pairs)), "links-2"))
         found = components(links, scratch, "second")
-    # buckets of three and more whose members lie in different components: compare those members with each other
-    level = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9)
-    crowded = placed(buckets.where("size > 2").select("key", "rep", "n"), found).withColumn("level", level)
-
-    def apart_in(df: DataFrame, *by: str) -> DataFrame:
-        """Groups with members of different components; of groups with the same members one."""
-        sums = df.groupBy(*by).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2"), F.collect_set("level").alias("levels"))
-        return sums.where("c1 <> c2").groupBy("size", "m1", "m2").agg(F.min(F.struct(*by)).alias("k"), F.max("levels").alias("levels")).select("k.*", "size", "levels")
-
-    # linked sets differ in size by a quarter at most, so they lie in one class of sizes or in two that follow: a group
-    # is two classes that follow, or one that stands alone
-    has = lambda by: F.array_contains("levels", F.col("level") + by)
-    groups = F.array_compact(F.array(F.when(has(1), F.col("level")), F.when(has(-1), F.col("level") - 1), F.when(~has(1) & ~has(-1), F.col("level"))))
-    crowded = crowded.join(apart_in(crowded, "key").select("key", "levels"), "key").select("key", "rep", "component", "level", F.explode(groups).alias("group"))
-    crowded = scratch.save(crowded, "sized")
-    crowded = scratch.save(crowded.join(apart_in(crowded, "key", "group").select("key", "group", "size"), ["key", "group"]), "crowded")
-    scratch.drop("sized")
-    rows = crowded.count()
-    if rows:
-        # every pair of blocks of a group is a cell, and a member goes to the cells of its block; small groups go in bundles
-        dealt = crowded.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("key", F.xxhash64("key", "group"))
-        bundle = F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(rows // BLOCK + 1)))
-        cells = dealt.withColumn("bundle", bundle).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        cells = cells.select("bundle", "key", "rep", "component", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-        links = links.union(scratch.save(cells.join(texts, "rep").groupBy("bundle", "left", "right").applyInPandas(_cells, "a long, b long"), "links-3"))
+    # buckets of three and more whose members lie in different components: candidates among all such members
+    crowded = placed(buckets.where("size > 2").select("key", "rep"), found)
+    mixed = crowded.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
+    members = crowded.join(mixed, "key", "left_semi").select("rep", "component").distinct()
+    members = scratch.save(members.join(texts, "rep"), "crowded")
+    if not members.isEmpty():
+        close = scratch.save(candidates(members, scratch, "crowded"), "close")
+        links = links.union(scratch.save(confirmed(close, asked(close)), "links-3"))
         found = components(links, scratch, "third")
     found = scratch.save(found, "found")
-    scratch.keep("sketches", "classes", "found")  # the result reads these alone
-    out = all_rows.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2"], "left")
+    rows = all_rows.select("doc_id", "n_shingles", "key1", "key2")
+    if repeated:
+        chosen = single(all_rows.join(spread, F.col("doc_id") == F.col("id"), "left_semi")).dropDuplicates(["doc_id"])
+        chosen = scratch.save(chosen.select(F.col("doc_id").alias("of"), F.struct("n_shingles", "key1", "key2").alias("its")), "chosen")
+        rows = rows.join(chosen, F.col("doc_id") == F.col("of"), "left").select("doc_id", *(F.coalesce(F.col(f"its.{c}"), F.col(c)).alias(c) for c in ("n_shingles", "key1", "key2")))
+    scratch.keep("sketches", "classes", "found", "chosen")  # the result reads these alone
+    out = rows.join(classes, ["key1", "key2"], "left")
     out = out.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     out = out.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("class_id"),

@@ -69,8 +69,7 @@ def test_near_duplicates_keep_links_inside_a_crowded_bucket(spark):
     assert got == want
 
 
-def test_cells_find_links_that_stars_miss(monkeypatch, spark):
-    monkeypatch.setattr(setsketch, "BLOCK", 4)
+def test_candidates_find_links_that_stars_miss(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(w if rng.random() > 0.03 else f"x{i}_{k}" for k, w in enumerate(base))) for i in range(60)]
@@ -78,6 +77,39 @@ def test_cells_find_links_that_stars_miss(monkeypatch, spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_candidates_are_all_links_and_few_others(spark):
+    """Texts that share a half with all others: no pair of these is a candidate, and every link is."""
+    rng = random.Random(5)
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, f"{common} " + " ".join(f"u{i}_{k}" for k in range(40))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + f" more{i}") for i in range(0, 400, 9)]
+    rows += [(2000 + i, " ".join(w if rng.random() > 0.02 else "q" for w in rows[i][1].split())) for i in range(0, 400, 7)]
+    members = spark.createDataFrame([(i, i, t) for i, t in rows], "rep long, component long, text string")
+    got = {(r.a, r.b) for r in setsketch.candidates(members, Scratch(spark, "test"), "x").collect()}
+    sets = [(i, shingles(t)) for i, t in rows]
+    want = {(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if 100 * len(x & y) >= 75 * len(x | y)}
+    assert want and want <= got and len(got) < 3 * len(want)
+
+
+def test_rows_that_share_a_doc_id_are_one_document_however_they_are_dealt(spark):
+    rng = random.Random(3)
+    a, b = (" ".join(f"{k}{rng.randrange(50)}" for _ in range(40)) for k in "ab")
+    rows = [(1, a), (2, a + " z"), (2, b), (3, b + " z"), (2, None), (4, a), (4, a)]
+    seen = set()
+    for parts in (1, 3, 7):
+        got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert len(got) == len(rows) and len({r.n_shingles for r in got if r.doc_id == 2}) == 1
+        seen.add(tuple(sorted((r.doc_id, r.n_shingles, r.component_id) for r in got)))
+    assert len(seen) == 1 and (4, 36, 1) in next(iter(seen))
+
+
+def test_exact_sets_count_shingles():
+    texts = ["a b c d e f a b c d e", "A b c d e", "", "one two", "two one", "x", "a b c d e f a b c d e"]
+    got = [set(x.tolist()) for x in setsketch.exact_sets(texts)]
+    want = [shingles(t) for t in texts]
+    assert [[len(x & y) for y in got] for x in got] == [[len(x & y) for y in want] for x in want]
+
+
 def test_sketch_is_mergeable_and_estimates():
     rng = np.random.default_rng(0)
     for size, share in ((40, 0.5), (300, 0.8), (3000, 0.75)):
