@@ -7,7 +7,6 @@ sample which the weights have not seen.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,26 +25,44 @@ SAMPLE_PER_LANGUAGE = 500
 #: Labels up to this number are broadcast with their shares; with more the join shuffles.
 BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
-def counts_of(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
-    """How often the text has n-grams of each bucket: lower case, other characters than letters as one blank each."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+def counts_of(texts: list[str], orders: tuple[int, ...] = ORDERS) -> np.ndarray:
+    """How often each text has n-grams of each bucket, shape (texts, BUCKETS): lower case, other characters than letters as one blank each."""
+    parts = [np.frombuffer(t.lower().encode("utf-32-le", "replace"), np.uint32) for t in texts]
+    points, size = np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array([len(p) for p in parts], np.int64)
     points = np.where((points < 97) | ((points > 122) & (points < 0xC0)), np.uint32(32), points).astype(U)
-    out, key = np.zeros(BUCKETS, np.int64), np.zeros(len(points), U)
+    owner = np.repeat(np.arange(len(parts)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(points))
+    out, key = np.zeros(len(parts) * BUCKETS, np.int32), np.zeros(len(points), U)
     with np.errstate(over="ignore"):
         for n in range(1, max(orders) + 1):
             if len(points) < n:
                 break
             key = key[: len(points) - n + 1] * U(0x110001) + points[n - 1 :]
             if n in orders:
-                out += np.bincount((mix(key + U(n)) >> U(50)).astype(np.int64), minlength=BUCKETS)
-    return out
+                own = left[: len(key)] >= n
+                out += np.bincount(owner[: len(key)][own] * BUCKETS + (mix(key[own] + U(n)) >> U(50)).astype(np.int64), minlength=len(out)).astype(np.int32)
+    return out.reshape(len(parts), BUCKETS)
+
+
+def batches_of(texts: list[str | None], rows: int = 24, most: int = 1 << 18) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Places and n-gram counts of the texts that have a letter, a few at a time."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        if has_letter(text):
+            held.append(i)
+            size += len(text)
+            if len(held) == rows or size > most:
+                yield held, counts_of([texts[k] for k in held])
+                held, size = [], 0
+    if held:
+        yield held, counts_of([texts[k] for k in held])
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether the text has a character of Unicode's letter categories."""
+    return bool(text) and (text.isalpha() or any(map(str.isalpha, text)))
 
 
 def training_fold(doc_id: Column, parts: int, held: int) -> Column:
@@ -56,20 +73,19 @@ def training_fold(doc_id: Column, parts: int, held: int) -> Column:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, df = 0, np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for text in batch.column("text"):
-            text = text.as_py()
-            if has_letter(text):
-                n += 1
-                df += counts_of(text) > 0
+        for held, counts in batches_of(batch.column("text").to_pylist()):
+            n += len(held)
+            df += (counts > 0).sum(0)
     at = np.flatnonzero(df)
     yield pa.record_batch([pa.array(np.concatenate(([-1], at))), pa.array(np.concatenate(([n], df[at])))], ["bucket", "n"])
 
 
 def _vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        counts = [counts_of(t) for t in f.text]
-        at = [np.flatnonzero(c) for c in counts]
-        yield pd.DataFrame({"lang": f.lang, "part": f.part, "buckets": [a.astype(np.int32) for a in at], "counts": [c[a].astype(np.int32) for c, a in zip(counts, at, strict=True)]})
+        for held, counts in batches_of(f.text.tolist()):
+            own = f.iloc[held]
+            at = [np.flatnonzero(c) for c in counts]
+            yield pd.DataFrame({"lang": own.lang, "part": own.part, "turn": own.turn, "buckets": [a.astype(np.int32) for a in at], "counts": [c[a] for c, a in zip(counts, at, strict=True)]})
 
 
 @dataclass
@@ -80,18 +96,23 @@ class Model:
     temperature: float
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        norm = np.sqrt((x * x).sum())
-        return (x / norm if norm else x) @ self.weights[:-1] + self.weights[-1]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
-        z = self.logits(counts_of(text)) / self.temperature
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        k = int(p.argmax())
-        return self.languages[k], float(p[k])
+        """Of each row of counts: the sparse rows' products with the weights, summed row by row."""
+        row, bucket = np.nonzero(counts)
+        x = np.log1p(counts[row, bucket]) * self.idf[bucket]
+        first = np.searchsorted(row, np.arange(len(counts)))
+        norm = np.sqrt(np.add.reduceat(x * x, first))
+        return np.add.reduceat(x[:, None] * self.weights[bucket], first) / norm[:, None] + self.weights[-1]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if self.languages:
+            for held, counts in batches_of(texts):
+                z = self.logits(counts) / self.temperature
+                p = np.exp(z - z.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                for i, k, row in zip(held, p.argmax(1).tolist(), p, strict=True):
+                    names[i], scores[i] = self.languages[k], float(row[k])
+        return names, scores
 
 
 def ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int = 6, batch: int = 16, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01, seed: int = 5) -> np.ndarray:
@@ -137,10 +158,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     few = sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
     shares = rows.join(F.broadcast(sizes) if few else sizes, "lang")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = shares.where(draw < F.col("share")).where(F.col("text").rlike(r"\p{L}")).select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).alias("part"))
-    seen = chosen.mapInPandas(_vectors, "lang string, part long, buckets array<int>, counts array<int>").toPandas()
-    seen = seen.assign(buckets=seen.buckets.map(np.asarray), counts=seen.counts.map(np.asarray))
-    seen = seen.assign(key=[(len(b), int(b.sum()), int(c.sum())) for b, c in zip(seen.buckets, seen.counts, strict=True)]).sort_values(["lang", "part", "key"])
+    chosen = shares.where(draw < F.col("share")).select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).alias("part"), F.xxhash64("doc_id", "text").alias("turn"))
+    seen = chosen.mapInPandas(_vectors, "lang string, part long, turn long, buckets array<int>, counts array<int>").toPandas()
+    seen = seen.assign(buckets=seen.buckets.map(np.asarray), counts=seen.counts.map(np.asarray)).sort_values(["lang", "part", "turn"])
     languages = sorted(seen.lang.unique())
     if not languages:
         return Model([], idf, np.zeros((BUCKETS + 1, 0)), 1.0)
@@ -169,7 +189,8 @@ def predictor(docs: DataFrame, model: Model) -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         known = shared.value
-        return pd.DataFrame([known.predict(t) for t in texts], columns=["lang_pred", "score"])
+        names, scores = known.predict(texts.tolist())
+        return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return predict(F.col("text").cast("string"))
 
@@ -184,7 +205,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return found.select("doc_id", "found.lang_pred", "found.score")
 
 
-def recognised(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
-    """The rows of docs, all columns, whose language is determined with a score of at least ``least``."""
-    found = predictor(docs, model)
-    return docs.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= least))
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns, whose language is determined: all but those that get ``und``."""
+    return docs.where(predictor(docs, model)["lang_pred"] != UNKNOWN)
