@@ -24,8 +24,10 @@ BINS = 512
 BITS = 4
 #: Rows of a block of neighbouring documents, about.
 BLOCK_ROWS = 2000
-#: Beyond so many blocks they grow instead: a block is sorted and read as a stream, so its size costs no memory.
-MOST_BLOCKS = 10_000
+#: Beyond so many blocks they grow instead (1 GB each at 100 TB): a block is sorted and read as a stream, so its size costs no memory.
+MOST_BLOCKS = 100_000
+#: Rows of the sample that the cuts between blocks come from, for each block: 16 bytes a row reach the driver.
+SAMPLED = 10
 _probe = np.argsort(seeded(BINS * BINS, 4242).reshape(BINS, BINS), axis=1)
 
 
@@ -139,27 +141,38 @@ def neighbours(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     without words have an empty fingerprint. A single row is its own next one. Other columns are ignored. Empty input:
     no rows.
 
-    Documents are dealt by ranges of doc_id, so only the first row of each range is sent twice.
+    Rows are dealt by ranges of this order (doc_id, then hash of the text), so only the first row of each range is sent
+    twice, and an id that many rows have, null too, is cut like others. Only rows equal in id and text stay together.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "fingerprints")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     count = rows.select("doc_id").count()
     parts = max(1, min(count // block_rows, MOST_BLOCKS))
-    cuts = rows.select("doc_id").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    bounds = spark.sparkContext.broadcast(np.unique(np.array(cuts)))  # one number for each block
+    share = min(1.0, SAMPLED * parts / max(1, count))
+    turned = [F.col("doc_id").isNull().cast("long").alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("id"), F.col("h")]  # ascending
+    sample = rows.select(*turned).where(F.pmod(F.xxhash64("doc_id", "h", F.lit(3)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).toPandas() if parts > 1 else pd.DataFrame({"none": [], "id": [], "h": []})
+    keys = sample.to_numpy(np.int64).T
+    keys = keys[:, np.lexsort(keys[::-1])]
+    bounds = spark.sparkContext.broadcast(keys[:, [len(keys[0]) * k // parts for k in range(1, parts)]] if len(keys[0]) >= parts else keys)
 
     @F.pandas_udf("long")
-    def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds.value) - np.searchsorted(bounds.value, ids.to_numpy(float, na_value=-np.inf)))
-
-    dealt = rows.withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(1 << 40)).otherwise(block_of(F.coalesce("doc_id", F.lit(0)))))
-    place = F.struct((-F.col("doc_id")).alias("a"), F.xxhash64("text").alias("b"), F.col("text").alias("c"))
+    def block_of(none: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        cuts = bounds.value
+        none, ids, hashes = (np.concatenate((c, x.to_numpy(np.int64))) for c, x in zip(cuts, (none, ids, hashes), strict=True))
+        order = np.lexsort((np.arange(len(ids)) >= cuts.shape[1], hashes, ids, none))
+        passed = np.cumsum(order < cuts.shape[1])  # cuts that are not behind the row
+        out = np.zeros(len(order), np.int64)
+        out[order] = passed
+        return pd.Series(out[cuts.shape[1] :])
+
+    dealt = rows.withColumn("block", block_of(*turned))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), (-F.col("doc_id")).alias("a"), F.col("h").alias("b"), F.col("text").alias("c"))
     firsts = dealt.groupBy("block").agg(F.min(place).alias("first"))
     heads = scratch.save(firsts.select("block", (-F.col("first.a")).alias("doc_id"), F.col("first.c").alias("text")), "heads")
     turn = heads.select("block").toPandas()["block"].sort_values().tolist()  # one number for each block
     after = spark.createDataFrame([(b, turn[k - 1]) for k, b in enumerate(turn)], "block long, goes_to long")
     tails = heads.join(after, "block").select("doc_id", "text", F.col("goes_to").alias("block"), F.lit(True).alias("tail"))
     both = dealt.select("doc_id", "text", "block", F.lit(False).alias("tail")).union(tails)
-    ordered = both.repartition("block").sortWithinPartitions("block", "tail", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    ordered = both.repartition(parts, "block").sortWithinPartitions("block", "tail", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
     return ordered.select("block", "tail", "doc_id", "text").mapInArrow(_compare, "doc_id long, n_chars long, edited string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")

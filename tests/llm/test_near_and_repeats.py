@@ -244,6 +244,35 @@ def test_fingerprints_of_neighbours(docs, rows):
     assert oph.neighbours(docs.where("doc_id = 0").limit(1)).first().near_next == 1.0
 
 
+def plain_signature(elements):
+    """One permutation: bin and rank of each element; an empty bin takes the value of the first full bin in its probe order."""
+    from contextmill.llm.words import U, mix, seeded
+
+    best = {}
+    for h in mix(np.array(sorted(elements), np.uint64) ^ U(0x94D049BB133111EB)).tolist():
+        best[h >> 55] = min(best.get(h >> 55, 1 << 60), h & ((1 << 55) - 1))
+    out = []
+    for k in range(oph.BINS):
+        at = k if k in best else next(p for p in oph._probe[k].tolist() if p in best)
+        with np.errstate(over="ignore"):
+            out.append(int(mix(np.array([best[at]], np.uint64) + seeded(oph.BINS, 31)[k : k + 1])[0]) & ((1 << oph.BITS) - 1))
+    return out
+
+
+def test_signatures_equal_the_plain_version():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 2, 7, 60, 500, 4000)]
+    got = oph.signatures(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))))
+    assert got.tolist() == [plain_signature(x.tolist()) for x in sets]
+
+
+def test_neighbours_of_a_doc_id_that_most_rows_have(spark):
+    rows = [(None, f"a b c d e f {i}") for i in range(40)] + [(7, f"x y z {i} v w") for i in range(40)] + [(i, f"t {i}") for i in range(20, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = lambda out: sorted((str(r.doc_id), r.n_chars, r.edited, r.near_next) for r in out.collect())
+    assert pairs(oph.neighbours(df, block_rows=6)) == pairs(oph.neighbours(df, block_rows=1000)) and oph.neighbours(df, block_rows=6).count() == len(rows)
+
+
 def test_equal_texts_have_equal_fingerprints(docs):
     prints = defaultdict(set)
     for r in oph.fingerprints(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
