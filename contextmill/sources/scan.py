@@ -17,6 +17,8 @@ SECRETS = (
     "*credentials.json .npmrc .pypirc .netrc .htpasswd .pgpass .aws/credentials .aws/config .ssh/* gcp-*.json service-account*.json serviceaccount*.json"
 ).split()
 PREVIEW = 2000
+#: Files that runs of this library leave in a tree: no part of what the next run scans.
+ARTIFACTS = ("run.json", "run.md", "contextmill-plan*.json", "contextmill-plan*.md", "contextmill-dataset*.json", "contextmill-dataset*.md", "*.contextmill_cache.json")
 
 
 def matches(path: Column, globs: list[str] | tuple[str, ...]) -> Column:
@@ -47,18 +49,24 @@ def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), max_bytes
     """path, size, stamp, kind, and for included files content_hash, line_count, preview, symbols and imports.
 
     Spark's file source lists no names that begin with a point or underscore, so such files are never read.
-    kind is the first that fits of excluded (ignored folders, secrets), ignored, too_large, binary, included. With
-    ``most`` the scan ends after so many files in order of path.
+    kind is the first that fits of excluded (ignored folders, secrets, results of earlier runs), ignored, too_large,
+    unreadable, binary, included. With ``most`` the scan ends after so many files in order of path; only paths are ordered,
+    and only files that may be included are read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     base = root.rstrip("/") + "/"
     path = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^/*(?=" + base.lstrip("/").replace(".", "\\.") + ")" + base.lstrip("/").replace(".", "\\."), "")
     pruned = F.exists(F.split("path", "/"), lambda p: p.isin(*IGNORED_FOLDERS) | p.startswith(".venv") | p.startswith("venv-"))
-    rows = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("stamp"), "content")
-    kind = F.when(pruned | matches(F.col("path"), SECRETS), "excluded").when(matches(F.col("path"), ignore), "ignored").when(F.col("size") > max_bytes, "too_large").when(F.hex(F.substring("content", 1, 1024)).rlike("^(?:..)*?00"), "binary").otherwise("included")
-    rows = rows.withColumn("kind", kind).withColumn("text", F.when(F.col("kind") == "included", F.decode("content", "UTF-8"))).drop("content")
+    # paths alone first: Spark's source reads no content for them
+    listed = read.load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("stamp")).withColumn("file", F.col("path")).withColumn("path", path)
+    kind = F.when(pruned | matches(F.col("path"), [*SECRETS, *ARTIFACTS]), "excluded").when(matches(F.col("path"), ignore), "ignored").when(F.col("size") > max_bytes, "too_large")
+    listed = listed.withColumn("kind", kind)
     if most is not None:
-        rows = rows.orderBy("path").limit(most)
+        listed = listed.orderBy("path").limit(most)
+    texts = read.load(root).where(F.col("length") <= max_bytes).select(F.col("path").alias("file"), "content")
+    zero = F.hex(F.substring("content", 1, 1024)).rlike("^(?:..)*?00")
+    rows = listed.where("kind is null").join(texts, "file", "left").withColumn("kind", F.when(F.col("content").isNull(), "unreadable").when(zero, "binary").otherwise("included"))
+    rows = rows.withColumn("text", F.when(F.col("kind") == "included", F.decode("content", "UTF-8"))).drop("content").unionByName(listed.where("kind is not null"), allowMissingColumns=True)
     out = rows.select("path", "size", "stamp", "kind", F.sha1("text").alias("content_hash"), S.line_count(F.col("text")).alias("line_count"), F.substring("text", 1, PREVIEW).alias("preview"), symbols(F.col("text")).alias("symbols"), imports(F.col("path"), F.col("text")).alias("imports"))
     return out.withColumn("path", F.concat(F.lit(f"{label}:"), F.col("path"))) if label else out
 
@@ -69,10 +77,23 @@ def symbols(text: Column) -> Column:
 
 
 def imports(path: Column, text: Column) -> Column:
-    """Import specs of Python and JavaScript or TypeScript files."""
-    python = F.concat(F.regexp_extract_all(text, F.lit(r"(?m)^\s*import\s+([\w.]+)"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?m)^\s*from\s+([\w.]+)\s+import"), F.lit(1)))
-    script = F.regexp_extract_all(text, F.lit(r"""(?:from\s+|require\(\s*|import\s+|import\(\s*)['"]([^'"]+)['"]"""), F.lit(1))
-    return F.array_distinct(F.when(path.endswith(".py"), python).when(path.rlike(r"\.(?:tsx?|jsx?|mjs|cjs)$"), script).otherwise(F.array().cast("array<string>")))
+    """Import specs of Python, script and Go files, sorted.
+
+    Names that a ``from`` line imports count as modules below the one named too.
+    """
+    every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    name = lambda x: F.regexp_extract(F.trim(x), r"^(\S*)", 1)
+    plain = F.transform(F.flatten(F.transform(every(r"(?m)^[ \t]*import[ \t]+([^\n#(\"']+)"), lambda x: F.split(x, ","))), name)
+    lines = F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*from[ \t]+[.\w]+[ \t]+import[ \t]+[^\n#]+"), F.lit(0))
+    module = lambda x: F.regexp_extract(x, r"^[ \t]*from[ \t]+([.\w]+)", 1)
+    names = lambda x: F.filter(F.transform(F.split(F.regexp_replace(F.regexp_extract(x, r"import[ \t]+(.*)$", 1), r"[()]", ""), ","), name), lambda n: ~n.isin("", "*"))
+    below = lambda x: F.transform(names(x), lambda n: F.concat(module(x), F.when(module(x).endswith("."), "").otherwise("."), n))
+    python = F.concat(plain, F.transform(lines, module), F.flatten(F.transform(lines, below)))
+    script = F.concat(every(r"""\bfrom\s+['"]([^'"]+)['"]"""), every(r"""\bimport\s*\(?\s*['"]([^'"]+)['"]"""), every(r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)"""))
+    blocks = F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*import[ \t]*\(([^)]*)\)"), F.lit(1))
+    go = F.concat(every(r'(?m)^[ \t]*import[ \t]+"([^"]+)"[ \t]*$'), F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r'(?m)^[ \t]*"([^"]+)"[ \t]*$'), F.lit(1)))))
+    kinds = F.when(path.endswith(".py"), python).when(path.rlike(r"\.(?:tsx?|jsx?|mjs|cjs)$"), script).when(path.endswith(".go"), go)
+    return F.array_sort(F.array_distinct(F.filter(F.coalesce(kinds, F.array().cast("array<string>")), lambda x: x != "")))
 
 
 def refresh(old: DataFrame, new: DataFrame) -> DataFrame:
