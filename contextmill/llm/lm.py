@@ -260,9 +260,9 @@ def _described(texts: DataFrame, hashes: np.ndarray, singles: int) -> np.ndarray
         at = np.flatnonzero(met)
         yield pa.record_batch([pa.array(at), pa.array(met[at])], ["place", "n"])
 
-    met = texts.mapInArrow(pairs, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    met = texts.mapInArrow(pairs, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     m = np.zeros(singles * singles)
-    m[met.place.to_numpy()] = met.n.to_numpy()
+    m[met["place"].to_numpy()] = met["n"].to_numpy()
     m = m.reshape(singles, singles)
     m = m + m.T
     whole = max(1.0, m.sum())
@@ -289,9 +289,10 @@ def _described(texts: DataFrame, hashes: np.ndarray, singles: int) -> np.ndarray
         yield pa.record_batch([pa.array(at), pa.array(n[at]), *(pa.array(total[at, k]) for k in range(COMPANY))], ["word", "n", *(f"x{k}" for k in range(COMPANY))])
 
     columns = ["n", *(f"x{k}" for k in range(COMPANY))]
-    sums = texts.mapInArrow(company, "word long, " + ", ".join(f"{c} long" for c in columns)).groupBy("word").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+    sums = texts.mapInArrow(company, "word long, " + ", ".join(f"{c} long" for c in columns)).groupBy("word").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
     out = np.zeros((len(hashes), COMPANY))
-    out[sums.word.to_numpy()] = sums[columns[1:]].to_numpy(float) / (1 << 20) / (sums.n.to_numpy(float)[:, None] + 1)
+    for k, c in enumerate(columns[1:]):
+        out[sums["word"].to_numpy(), k] = sums[c].to_numpy() / (1 << 20) / (sums["n"].to_numpy() + 1)
     return out
 
 
@@ -307,8 +308,8 @@ def fit(training: DataFrame, scratch: Scratch, singles: int = SINGLES, parts: in
     sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     least = sizes.withColumn("so_far", F.sum("words").over(W.orderBy(F.desc("n")))).where(F.col("so_far") <= lexicon).agg(F.min("n")).first()[0]
     known = F.col("word") == int(signed(np.array([END]))[0])
-    top = counts.where(known if least is None else known | (F.col("n") >= least)).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    hashes, n = top.word.to_numpy(np.int64).view(U), top.n.to_numpy(np.int64)
+    top = counts.where(known if least is None else known | (F.col("n") >= least)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    hashes, n = top["word"].to_numpy().view(U), top["n"].to_numpy()
     alone = min(singles, len(hashes))
     ids = np.arange(len(hashes))
     if len(hashes) > alone:
@@ -375,9 +376,9 @@ def fit(training: DataFrame, scratch: Scratch, singles: int = SINGLES, parts: in
                 yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), learned))], ["place", "value", "weight"])
 
         rows = dealt.where(F.col("round") == step).repartition("shard").sortWithinPartitions("shard", "turn", "text").select("shard", "text")
-        sums = rows.mapInArrow(train, "place long, value long, weight long").groupBy("place").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).toPandas().sort_values("place")
+        sums = rows.mapInArrow(train, "place long, value long, weight long").groupBy("place").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).toArrow().sort_by("place")
         if len(sums):
-            mean = sums.value.to_numpy(float) / sums.weight.to_numpy(float) / (1 << 24)
+            mean = sums["value"].to_numpy() / sums["weight"].to_numpy() / (1 << 24)
             start, gain = start.of(mean[: len(mean) // 2]), gain.of(mean[len(mean) // 2 :])
     return Model(lex, Tables.of(start), counts, int(whole["n"]), int(whole["v"]), outside, int(whole["v"]) - len(hashes))
 

@@ -3,7 +3,7 @@
 Numbers, names and units become typed placeholders, so a question with other values has the same template. Windows of
 template tokens are hash-joined between documents and benchmark items, in three forms: as they are in any case (so exact
 copies meet whatever they hold), with placeholders where half of the tokens at least stay literal, and with some capitalised
-words that begin a sentence as names too. Windows have eight tokens, fewer for short items, so that one changed word
+words that begin a sentence as names too. A run of capitalised words is one name. Windows have eight tokens, fewer for short items, so that one changed word
 leaves half of them. What meets at nearby shifts between document and item forms one alignment in ascending order; its
 slot values map one to one, and it has to cover half of the item's windows.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,10 @@ from contextmill.llm.scratch import Scratch
 from contextmill.llm.words import _BASE, FOLD, U, Words, _powers_of, chunks, mix, seeded, signed, spans, words_of
 
 WINDOW = 8
-#: Items with fewer tokens are too short to recognise and match nothing.
+#: Items with fewer tokens have no templates: they match by their words alone.
 SHORTEST = 5
+#: Items with so few tokens match only texts that consist of them.
+BARE = 2
 COVERAGE = 0.5
 #: Window hashes of the benchmark up to this number (8 bytes each) are broadcast as a filter; beyond it all windows are joined.
 BROADCAST_WINDOWS = 2_000_000
@@ -36,6 +39,11 @@ UNITS = (
     "usd eur gbp dollar dollars euro euros cent cents percent pct degree degrees celsius fahrenheit kelvin"
 ).split()
 
+#: Number words in lower case.
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
+
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _TOKEN = _DIGIT.copy()
@@ -43,7 +51,14 @@ _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
 NUMBER, NAME, UNIT = seeded(3, 909)
-_unit_hashes = np.sort(words_of(np.frombuffer(" ".join(UNITS).encode(), np.uint8), np.array([0, len(" ".join(UNITS))]), _TOKEN, FOLD).hashes)
+_hashes_of = lambda words: np.sort(words_of(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]), _TOKEN, FOLD).hashes)
+_unit_hashes, _number_hashes = _hashes_of(UNITS), _hashes_of(NUMBERS)
+#: Whether each character below 2,048 (one or two bytes) is a capital letter.
+_CAPITAL = np.array([chr(c).isupper() for c in range(2048)])
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
 def lowered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +84,8 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     """Tokens, their template hashes, whether each is a slot, and whether it may be one.
 
     A token is a run of letters and digits (bytes from 128 count as letters); a point or comma between digits belongs to
-    the number. Tokens with a digit are numbers; capitalised tokens that do not begin a sentence or line are names, and
-    those that do may be.
+    the number. Tokens with a digit and number words are numbers; capitalised tokens that do not begin a sentence or line
+    are names, and those that do may be.
     """
     seen, marks = _joined_numbers(data)
     w = words_of(seen, offsets, _TOKEN, FOLD)
@@ -79,20 +94,56 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
         w.hashes = words_of(_joined_numbers(low)[0], low_offsets, _TOKEN, FOLD).hashes
     count = lambda flags: np.concatenate(([0], np.cumsum(flags)))
     digits, stops = count(_DIGIT[data]), count(_STOP[data] & ~marks)
-    number = digits[w.end] > digits[w.start]
-    head = data[w.start]
-    second = data[np.minimum(w.start + 1, len(data) - 1)] if len(data) else head
-    upper = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
+    number = (digits[w.end] > digits[w.start]) | _among(w.hashes, _number_hashes)
+    head = data[w.start].astype(np.int64)
+    second = data[np.minimum(w.start + 1, len(data) - 1)].astype(np.int64) if len(data) else head
+    point = np.where(head < 128, head, np.where((head >= 0xC2) & (head < 0xE0), (head & 31) << 6 | second & 63, 0))
+    upper = _CAPITAL[point]
     before = np.concatenate(([0], w.end[:-1])) if len(w.end) else w.end
     opens = stops[w.start] > stops[before]
     opens[w.offsets[:-1][w.counts > 0]] = True
-    at = np.minimum(np.searchsorted(_unit_hashes, w.hashes), len(_unit_hashes) - 1)
-    unit = (_unit_hashes[at] == w.hashes) & ~number
+    unit = _among(w.hashes, _unit_hashes) & ~number
     name = upper & ~opens & ~number & ~unit
     kind = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, w.hashes)))
     return w, kind, number | name | unit, upper & opens & ~number & ~unit
 
 
+@dataclass
+class View:
+    """Tokens of several texts as windows see them: hashes of words, of the template, slots, what may be one; each text's
+    first token, and the place of each token among all words of its text."""
+
+    words: np.ndarray
+    kind: np.ndarray
+    slot: np.ndarray
+    maybe: np.ndarray
+    offsets: np.ndarray
+    place: np.ndarray
+    forms: tuple[int, ...]
+
+
+def views_of(w: Words, kind: np.ndarray, slot: np.ndarray, maybe: np.ndarray) -> list[View]:
+    """All words for the literal form; for the others each run of names as one token, with a capital before it that begins a sentence."""
+    place = np.arange(len(kind)) - np.repeat(w.offsets[:-1], w.counts)
+    name = kind == NAME
+    begins = maybe.copy()
+    begins[:-1] &= name[1:]
+    begins[-1:] = False
+    begins[w.offsets[1:][w.counts > 0] - 1] = False  # of another text
+    named = name | begins
+    goes_on = np.zeros(len(named), bool)
+    goes_on[1:] = name[1:] & named[:-1]
+    goes_on[w.offsets[:-1][w.counts > 0]] = False
+    every = View(w.hashes, kind, slot, maybe, w.offsets, place, (LITERAL,))
+    if not goes_on.any():
+        return [every, View(w.hashes, kind, slot, maybe, w.offsets, place, (TEMPLATE, NAMED))]
+    first = np.flatnonzero(~goes_on)
+    ends = np.concatenate((first[1:], [len(named)]))
+    words = np.where(ends - first > 1, spans(w.hashes, first, ends, _AS_NAME), w.hashes[first])
+    run = named[first]
+    return [every, View(words, np.where(run, NAME, kind[first]), slot[first] | run, maybe[first] & ~run, np.searchsorted(first, w.offsets), place[first], (TEMPLATE, NAMED))]
+
+
 def window_size(total: np.ndarray | int, window: int = WINDOW):
     """Tokens in the windows of an item: all of a short item, else so many that one changed token leaves half of the windows."""
     return np.where(np.asarray(total) <= window, total, np.minimum(window, (np.asarray(total) + 1) // 3))
@@ -100,12 +151,14 @@ def window_size(total: np.ndarray | int, window: int = WINDOW):
 
 #: Forms of a window: its words in lower case; placeholders; placeholders, with words that begin a sentence as names.
 LITERAL, TEMPLATE, NAMED = 0, 1, 2
-_AS_WORDS, _AS_TEMPLATE = 0x2127599BF4325C37, 0x4CF5AD432745937F
+_AS_WORDS, _AS_TEMPLATE, _AS_NAME = 0x2127599BF4325C37, 0x4CF5AD432745937F, 0x9FB21C651E98DF25
 
 
-def _forms(where: np.ndarray, size: int, words: np.ndarray, kind: np.ndarray, slot: np.ndarray, maybe: np.ndarray):
-    """(form, windows, hashes, names): each form of the windows; names are arrays of the places of chosen sentence beginnings."""
-    yield LITERAL, where, spans(words, where, where + size, _AS_WORDS), []
+def _forms(where: np.ndarray, size: int, words: np.ndarray, kind: np.ndarray, slot: np.ndarray, maybe: np.ndarray, forms: tuple[int, ...]):
+    """(form, windows, hashes, names): the asked forms of the windows; names are arrays of the places of chosen sentence beginnings."""
+    if LITERAL in forms:
+        yield LITERAL, where, spans(words, where, where + size, _AS_WORDS), []
+        return
     slots = np.concatenate(([0], np.cumsum(slot)))
     own = where[slots[where + size] > slots[where]]  # without a slot it is the literal form
     yield TEMPLATE, own, spans(kind, own, own + size, _AS_TEMPLATE), []
@@ -145,44 +198,53 @@ def _windows(sizes: list[int], filtered: object, whole_items: bool, window: int
                 if wanted is not None and not len(wanted):
                     continue
                 w, kind, slot, maybe = tokens_of(data, offsets)
-                total = np.repeat(w.counts, w.counts)
-                left = np.repeat(w.offsets[1:], w.counts) - np.arange(len(kind))
+                if not len(kind):
+                    continue
+                whole = w.counts
+                strange = np.zeros(len(kind) + 1, np.int64)
                 if wanted is not None:  # words that are literal in every form have to stand in this order in some item
+                    left = np.repeat(w.offsets[1:], w.counts) - np.arange(len(kind))
                     plain = ~(slot | maybe)
                     two = np.flatnonzero((left >= 2)[:-1] & plain[:-1] & plain[1:])
                     hashes = spans(w.hashes, two, two + 2, _AS_WORDS)
-                    strange = np.zeros(len(kind) + 1, np.int64)
-                    strange[two + 1] = pairs[np.minimum(np.searchsorted(pairs, hashes), len(pairs) - 1)] != hashes
+                    strange[two + 1] = pairs[np.minimum(np.searchsorted(pairs, hashes), len(pairs) - 1)] != hashes if len(pairs) else 1
                     strange = np.cumsum(strange)
-                for size in sizes:
-                    fits = left >= size
-                    if wanted is not None and len(fits) >= size:
-                        fits[: len(fits) - size + 1] &= strange[size - 1 : len(fits)] == strange[: len(fits) - size + 1]
-                    if whole_items:
-                        fits &= (total >= SHORTEST) & (window_size(total, window) == size)
-                    starts = np.flatnonzero(fits)
-                    for s in range(0, len(starts), 1 << 15):
-                        part = starts[s : s + (1 << 15)]
-                        a, b = part[0], part[-1] + size
-                        for form, where, hashes, names in _forms(part - a, size, w.hashes[a:b], kind[a:b], slot[a:b], maybe[a:b]):
-                            where, names = where + a, [at + a for at in names]
-                            if wanted is not None:
-                                near = np.flatnonzero(gate[(hashes >> U(42)).astype(np.int64)])
-                                same = near[wanted[np.minimum(np.searchsorted(wanted, hashes[near]), len(wanted) - 1)] == hashes[near]]
-                                where, hashes, names = where[same], hashes[same], [at[same] for at in names]
-                            if not len(where):
-                                continue
-                            inside = where[:, None] + np.arange(size)
-                            held = slot[inside] if form != LITERAL else np.zeros(inside.shape, bool)
-                            for at in names:
-                                held[np.arange(len(where)), at - where] = True
-                            ends = np.concatenate(([0], np.cumsum(held.sum(1)))).astype(np.int32)
-                            owner = np.searchsorted(w.offsets, where, "right") - 1
-                            yield pa.record_batch(
-                                [batch.column("id").take(pa.array(lo + owner)), pa.array((where - w.offsets[owner]).astype(np.int64)), pa.array(np.full(len(where), size, np.int32)), pa.array(signed(hashes)),
-                                 pa.array(np.full(len(where), form, np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(mix(w.hashes[inside][held])))), pa.array((~held).sum(1).astype(np.int32)), pa.array(total[where].astype(np.int64))],
-                                ["id", "at", "size", "hash", "form", "slots", "literals", "total"],
-                            )
+                for view in views_of(w, kind, slot, maybe):
+                    counts = np.diff(view.offsets)
+                    total = np.repeat(counts, counts)
+                    left = np.repeat(view.offsets[1:], counts) - np.arange(len(total))
+                    seen = strange[np.repeat(w.offsets[:-1], counts) + view.place] if wanted is not None else None
+                    for size in sizes:
+                        fits = left >= size
+                        if wanted is not None and len(fits) >= size:
+                            fits[: len(fits) - size + 1] &= seen[size - 1 :] == seen[: len(fits) - size + 1]
+                        if whole_items:
+                            fits &= window_size(total, window) == size
+                            if LITERAL not in view.forms:
+                                fits &= total >= SHORTEST
+                        starts = np.flatnonzero(fits)
+                        for s in range(0, len(starts), 1 << 15):
+                            part = starts[s : s + (1 << 15)]
+                            a, b = part[0], part[-1] + size
+                            for form, where, hashes, names in _forms(part - a, size, view.words[a:b], view.kind[a:b], view.slot[a:b], view.maybe[a:b], view.forms):
+                                where, names = where + a, [at + a for at in names]
+                                if wanted is not None:
+                                    near = np.flatnonzero(gate[(hashes >> U(42)).astype(np.int64)])
+                                    same = near[wanted[np.minimum(np.searchsorted(wanted, hashes[near]), len(wanted) - 1)] == hashes[near]]
+                                    where, hashes, names = where[same], hashes[same], [at[same] for at in names]
+                                if not len(where):
+                                    continue
+                                inside = where[:, None] + np.arange(size)
+                                held = view.slot[inside] if form != LITERAL else np.zeros(inside.shape, bool)
+                                for at in names:
+                                    held[np.arange(len(where)), at - where] = True
+                                ends = np.concatenate(([0], np.cumsum(held.sum(1)))).astype(np.int32)
+                                owner = np.searchsorted(view.offsets, where, "right") - 1
+                                yield pa.record_batch(
+                                    [batch.column("id").take(pa.array(lo + owner)), pa.array(view.place[where].astype(np.int64)), pa.array(np.full(len(where), size, np.int32)), pa.array(signed(hashes)),
+                                     pa.array(np.full(len(where), form, np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(mix(view.words[inside][held])))), pa.array((~held).sum(1).astype(np.int32)), pa.array(whole[owner].astype(np.int64))],
+                                    ["id", "at", "size", "hash", "form", "slots", "literals", "total"],
+                                )
 
     return run
 
@@ -259,13 +321,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
     """(doc_id, item_id, matched, windows, coverage): the best consistent alignment of every document and item that meet.
 
     A window counts if its slot values map one to one, and an alignment (windows at shifts that differ by less than the
-    item's length) as in ``aligned``. Pairs that cannot reach the least coverage may be left out. Items and documents with
-    null text match nothing.
+    item's length) as in ``aligned``. Items of fewer than SHORTEST tokens match by their words as a whole, those of up to
+    BARE only texts that hold nothing else. Pairs that cannot reach the least coverage may be left out. Items and documents
+    with null text match nothing.
     """
     scratch = Scratch(docs.sparkSession, "templates")
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").distinct()
-    sizes = list(range(min(SHORTEST, int(window_size(window + 1, window))), window + 1))
-    of_items = items.mapInArrow(_windows(sizes, None, True, window), _ROWS).where(f"form = {LITERAL} or 2 * literals >= size")
+    of_items = items.mapInArrow(_windows(list(range(1, window + 1)), None, True, window), _ROWS).where(f"form = {LITERAL} or 2 * literals >= size")
     of_items = scratch.save(of_items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "size", "hash", "form", F.col("slots").alias("item_slots"), "total"), "items")
     filtered = None
     if of_items.count() <= BROADCAST_WINDOWS:  # the size is checked: at most 16 MB; otherwise every window takes part in the join
@@ -275,8 +337,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
         filtered = docs.sparkSession.sparkContext.broadcast((np.sort(held), np.sort(pairs)))
     used = [r["size"] for r in of_items.select("size").distinct().collect()] or [window]
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_windows(sorted(used), filtered, False), _ROWS).select(F.col("id").alias("doc_id"), "at", "size", "hash", "form", "slots")
-    met = found.join(of_items.drop("form"), ["hash", "size"]).where(one_to_one(F.col("slots"), F.col("item_slots")))
+    found = texts.mapInArrow(_windows(sorted(used), filtered, False), _ROWS).select(F.col("id").alias("doc_id"), "at", "size", "hash", "form", "slots", F.col("total").alias("doc_total"))
+    met = found.join(of_items.drop("form"), ["hash", "size"]).where(one_to_one(F.col("slots"), F.col("item_slots"))).where(f"total > {BARE} or doc_total = total")
     met = met.withColumn("shift", F.col("at") - F.col("item_at"))
     # every two shifts of a document and item that differ by less than its length share a part, and a part has at most twice as many
     part = F.floor(F.col("shift") / F.col("total"))
@@ -296,7 +358,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, contaminated, items (sorted item ids), coverage (best, 0 if none) for every row of docs.
+    """doc_id, contaminated, items (sorted item ids), coverage (of the best of these, 0 without any) for every row of docs.
 
     Rows that repeat a doc_id, null included, are judged as one document. Empty and null texts are clean. Other columns
     are ignored; repeated items count once for each item_id. Empty benchmark: all clean. Empty docs: no rows.

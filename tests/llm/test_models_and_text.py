@@ -270,7 +270,7 @@ def test_main_text_of_all_pages_of_the_table(spark):
 def test_language_model_scores(spark, docs, rows):
     learn = language.training_fold(F.col("doc_id"), 5, 1)
     scratch = Scratch(spark, "lm")
-    model = lm.fit(docs.where(learn), scratch, vocabulary=40, frequent=60)
+    model = lm.fit(docs.where(learn), scratch, singles=20, parts=16, lexicon=60)
     got = lm.scores(docs, model, scratch).collect()
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     tokens = lambda t: [*WORD.findall(low(t)), "\n"]
@@ -279,15 +279,64 @@ def test_language_model_scores(spark, docs, rows):
     want = sorted((str(r[0]), len(k := tokens(r[1])), sum(counts[w] > 0 for w in k), round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in k), 6)) for r in rows)
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
     assert all(r.train_tokens == n and math.isfinite(r.score) and r.score < 0 for r in got)
-    t = model.tables
+    t, lex = model.tables, model.lexicon
     assert np.allclose(np.exp(t.near[:, None, :].astype(float) + t.far[None, :, :] - t.whole[:, :, None]).sum(2), 1, atol=1e-4)  # normalised
+    # the score by its definition, word by word
+    from contextmill.llm.words import NOT_SPACE, FOLD, words_of
+
+    def place(word):
+        h = lm.END if word == "\n" else words_of(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]), NOT_SPACE, FOLD).hashes[0]
+        return int(lex.find(np.array([h], np.uint64))[0])
+
+    places = {w: place(w) for r in rows for w in tokens(r[1])}
+    of_class = lambda w: int(lex.ids[places[w]]) if places[w] >= 0 else lex.other
+    inside = [w for w in counts if places[w] >= 0]
+    rest = [w for w in counts if places[w] < 0]
+    sums = {k: (sum(counts[w] for w in inside if of_class(w) == k), sum(of_class(w) == k for w in inside)) for k in set(map(of_class, inside))}
+
+    def share(w):
+        if places[w] < 0:
+            return (counts[w] + 0.5) / (sum(counts[x] for x in rest) + 0.5 * (len(rest) + 1))
+        whole, members = sums[of_class(w)]
+        return 1.0 if members == 1 else (counts[w] + 0.5) / (whole + 0.5 * members)
+
+    def plain(text):
+        total, one, two = 0.0, lex.other + 1, lex.other + 1
+        for w in tokens(text):
+            k = of_class(w)
+            total += (float(t.near[one, k]) + float(t.far[two, k]) - float(t.whole[one, two])) / math.log(10) + math.log10(share(w))
+            one, two = k, one
+        return total
+
+    texts = {(r[0], r[1]) for r in rows}
+    want = sorted((str(i), round(plain(x), 4)) for i, x in texts if i is not None and len(x or "") < 3000 and sum(j == i for j, _ in texts) == 1)
+    have = dict((str(r.doc_id), r.score) for r in got)
+    assert len(want) > 20 and all(have[i] == pytest.approx(x, abs=2e-3) for i, x in want)
     empty = lm.fit(docs.limit(0), scratch)
     assert all(math.isfinite(r.score) and r.n_known == 0 for r in lm.scores(docs, empty, scratch).collect()) and lm.scores(docs.limit(0), model, scratch).count() == 0
 
 
-def test_model_beats_the_unigram_on_held_out_text(spark):
-    out = queries.op8_lbl_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert out[0] > out[1]
+def test_model_beats_the_unigram_on_held_out_text_however_it_is_dealt(spark):
+    """By a tenth of a decimal digit a token and more; scores are equal for 1 and 16 partitions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    learn = language.training_fold(F.col("doc_id"), 5, 1)
+    seen = []
+    for parts in (1, 16):
+        scratch = Scratch(spark, "lm")
+        dealt = docs.repartition(parts)
+        out = lm.scores(dealt, lm.fit(dealt.where(learn), scratch), scratch)
+        seen.append({r.doc_id: r.score for r in out.collect()})
+        held = out.where(~learn).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        assert (held[0] - held[1]) / held[2] > 0.1
+    assert seen[0].keys() == seen[1].keys() and all(seen[1][k] == pytest.approx(x, rel=1e-9) for k, x in seen[0].items())
+
+
+def test_clusters_have_about_equal_weight():
+    rng = np.random.default_rng(3)
+    x, weight = rng.normal(size=(500, 4)), rng.random(500)
+    found = lm.clusters(x, weight, 16)
+    assert len(set(found.tolist())) == 16 and np.bincount(found, weight).max() < 2 * weight.sum() / 16
+    assert set(lm.clusters(x[:3], weight[:3], 16).tolist()) == {0, 1, 2} and len(lm.clusters(x[:0], weight[:0], 16)) == 0
 
 
 QUESTION = "A train leaves Berlin at 9 and travels 120 km to Hamburg at a speed of 60 km per hour, how long does the train from Berlin take to cover all 120 km?"
@@ -339,6 +388,51 @@ def test_templates_find_names_that_begin_sentences_or_have_two_words(spark):
     assert judged(spark, [apples, berlin], texts) == [[0], [0], [1], []]
 
 
+def test_templates_find_names_of_several_words_and_short_or_bare_items(spark):
+    route = "A train leaves Berlin at 9 and travels 120 km to Hamburg at a steady speed before the train from Berlin returns at night to the old depot."
+    bridges = "Berlin has 120 bridges and 40 parks. How many more bridges than parks does Berlin have if it closes 3 of them?"
+    items = [route, bridges, "What is 12 + 34 * 56 - 78 / 9 ?", "Who wrote Hamlet?", "Why?", "Tom has three red apples and eats two of them, how many are left?"]
+    texts = [
+        "see: " + route.replace("Berlin", "New York").replace("Hamburg", "Boston").replace("120", "300"),
+        bridges.replace("Berlin", "Paris").replace("120", "75").replace("40", "12"),
+        "New Orleans has 75 bridges and 12 parks. How many more bridges than parks does New Orleans have if it closes 3 of them?",
+        "they asked What is 12 + 34 * 56 - 78 / 9 ? and left",
+        "and who wrote hamlet in the end",
+        "Why?",
+        "why not",
+        "Eve has 17 red apples and eats 5 of them, how many are left?",
+        "Who wrote the play?",
+        "\u041c\u043e\u0441\u043a\u0432\u0430 has 75 bridges and 12 parks. How many more bridges than parks does \u041c\u043e\u0441\u043a\u0432\u0430 have if it closes 3 of them?",
+    ]
+    assert judged(spark, items, texts) == [[0], [1], [1], [2], [3], [4], [], [5], [], [1]]
+
+
+def test_recall_of_reparameterised_questions(spark):
+    """Generated questions with other numbers, names and units: nine of ten are found, and other questions are not."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("ka lo mi ren tas vo ner dul pri san".split()) for _ in range(rng.randint(2, 3)))
+    name = lambda: " ".join(word().capitalize() for _ in range(rng.choice((1, 1, 2))))
+
+    def question():
+        parts = []
+        for _ in range(rng.randint(2, 4)):
+            body = [word() for _ in range(rng.randint(5, 10))]
+            for hole in rng.sample(("{a}", "{b}", "{n}", "{m}"), rng.randint(1, 2)):
+                body.insert(rng.randint(0, len(body)), hole)
+            parts.append(" ".join(body))
+        return ". ".join(p[0].upper() + p[1:] for p in parts) + "?"
+
+    def filled(form):
+        a, b = name(), name()
+        return form.format(a=a, b=b, n=rng.randint(2, 900), m=f"{rng.randint(2, 90)} {rng.choice(('km', 'kg', 'hours'))}")
+
+    forms = [question() for _ in range(120)]
+    items = [filled(f) for f in forms]
+    texts = [" ".join(word() for _ in range(30)) + ". " + filled(f) + " " + " ".join(word() for _ in range(30)) for f in forms] + [filled(question()) for _ in range(120)]
+    found = judged(spark, items, texts)
+    assert sum(k in found[k] for k in range(120)) >= 108 and not any(found[120:])
+
+
 def test_templates_find_exact_copies_of_few_literals_and_of_any_case(spark):
     items = ["12 + 34 = 46, 56 + 78 = 134, 90 - 12 = 78, 5 x 6 = 30", "Die Straße führt über Österreich nach Süden und dort endet sie am großen Meer", "3 km 5 kg 7 lb 2 ft 9 mi"]
     title = "Die Stra\u00dfe F\u00fchrt \u00dcber \u00d6sterreich Nach S\u00fcden Und Dort Endet Sie Am Gro\u00dfen Meer"
