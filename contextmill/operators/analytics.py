@@ -13,23 +13,33 @@ def saved() -> Column:
     return F.greatest(F.col("original") - F.col("compressed"), F.lit(0))
 
 
-def heatmap(entries: DataFrame, n_runs: int | None = None) -> DataFrame:
+def by_run(entries: DataFrame) -> DataFrame:
+    """One row for each path and run: inclusions, token sums, largest."""
+    return entries.groupBy("path", "run").agg(F.count(F.lit(1)).alias("inclusions"), F.sum("original").alias("original"), F.sum("compressed").alias("compressed"), F.sum(saved()).alias("saved"), F.max("compressed").alias("largest"))
+
+
+def heatmap(entries: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """One row a path: inclusions, runs, token sums, largest, averages by inclusion, and the share of all runs.
 
-    The number of all runs is a column of one row unless it is given.
+    runs (run), if given, has the runs of the entries: a narrower table to count them in.
     """
-    out = entries.groupBy("path").agg(
-        F.count(F.lit(1)).alias("inclusions"), F.count_distinct("run").alias("runs"), F.sum("original").alias("original_tokens"), F.sum("compressed").alias("compressed_tokens"),
-        F.sum(saved()).alias("saved_tokens"), F.max("compressed").alias("max_compressed"),
+    return _heat(by_run(entries), entries if runs is None else runs)
+
+
+def _heat(each: DataFrame, runs: DataFrame) -> DataFrame:
+    out = each.groupBy("path").agg(
+        F.sum("inclusions").alias("inclusions"), F.count(F.lit(1)).alias("runs"), F.sum("original").alias("original_tokens"), F.sum("compressed").alias("compressed_tokens"),
+        F.sum("saved").alias("saved_tokens"), F.max("largest").alias("max_compressed"),
     )
-    total = F.broadcast(entries.agg(F.count_distinct("run").alias("all_runs")))
-    out = out.crossJoin(total) if n_runs is None else out.withColumn("all_runs", F.lit(n_runs))
+    out = out.crossJoin(F.broadcast(runs.agg(F.count_distinct("run").alias("all_runs"))))
     return out.select("path", "inclusions", "runs", "original_tokens", "compressed_tokens", "saved_tokens", "max_compressed", F.round(F.col("compressed_tokens") / F.col("inclusions"), 2).alias("average_compressed"), F.round(F.col("runs") / F.col("all_runs"), 4).alias("inclusion_rate"))
 
 
-def folder_heatmap(entries: DataFrame) -> DataFrame:
-    """The same for every folder above the files: an entry counts once for each."""
-    return heatmap(entries.withColumn("path", F.explode(S.folders(F.col("path")))))
+def folder_heatmap(entries: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """The same for every folder above the files: an entry counts once for each. Entries of one path and run are summed before."""
+    each = by_run(entries).withColumn("path", F.explode(S.folders(F.col("path"))))
+    each = each.groupBy("path", "run").agg(*(F.sum(c).alias(c) for c in ("inclusions", "original", "compressed", "saved")), F.max("largest").alias("largest"))
+    return _heat(each, entries if runs is None else runs)
 
 
 def stage_totals(entries: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from contextmill.functions import scalar as S
+from contextmill.operators import folds
 
 #: Severity order of log levels.
 LEVELS = ("fatal", "error", "warn", "warning", "info", "debug", "trace")
@@ -37,6 +38,38 @@ def git_status(outputs: DataFrame) -> DataFrame:
     return rows.groupBy("doc", state.alias("state")).agg(F.count(F.lit(1)).alias("files"))
 
 
+def git_branch(outputs: DataFrame) -> DataFrame:
+    """(doc, branch, upstream, ahead, behind) of the header line of short status output, one row a doc that has it."""
+    head = r"^## (?:No commits yet on )?(.+?)(?:\.\.\.(\S+))?(?: \[(.*)\])?$"
+    rows = lines(outputs).where(F.col("line").startswith("## "))
+    rows = rows.select("doc", "pos", *[F.nullif(F.regexp_extract("line", head, i), F.lit("")).alias(n) for i, n in ((1, "branch"), (2, "upstream"), (3, "tracking"))])
+    count = lambda word: S.number(F.nullif(F.regexp_extract("tracking", rf"{word} (\d+)", 1), F.lit("")))
+    return rows.groupBy("doc").agg(*[F.max_by(c, "pos").alias(c) for c in ("branch", "upstream", "tracking")]).select("doc", "branch", "upstream", count("ahead").alias("ahead"), count("behind").alias("behind"))
+
+
+def diff_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc, file, status, added, removed, old_added, old_removed): files of two diffs (``git_diff``) that are new, gone or have other counts."""
+    b = before.select("doc", "file", F.col("added").alias("old_added"), F.col("removed").alias("old_removed"))
+    both = after.select("doc", "file", "added", "removed").join(b, ["doc", "file"], "full_outer")
+    status = F.when(F.col("old_added").isNull(), "new").when(F.col("added").isNull(), "gone").otherwise("updated")
+    return both.withColumn("status", status).where("status <> 'updated' or added <> old_added or removed <> old_removed").select("doc", "file", "status", "added", "removed", "old_added", "old_removed")
+
+
+def failure_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc, name, change): failures (doc, name) that are new or resolved."""
+    new = after.select("doc", "name").distinct().join(before, ["doc", "name"], "left_anti").withColumn("change", F.lit("new"))
+    return new.union(before.select("doc", "name").distinct().join(after, ["doc", "name"], "left_anti").withColumn("change", F.lit("resolved")))
+
+
+def line_changes(before: DataFrame, after: DataFrame, most: int = 30) -> DataFrame:
+    """(doc, side, pos, line): the first lines (``lines``) of each side that the other lacks; repeated ones all count."""
+    def only(x: DataFrame, y: DataFrame, side: str) -> DataFrame:
+        rows = x.join(y.select("doc", "line").distinct(), ["doc", "line"], "left_anti")
+        return rows.withColumn("k", F.row_number().over(W.partitionBy("doc").orderBy("pos"))).where(F.col("k") <= most).select("doc", F.lit(side).alias("side"), "pos", "line")
+
+    return only(after, before, "+").union(only(before, after, "-"))
+
+
 def git_log(outputs: DataFrame) -> DataFrame:
     """(doc, commit, author, subject) of full logs."""
     rows = carried(lines(outputs), F.nullif(F.regexp_extract("line", r"^commit ([0-9a-f]{7,40})", 1), F.lit("")), "commit").where("commit is not null")
@@ -53,6 +86,56 @@ def grep(outputs: DataFrame, per_file: int = 3) -> DataFrame:
     return rows.select("doc", "path", F.col("line_no").cast("long").alias("line_no"), "text", "matches")
 
 
+def grep_json(outputs: DataFrame, per_file: int = 3) -> DataFrame:
+    """(doc, path, line_no, column, text, matches) of match events in JSON lines, the first few of each file."""
+    get = lambda k: F.get_json_object("line", k)
+    rows = lines(outputs).where(get("$.type") == "match").select("doc", "pos", get("$.data.path.text").alias("path"), get("$.data.line_number").try_cast("long").alias("line_no"), (get("$.data.submatches[0].start").try_cast("long") + 1).alias("column"), F.rtrim(F.regexp_replace(get("$.data.lines.text"), r"\n+$", "")).alias("text"))
+    rows = rows.where("path is not null and line_no is not null and text is not null")
+    w = W.partitionBy("doc", "path")
+    rows = rows.withColumn("matches", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("pos"))).where(F.col("k") <= per_file)
+    return rows.select("doc", "path", "line_no", "column", "text", "matches")
+
+
+def containers(outputs: DataFrame) -> DataFrame:
+    """(doc, container, image, age, status, ports, name, running) of fixed-width container lists.
+
+    Columns begin where the header's names do, which two blanks and more separate; rows with fewer than six are left out.
+    """
+    rows = outputs.select("doc", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines")).where(F.get("lines", F.lit(0)).rlike(r"^CONTAINER ID\s+IMAGE"))
+    heads = F.regexp_extract_all(F.get("lines", F.lit(0)), F.lit(r"(\S+(?: \S+)*(?:\s{2,}|\s*$))"), F.lit(1))
+    starts = F.aggregate(heads, F.array(F.lit(1)), lambda s, h: F.concat(s, F.array(F.element_at(s, -1) + F.length(h))))
+    rows = rows.select("doc", starts.alias("starts"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("pos", "line"))
+    n = F.size("starts") - 1
+    cut = lambda i: F.trim(F.col("line").substr(F.get("starts", i), F.when(i == n - 1, F.length("line")).otherwise(F.get("starts", i + 1) - F.get("starts", i))))
+    cells = F.transform(F.sequence(F.lit(0), n - 1), cut)
+    cell = lambda i: F.get("cells", F.lit(i))
+    out = rows.withColumn("cells", cells).where("size(cells) >= 6")
+    ports = F.array_join(F.filter(F.transform(F.split(cell(5), ","), F.trim), lambda p: p != ""), ",")
+    return out.select("doc", F.substring(cell(0), 1, 12).alias("container"), cell(1).alias("image"), cell(3).alias("age"), cell(4).alias("status"), ports.alias("ports"), F.element_at("cells", -1).alias("name"), cell(4).startswith("Up").alias("running"))
+
+
+def build_steps(outputs: DataFrame) -> DataFrame:
+    """(doc, pos, instruction, cached, seconds) of image builds in either form; a step counts as cached if a later line says so before the next step."""
+    old, new = r"^Step \d+/\d+\s*:\s*(.*)$", r"^\s*#?\s*(?:=>\s+)?(?:CACHED\s+)?\[(?:\S+\s+)?\d+/\d+\]\s*(.*?)\s+(\d+\.\d+)s\s*$"
+    get = lambda p, i: F.nullif(F.regexp_extract("line", p, i), F.lit(""))
+    rows = lines(outputs).withColumn("step", F.coalesce(get(old, 1), get(new, 1)))
+    rows = rows.withColumn("k", F.sum(F.col("step").isNotNull().cast("int")).over(W.partitionBy("doc").orderBy("pos"))).where("k > 0")
+    hit = F.col("line").contains("---> Using cache") | (get(new, 1).isNotNull() & F.col("line").contains("CACHED"))
+    return rows.groupBy("doc", "k").agg(F.min("pos").alias("pos"), F.max("step").alias("instruction"), F.max(hit.cast("int")).alias("hit"), F.max(get(new, 2).try_cast("double")).alias("seconds")).select("doc", "pos", "instruction", (F.col("hit") == 1).alias("cached"), "seconds")
+
+
+def build_result(outputs: DataFrame) -> DataFrame:
+    """(doc, image, tags, success, errors, warnings) of image builds: what failed is no success."""
+    n = lambda c: F.count_if(c)
+    got = lambda p: F.nullif(F.regexp_extract("line", p, 1), F.lit(""))
+    image = F.coalesce(got(r"Successfully built\s+([0-9a-f]{6,64})"), got(r"writing image\s+sha256:([0-9a-f]{12,64})"))
+    tag = F.coalesce(got(r"Successfully tagged\s+(\S+)"), got(r"naming to\s+(\S+)"))
+    done = F.col("line").rlike(r"Successfully built\s+[0-9a-f]{6,64}") | F.col("line").rlike(r"\[\+\]\s+Building\s+\d+\.\d+s\s+\(\d+/\d+\)\s+FINISHED")
+    failed = F.col("line").rlike(r"(?i)\[\+\]\s+Building.*\bFAILED\b")
+    out = lines(outputs).groupBy("doc").agg(F.substring(F.min_by(image, F.when(image.isNotNull(), F.col("pos"))), 1, 12).alias("image"), F.array_join(F.array_sort(F.collect_set(tag)), ",").alias("tags"), n(done).alias("done"), n(failed).alias("failed"), n(F.col("line").rlike(r"(?i)^error:\s*.")).alias("errors"), n(F.col("line").rlike(r"(?i)^warn(?:ing)?:\s*.")).alias("warnings"))
+    return out.select("doc", "image", "tags", ((F.col("done") > 0) & (F.col("failed") == 0)).alias("success"), "errors", "warnings")
+
+
 def listing(paths: DataFrame) -> DataFrame:
     """(folder, extension, files) of path rows."""
     name = F.element_at(F.split("path", "/"), -1)
@@ -116,17 +199,49 @@ def coverage_delta(before: DataFrame, after: DataFrame, least: float = 0.5, top:
     return both.withColumn("status", status).where((F.col("status") != "moved") | (F.abs("change") >= least)).orderBy(F.desc(F.abs("change")), "path").limit(top).select("path", "status", "change")
 
 
+def plan_nodes(outputs: DataFrame) -> DataFrame:
+    """(plan, pos, depth, op, relation, cost, rows_estimated, ms, rows, loops) of plans (doc, text) in text form.
+
+    Both forms have a node a line: an indent with an arrow, the operator, its cost and rows, and with actual times the total
+    and how often it ran. The depth of a node is its indent.
+    """
+    plain = r"^(\s*)(?:->\s*)?([A-Z][A-Za-z][\w \-/]*?)(?:\s+(?:on|using)\s+(\S+).*?)?\s*\(cost=[\d.]+\.\.([\d.]+)\s+rows=(\d+)[^)]*\)(?:\s*\(actual time=[\d.]+\.\.([\d.]+)\s+rows=(\d+)\s+loops=(\d+)\))?"
+    tree = r"^(\s*)(?:->\s*)?([A-Z][A-Za-z][\w \-/]*?)(?:\s+(?:on|using)\s+(\S+).*?)?\s*\(cost=([\d.]+)\s+rows=(\d+)\)(?:\s*\(actual time=(?:[\d.]+\.\.)?([\d.]+)\s+rows=(\d+)\s+loops=(\d+)\))?"
+    rows = lines(outputs)
+    get = lambda i: F.coalesce(F.nullif(F.regexp_extract("line", plain, i), F.lit("")), F.nullif(F.regexp_extract("line", tree, i), F.lit("")))
+    out = rows.where(get(2).isNotNull()).select(
+        F.col("doc").alias("plan"), "pos", F.length(F.regexp_extract("line", r"^(\s*)", 1)).alias("depth"), F.trim(get(2)).alias("op"), get(3).alias("relation"), get(4).try_cast("double").alias("cost"), get(5).try_cast("long").alias("rows_estimated"),
+        get(6).try_cast("double").alias("ms"), get(7).try_cast("long").alias("rows"), get(8).try_cast("long").alias("loops"),
+    )
+    return out
+
+
+def plan_warnings(nodes: DataFrame, least: int = 1000) -> DataFrame:
+    """(plan, pos, relation, rows): whole scans of tables that gave so many rows."""
+    return nodes.where(F.lower("op").rlike(r"^(?:parallel )?(?:seq|table|full) scan") & (F.col("rows") >= least)).select("plan", "pos", F.coalesce("relation", F.lit("<unknown>")).alias("relation"), "rows")
+
+
 def self_times(nodes: DataFrame) -> DataFrame:
     """Own time of plan nodes (plan, pos, depth, op, ms, loops): total less the children's, not below 0.
 
-    A node's parent is the nearest earlier one of smaller depth.
+    A node's parent is the nearest earlier one of smaller depth: an ordered fold keeps the nodes that may still have
+    children.
     """
-    n = nodes.withColumn("total", F.col("ms") * F.col("loops"))
-    above = n.select("plan", F.col("pos").alias("up_pos"), F.col("depth").alias("up_depth"))
-    pairs = n.select("plan", "pos", "depth", "total").join(above, "plan").where("up_pos < pos and up_depth < depth")
-    children = pairs.groupBy("plan", "pos").agg(F.max("up_pos").alias("parent"), F.max("total").alias("total")).groupBy(F.col("plan").alias("of"), "parent").agg(F.sum("total").alias("below"))
-    out = n.join(children, (F.col("plan") == F.col("of")) & (F.col("pos") == F.col("parent")), "left")
-    return out.select("plan", "pos", "op", F.greatest(F.col("total") - F.coalesce("below", F.lit(0)), F.lit(0)).alias("self_ms"))
+
+    def step(above: list[tuple[int, int]], row: tuple) -> tuple:
+        pos, depth, op, total = row
+        while above and above[-1][0] >= depth:
+            above.pop()
+        parent = above[-1][1] if above else None
+        above.append((depth, pos))
+        return pos, op, total, parent
+
+    n = nodes.select("plan", F.col("pos").cast("long").alias("pos"), F.col("depth").cast("long").alias("depth"), "op", (F.col("ms") * F.col("loops")).alias("total"))
+    kind = n.schema["total"].dataType.simpleString()
+    rows = folds.ordered_fold(n, ["plan"], ["pos"], list, step, f"pos long, op string, total {kind}, parent long")
+    mine = rows.select("plan", "pos", F.explode(F.array_compact(F.array(F.struct("op", "total", F.lit(None).cast(kind).alias("below"), F.col("pos").alias("of")), F.when(F.col("parent").isNotNull(), F.struct(F.lit(None).cast("string").alias("op"), F.lit(None).cast(kind).alias("total"), F.col("total").alias("below"), F.col("parent").alias("of")))))).alias("x"))
+    sums = mine.groupBy("plan", F.col("x.of").alias("pos")).agg(F.max("x.op").alias("op"), F.max("x.total").alias("total"), F.sum("x.below").alias("below"))
+    return sums.select("plan", "pos", "op", F.greatest(F.col("total") - F.coalesce("below", F.lit(0)), F.lit(0)).alias("self_ms"))
 
 
 def skeletons(items: DataFrame, rules: list[tuple[str, str]] = S.TRACE_MASKS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from contextmill.functions import scalar as S
+from contextmill.operators import folds
 
 
 def first_of_each(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -18,8 +19,10 @@ def first_of_each(rows: DataFrame, key: list[str], order: list[Column]) -> DataF
 
 
 def prefix_stop(ranked: DataFrame, budget: int, pack: list[str] | None = None) -> DataFrame:
-    """Rows in order of rank until the first that overflows the budget, of each pack. ranked: rank, tokens."""
-    w = (W.partitionBy(*pack) if pack else W.partitionBy()).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    """Rows in order of rank until the first that overflows the budget, of each pack, or of the whole table by ranges. ranked: rank, tokens."""
+    if not pack:
+        return folds.running(ranked, [F.col("rank")], F.col("tokens"), "used").where(F.col("used") <= budget)
+    w = W.partitionBy(*pack).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
     return ranked.withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= budget)
 
 
@@ -29,22 +32,24 @@ def best_within(rows: DataFrame, order: list[Column], budget: int) -> DataFrame:
     So no more than ``budget`` rows can be taken: each task passes on its own first ones, and only these are ranked.
     """
     first = rows.where("tokens >= 1").orderBy(*order).limit(budget + 1)
-    return prefix_stop(first.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long")), budget)
+    w = W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    return first.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long")).withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= budget)
 
 
 def greedy_skip(ranked: DataFrame, budget: int, pack: list[str]) -> DataFrame:
     """(pack, rank, used) of the rows that fit when rows that overflow are passed over. A pack is one ordered fold.
 
-    The fold runs over (rank, tokens) of rows that fit alone; the others can never be taken.
+    Rows that do not fit alone can never be taken and take no part.
     """
-    items = ranked.where(F.col("tokens") <= budget).groupBy(*pack).agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), F.col("tokens").cast("long").alias("tokens")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<rank:bigint,used:bigint>>").alias("taken"))
 
-    def step(s: Column, x: Column) -> Column:
-        used = s["used"] + x["tokens"]
-        return F.when(used <= budget, F.struct(used.alias("used"), F.concat(s["taken"], F.array(F.struct(x["rank"].alias("rank"), used.alias("used")))).alias("taken"))).otherwise(s)
+    def step(used: list[int], row: tuple) -> tuple | None:
+        if used[0] + row[1] > budget:
+            return None
+        used[0] += row[1]
+        return row[0], used[0]
 
-    return items.select(*pack, F.explode(F.aggregate("items", start, step)["taken"]).alias("t")).select(*pack, "t.rank", "t.used")
+    rows = ranked.where(F.col("tokens") <= budget).select(*pack, F.col("rank").cast("long").alias("rank"), F.col("tokens").cast("long").alias("tokens"))
+    return folds.ordered_fold(rows, pack, ["rank"], lambda: [0], step, "rank long, used long")
 
 
 def best_tiers(ranked: DataFrame, budget: int, pack: list[str]) -> DataFrame:
@@ -52,23 +57,23 @@ def best_tiers(ranked: DataFrame, budget: int, pack: list[str]) -> DataFrame:
 
     ranked: rank, tiers (array of tokens, most detailed first). tier counts from 0.
     """
-    items = ranked.groupBy(*pack).agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), F.col("tiers").cast("array<bigint>").alias("tiers")))).alias("items"))
-    kind = "array<struct<rank:bigint,tier:int,tokens:bigint,used:bigint>>"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("taken"))
 
-    def step(s: Column, x: Column) -> Column:
-        fits = F.filter(F.transform(x["tiers"], lambda t, i: F.struct(i.cast("int").alias("tier"), t.alias("tokens"))), lambda t: s["used"] + t["tokens"] <= budget)
-        first = F.get(fits, F.lit(0))
-        used = s["used"] + first["tokens"]
-        return F.when(F.size(fits) > 0, F.struct(used.alias("used"), F.concat(s["taken"], F.array(F.struct(x["rank"].alias("rank"), first["tier"].alias("tier"), first["tokens"].alias("tokens"), used.alias("used")))).alias("taken"))).otherwise(s)
+    def step(used: list[int], row: tuple) -> tuple | None:
+        tier = next((k for k, t in enumerate(row[1]) if used[0] + t <= budget), None)
+        if tier is None:
+            return None
+        used[0] += row[1][tier]
+        return row[0], tier, row[1][tier], used[0]
 
-    return items.select(*pack, F.explode(F.aggregate("items", start, step)["taken"]).alias("t")).select(*pack, "t.*")
+    rows = ranked.select(*pack, F.col("rank").cast("long").alias("rank"), F.col("tiers").cast("array<bigint>").alias("tiers")).where(F.array_min("tiers") <= budget)
+    return folds.ordered_fold(rows, pack, ["rank"], lambda: [0], step, "rank long, tier int, tokens long, used long")
 
 
 def progressive(ranked: DataFrame, budget: int, pack: str, rounds: int = 1) -> DataFrame:
     """(pack, rank, tier, tokens): best tiers, then degradation of the least relevant to admit what was skipped.
 
-    ranked: pack, rank, relevance, tiers. A pack (one task's ranked files) is one group. In each round every skipped row
+    ranked: pack, rank, relevance, tiers. A pack (one task's ranked files) is one group, without rows that fit in no form:
+    what may be exchanged has to be seen together. In each round every skipped row
     takes the first included row, least relevant first, that is not used yet and whose next tier frees enough for some
     tier of the skipped row. What is over the budget at the end goes, least relevant first.
     """
@@ -109,7 +114,7 @@ def progressive(ranked: DataFrame, budget: int, pack: str, rounds: int = 1) -> D
 
     kind = ranked.schema[pack].dataType.simpleString()
     item = F.struct(F.col("rank").cast("long").alias("rank"), F.col("relevance").cast("double").alias("relevance"), F.col("tiers").cast("array<bigint>").alias("tiers"))
-    packs = ranked.groupBy(pack).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    packs = ranked.where(F.array_min("tiers") <= budget).groupBy(pack).agg(F.array_sort(F.collect_list(item)).alias("items"))
     return packs.mapInPandas(run, f"{pack} {kind}, rank long, tier int, tokens long")
 
 

@@ -7,9 +7,9 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from contextmill.functions import scalar as S
+from contextmill.operators import folds
 from contextmill.sources.scratch import shared_root
 
 #: Default weights of the relevance score.
@@ -101,9 +101,9 @@ def history_adjustment(entries: DataFrame, task: list[str], least: float = 0.2,
 
 
 def final_rank(scored: DataFrame) -> DataFrame:
-    """Scores held to 0..10, without zeros, ranked by score and path."""
+    """Scores held to 0..10, without zeros, ranked by score and path, by ranges of this order."""
     out = scored.withColumn("score", S.clamp(F.col("score"), 0, 10)).where("score > 0")
-    return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "path")))
+    return folds.running(out, [F.desc("score"), F.asc("path")], F.lit(1), "rank")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -48,8 +48,9 @@ def agent_plan(ranked: DataFrame, limit: int = 5) -> DataFrame:
     able = ranked.where(F.col("rank") <= limit + 2)
     spread = able.groupBy("path").agg(F.count_distinct("step").alias("steps"), F.min("rank").alias("best")).where("steps >= 2")
     cap = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.col("n") / 3)))
-    sized = spread.crossJoin(F.broadcast(spread.agg(F.count(F.lit(1)).alias("n"))))
-    shared = sized.withColumn("k", F.row_number().over(W.orderBy(F.desc("steps"), "best", "path"))).where(F.col("k") <= cap).select("path", F.lit(True).alias("shared"))  # at most (limit + 2) a step
+    best = spread.orderBy(F.desc("steps"), "best", "path").limit(3)  # no more than three are ever taken
+    placed = best.withColumn("k", F.row_number().over(W.orderBy(F.desc("steps"), "best", "path"))).crossJoin(F.broadcast(spread.agg(F.count(F.lit(1)).alias("n"))))
+    shared = placed.where(F.col("k") <= cap).select("path", F.lit(True).alias("shared"))
     mine = able.join(shared, "path", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
     mine = mine.withColumn("place", F.row_number().over(W.partitionBy("step").orderBy(F.desc("shared"), "rank", "path")))
     return mine.where(F.col("place") <= limit).select("step", "path", "shared", F.col("place").cast("long").alias("place"))

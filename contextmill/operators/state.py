@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from contextmill.functions import scalar as S
+from contextmill.sources.scratch import Scratch
 
 
 def newest(history: DataFrame, n: int) -> DataFrame:
@@ -65,7 +66,10 @@ def snapshot_choice(calls: DataFrame, key: str, order: list[str]) -> DataFrame:
     w = W.partitionBy(key).orderBy(*order)
     rows = calls.withColumn("before", F.lag("text").over(w))
     now, old = F.split("text", "\n"), F.split("before", "\n")
-    plus, minus = F.filter(now, lambda x: ~F.array_contains(old, x)), F.filter(old, lambda x: ~F.array_contains(now, x))
+    # the lines of one side that the other lacks, each as often as it stands: looked up in a set, not in the whole other text
+    fresh, gone = F.array_except(now, old), F.array_except(old, now)
+    lookup = lambda names: F.map_from_arrays(names, F.transform(names, lambda _: F.lit(True)))
+    plus, minus = F.filter(now, lambda x: F.map_contains_key(lookup(fresh), x)), F.filter(old, lambda x: F.map_contains_key(lookup(gone), x))
     delta = F.array_join(F.concat(F.transform(plus, lambda x: F.concat(F.lit("+ "), x)), F.transform(minus, lambda x: F.concat(F.lit("- "), x))), "\n")
     rows = rows.withColumn("similarity", F.when(F.col("before").isNotNull(), S.line_similarity(F.col("text"), F.col("before"))))
     rows = rows.withColumn("tokens", S.tokens(F.col("text"))).withColumn("delta_tokens", F.when(F.col("before").isNotNull(), S.tokens(delta)))
@@ -78,7 +82,8 @@ def references(blocks: DataFrame, session: str) -> DataFrame:
 
     A block takes part from 24 to 4096 characters and 6 tokens on, by its text with blanks run together.
     """
-    able = blocks.where("length(block) between 24 and 4096").where(S.tokens(F.col("block")) >= 6).withColumn("key", F.sha1(S.normalised_prompt(F.col("block"))))
+    able = blocks.where("length(block) between 24 and 4096").where(S.tokens(F.col("block")) >= 6).select(session, "call", "pos", F.sha1(S.normalised_prompt(F.col("block"))).alias("key"))
+    able = Scratch(blocks.sparkSession, "references").save(able, "blocks")
     first = able.groupBy(session, "key").agg(F.min(F.struct("call", "pos")).alias("first"))
     return able.join(first, [session, "key"]).select(session, "call", "pos", (F.struct("call", "pos") != F.col("first")).alias("reference"), F.col("first.call").alias("first_call"), F.col("first.pos").alias("first_pos"))
 
@@ -116,7 +121,11 @@ def context_modes(turns: DataFrame) -> DataFrame:
 
 
 def shingle_overlap(calls: DataFrame, n: int = 3) -> DataFrame:
-    """(session, call, shingles, seen): distinct line shingles of a call, and how many an earlier call of the session has."""
-    each = calls.select("session", "call", F.explode(F.array_distinct(S.shingles(F.split("text", "\n"), n))).alias("shingle")).withColumn("key", F.sha1("shingle")).drop("shingle")
+    """(session, call, shingles, seen): distinct line shingles of a call, and how many an earlier call of the session has.
+
+    Shingles are cut once and written; a shingle that very many calls have can be split.
+    """
+    each = calls.select("session", "call", F.explode(F.array_distinct(F.transform(S.shingles(F.split("text", "\n"), n), F.sha1))).alias("key"))
+    each = Scratch(calls.sparkSession, "shingles").save(each, "each")
     first = each.groupBy("session", "key").agg(F.min("call").alias("first"))
     return each.join(first, ["session", "key"]).groupBy("session", "call").agg(F.count(F.lit(1)).alias("shingles"), F.sum((F.col("first") < F.col("call")).cast("long")).alias("seen"))

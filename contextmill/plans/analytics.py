@@ -9,6 +9,7 @@ from contextmill.functions import scalar as S
 from contextmill.operators import analytics as A
 from contextmill.operators import ranking
 from contextmill.sources import bindings as B
+from contextmill.sources.scratch import Scratch
 
 _HEAT = """SELECT path, count(*) AS inclusions, count(DISTINCT run) AS runs, CAST(sum(original) AS BIGINT) AS original_tokens, CAST(sum(compressed) AS BIGINT) AS compressed_tokens,
 CAST(sum(greatest(original - compressed, 0)) AS BIGINT) AS saved_tokens, max(compressed) AS max_compressed, round(sum(compressed)::DOUBLE / count(*), 2) AS average_compressed,
@@ -18,6 +19,11 @@ round(CAST(sum(saved)::DOUBLE / (sum(input) + sum(saved)) AS DECIMAL(38, 15)), 6
 _PCT = "CASE WHEN {0} = 0 THEN CASE WHEN {1} > 0 THEN 100.0 WHEN {1} < 0 THEN -100.0 ELSE 0.0 END ELSE round(CAST(({1} - {0}) / {0}::DOUBLE * 100 AS DECIMAL(38, 10)), 2)::DOUBLE END"
 
 
+def _run_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The runs that have entries: every line has its part."""
+    return B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"))
+
+
 def _cached(spark: SparkSession, d: str) -> DataFrame:
     per = B.packed(spark, d).groupBy("run").agg(F.sum(F.when(F.col("cache_status") == "reused", F.col("original")).otherwise(0)).alias("cache_saved"))
     return B.runs(spark, d).join(per, "run")
@@ -95,22 +101,25 @@ def insights_recurring(spark: SparkSession, d: str) -> DataFrame:
 
 
 def insights_broad(spark: SparkSession, d: str) -> DataFrame:
-    return A.insights(_insight_runs(spark, d).withColumn("task", F.concat("task", F.col("id").cast("string"))))[1]
+    """Every third run has a prompt of its own; prompts of the others recur and take their runs out."""
+    own = F.when(F.col("id") % 3 == 0, F.concat("task", F.col("id").cast("string"))).otherwise(F.col("task"))
+    return A.insights(_insight_runs(spark, d).withColumn("task", own))[1]
 
 
 _INSIGHT = f"""WITH {B.SQL_HISTORY}, e AS (SELECT *, lower(trim(task)) AS prompt FROM history WHERE tokens > 0), n AS (SELECT repo, count(*) AS n, CAST(floor(median(tokens)) AS BIGINT) AS middle FROM e GROUP BY repo HAVING count(*) >= 5),
 s AS (SELECT e.*, n.n, n.middle FROM e JOIN n USING (repo))"""
-SQL_BROAD = f"""{_INSIGHT}, k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY tokens, id) AS k FROM s), b AS (SELECT repo, greatest(tokens, 2000) AS bar FROM k WHERE k = floor(0.8 * (n - 1)) + 1)
-SELECT repo, id, tokens, greatest(tokens - middle, 0) AS excess FROM s JOIN b USING (repo) WHERE tokens >= bar AND tokens >= 5000"""
+SQL_BROAD = f"""{_INSIGHT}, k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY tokens, id) AS k FROM s), b AS (SELECT repo, greatest(tokens, 2000) AS bar FROM k WHERE k = floor(0.8 * (n - 1)) + 1),
+c AS (SELECT repo, prompt FROM (SELECT repo, CASE WHEN id % 3 = 0 THEN prompt || id ELSE prompt END AS prompt, tokens FROM s) GROUP BY repo, prompt HAVING count(*) >= 3 AND floor(avg(tokens)) >= 2000)
+SELECT repo, id, tokens, greatest(tokens - middle, 0) AS excess FROM s JOIN b USING (repo) WHERE tokens >= bar AND tokens >= 5000 AND (repo, CASE WHEN id % 3 = 0 THEN prompt || id ELSE prompt END) NOT IN (SELECT (repo, prompt) FROM c)"""
 
 
 def advisor(spark: SparkSession, d: str) -> DataFrame:
     line = B.table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), "l_orderkey")
     part = B.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), F.round("p_retailprice").cast("long").alias("tokens"))
-    nodes = part.union(line.select(F.col("src").alias("path")).distinct().withColumn("tokens", F.lit(100).cast("long")))
+    edges = Scratch(spark, "advisor").save(line.select("src", "dst").distinct(), "edges")  # read by three parts of the plan
+    nodes = part.union(edges.select(F.col("src").alias("path")).distinct().withColumn("tokens", F.lit(100).cast("long")))
     n = B.table(spark, d, "orders").count()
-    seen = line.select(F.col("dst").alias("path"), "l_orderkey").union(line.select("src", "l_orderkey")).groupBy("path").agg((F.count_distinct("l_orderkey") / F.lit(n)).alias("frequency"))
-    edges = line.select("src", "dst").distinct()
+    seen = line.select(F.explode(F.array("src", "dst")).alias("path"), "l_orderkey").groupBy("path").agg((F.count_distinct("l_orderkey") / F.lit(n)).alias("frequency"))
     below = edges.join(part, edges.dst == part.path).groupBy("src").agg(F.sum("tokens").alias("tokens")).withColumnRenamed("src", "path")
     return A.advisor(nodes.join(seen, "path", "left").na.fill(0.0, ["frequency"]), ranking.degrees(edges), below, n)
 
@@ -161,8 +170,8 @@ SELECT run, CASE WHEN c > 4000 THEN 'high' WHEN r < 0.25 THEN 'low' WHEN r < 0.5
 
 
 QUERIES = {
-    "heatmap_files": (lambda s, d: A.heatmap(B.packed(s, d)), f"WITH {B.SQL_PACKED} " + _HEAT.format("packed")),
-    "heatmap_dirs": (lambda s, d: A.folder_heatmap(B.packed(s, d)), f"WITH {B.SQL_PACKED}, u AS (SELECT split_part(path, '/', 1) AS path, run, original, compressed FROM packed UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), run, original, compressed FROM packed) " + _HEAT.format("u")),
+    "heatmap_files": (lambda s, d: A.heatmap(B.packed(s, d), _run_ids(s, d)), f"WITH {B.SQL_PACKED} " + _HEAT.format("packed")),
+    "heatmap_dirs": (lambda s, d: A.folder_heatmap(B.packed(s, d), _run_ids(s, d)), f"WITH {B.SQL_PACKED}, u AS (SELECT split_part(path, '/', 1) AS path, run, original, compressed FROM packed UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), run, original, compressed FROM packed) " + _HEAT.format("u")),
     "savings_by_stage": (lambda s, d: A.stage_totals(B.packed(s, d)), f"""WITH {B.SQL_PACKED}, c AS (SELECT *, CASE WHEN cache_status = 'reused' THEN 'cache_reuse' WHEN strategy = 'symbol' THEN 'symbol_extraction' WHEN strategy = 'summary' THEN 'compression' ELSE 'full' END AS stage FROM packed)
 SELECT d.stage, count(c.run) AS entries, coalesce(sum(original), 0)::BIGINT AS tokens_before, coalesce(sum(compressed), 0)::BIGINT AS tokens_after, coalesce(sum(greatest(original - compressed, 0)), 0)::BIGINT AS tokens_saved
 FROM (VALUES ('cache_reuse'), ('symbol_extraction'), ('slicing'), ('compression'), ('snippet'), ('full'), ('delta')) d(stage) LEFT JOIN c ON c.stage = d.stage GROUP BY d.stage"""),
