@@ -79,8 +79,13 @@ def certificate(text: Column, patterns: list[str]) -> Column:
     """
     if not patterns:
         return F.lit("")
-    found = F.concat(*[F.transform(F.array_sort(F.regexp_extract_all(text, F.lit(f"(?m)({p})"), F.lit(1))), lambda m, k=k: F.concat(F.lit(k.to_bytes(4, "big")), F.lit(b"\x00"), m.cast("binary"), F.lit(b"\x01"))) for k, p in enumerate(patterns)])
-    whole = F.aggregate(found, F.lit(b""), lambda s, x: F.concat(s, x))
+
+    def framed(k: int, pattern: str) -> Column:
+        found = F.array_sort(F.regexp_extract_all(text, F.lit(f"(?m)({pattern})"), F.lit(1)))
+        return F.transform(found, lambda m: F.concat(F.lit(k.to_bytes(4, "big")), F.lit(b"\x00"), m.cast("binary"), F.lit(b"\x01")))
+
+    found = F.concat(*[framed(k, p) for k, p in enumerate(patterns)])
+    whole = F.aggregate(found, F.lit("").cast("binary"), lambda s, x: F.concat(s, x))
     return F.substring(F.sha2(whole, 256), 1, 16)
 
 

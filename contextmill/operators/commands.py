@@ -110,7 +110,7 @@ def containers(outputs: DataFrame) -> DataFrame:
     cells = F.transform(F.sequence(F.lit(0), n - 1), cut)
     cell = lambda i: F.get("cells", F.lit(i))
     out = rows.withColumn("cells", cells).where("size(cells) >= 6")
-    ports = F.array_join(F.filter(F.transform(F.split(cell(5), ","), F.trim), lambda p: p != ""), ",")
+    ports = F.array_join(F.filter(F.transform(F.split(cell(5), ","), lambda p: F.trim(p)), lambda p: p != ""), ",")
     return out.select("doc", F.substring(cell(0), 1, 12).alias("container"), cell(1).alias("image"), cell(3).alias("age"), cell(4).alias("status"), ports.alias("ports"), F.element_at("cells", -1).alias("name"), cell(4).startswith("Up").alias("running"))
 
 

@@ -125,7 +125,7 @@ def shingle_overlap(calls: DataFrame, n: int = 3) -> DataFrame:
 
     Shingles are cut once and written; a shingle that very many calls have can be split.
     """
-    each = calls.select("session", "call", F.explode(F.array_distinct(F.transform(S.shingles(F.split("text", "\n"), n), F.sha1))).alias("key"))
+    each = calls.select("session", "call", F.explode(F.array_distinct(F.transform(S.shingles(F.split("text", "\n"), n), lambda x: F.sha1(x)))).alias("key"))
     each = Scratch(calls.sparkSession, "shingles").save(each, "each")
     first = each.groupBy("session", "key").agg(F.min("call").alias("first"))
     return each.join(first, ["session", "key"]).groupBy("session", "call").agg(F.count(F.lit(1)).alias("shingles"), F.sum((F.col("first") < F.col("call")).cast("long")).alias("seen"))

@@ -68,7 +68,12 @@ def _lint(spark: SparkSession, d: str) -> DataFrame:
     return C.lint(_outputs(rows, ["o", "n"]))
 
 
-_SQL_LINT = """i AS (SELECT l_suppkey AS doc, 'src/' || lower(p_type) || '.py' AS path, CASE WHEN l_returnflag = 'R' THEN 'arg-type' ELSE 'E' || (p_size + 100) END AS code, CAST(l_quantity AS INT) AS line_no FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+_SQL_LINT = """i AS (SELECT l_suppkey AS doc, 'src/' || lower(p_type) || '.py' AS path, CASE WHEN l_returnflag = 'R' THEN 'arg-type' ELSE 'E' || (p_size + 100) END AS code, CAST(l_quantity AS INT) AS line_no, l_orderkey AS o, l_linenumber AS n,
+'src/' || lower(p_type) || '.py:' || CAST(l_quantity AS INT) || CASE WHEN l_returnflag = 'R' THEN ': error: bad type  [arg-type]' ELSE ':4: E' || (p_size + 100) || ' too long' END AS line FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+SQL_PIVOT = f"""WITH {_SQL_LINT}, k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY o, n, line) AS pos FROM i)
+SELECT code, count(*) AS issues, count(DISTINCT path) AS files FROM k GROUP BY code ORDER BY issues DESC, min((doc, pos)) LIMIT 12"""
 
 
 def lint_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +164,7 @@ QUERIES = {
     "profiler_stacks": (profiler_stacks, "WITH s AS (SELECT p_type || ';' || p_brand || ';' || p_name AS stack, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS samples FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT stack, samples, 3::BIGINT AS depth, round(100 * samples::DOUBLE / (SELECT sum(samples) FROM s), 4) AS share FROM s"),
     "kube_event_groups": (kube_event_groups, SQL_KUBE),
     "lint_counts": (lint_counts, f"WITH {_SQL_LINT} SELECT path, code, 'error' AS severity, count(*) AS issues, CAST(sum(line_no) AS BIGINT) AS line_numbers FROM i GROUP BY 1, 2"),
-    "lint_pivot": (lint_pivot, None),
+    "lint_pivot": (lint_pivot, SQL_PIVOT),
     "coverage_delta": (lambda s, d: C.coverage_delta(_coverage(s, d, "1996"), _coverage(s, d, "1997")), SQL_COVERAGE),
     "explain_self_time": (explain_self_time, SQL_SELF),
     "listing_extensions": (listing_extensions, SQL_LISTING),

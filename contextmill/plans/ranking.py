@@ -114,6 +114,14 @@ def keyword_extraction(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.array_join(S.keywords(F.col("text")), ",").alias("keywords"))
 
 
+_STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
+_SQL_KEYS = rf"""w AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[a-zA-Z][a-zA-Z0-9_]{{2,}}') AS ws FROM conversations),
+u AS (SELECT rid, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM w), c AS (SELECT rid, i, w, string_split(regexp_replace(regexp_replace(w, '([A-Z])([A-Z][a-z])', ' ', 'g'), '([a-z0-9])([A-Z])', ' ', 'g'), ' ') AS p FROM u),
+a AS (SELECT rid, i, unnest([lower(w)] || CASE WHEN len(p) > 1 THEN list_transform(p, lambda x: lower(x)) ELSE [] END) AS k, unnest(range(0, 1 + CASE WHEN len(p) > 1 THEN len(p) ELSE 0 END)) AS j FROM c),
+f AS (SELECT rid, k, min((i, j)) AS place FROM a WHERE length(k) >= 3 AND k NOT IN ({_STOP}) GROUP BY rid, k), g AS (SELECT rid, list(k ORDER BY place)[1:16] AS keys FROM f GROUP BY rid),
+k AS (SELECT conv_id, turn, role, text, coalesce(keys, []) AS keys FROM w LEFT JOIN g USING (rid))"""
+
+
 def keyword_windows(spark: SparkSession, d: str) -> DataFrame:
     return packing.keyword_window(B.files(spark, d), KEYS).select("path", F.col("start").cast("long").alias("start_line"), F.col("end").cast("long").alias("end_line"))
 
@@ -166,13 +174,13 @@ def pagerank_fixed10(spark: SparkSession, d: str) -> DataFrame:
     return ranking.pagerank(nodes, e, rounds=10, tolerance=None).select("path", F.round("rank", 6).alias("rank"))
 
 
-def _pagerank_sql() -> str:
+def _pagerank_sql(rounds: int, end: str) -> str:
     steps = ["""WITH e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
 p AS (SELECT src AS path FROM e UNION SELECT dst FROM e), b AS MATERIALIZED (SELECT p.path, 1.0::DOUBLE / (SELECT count(*) FROM p) AS w, (SELECT count(*) FROM e WHERE e.src = p.path) AS n FROM p), r0 AS (SELECT path, w, n, w AS r FROM b)"""]
-    for k in range(10):
+    for k in range(rounds):
         steps.append(f"""r{k + 1} AS MATERIALIZED (SELECT x.path, x.w, x.n, 0.15 * x.w + 0.85 * (coalesce(g.g, 0) + (SELECT coalesce(sum(r), 0) FROM r{k} WHERE n = 0) * x.w) AS r
 FROM r{k} x LEFT JOIN (SELECT dst, sum(r / n) AS g FROM e JOIN r{k} ON e.src = r{k}.path GROUP BY dst) g ON g.dst = x.path)""")
-    return ",\n".join(steps) + "\nSELECT path, round(r / (SELECT sum(r) FROM r10), 6) AS rank FROM r10"
+    return ",\n".join(steps) + f"\n{end}"
 
 
 def pagerank_blend(spark: SparkSession, d: str) -> DataFrame:
@@ -188,6 +196,13 @@ def history_adjustment(spark: SparkSession, d: str) -> DataFrame:
     return ranking.history_adjustment(entries, ["ing", "hello", "query", "question"], least=0.0)
 
 
+SQL_ADJUSTMENT = f"""WITH {_SQL_KEYS}, t AS (SELECT conv_id AS id, role || '/' || conv_id % 10 AS path, CAST(ceil(length(text) / 4) AS BIGINT) % 2 AS odd, keys FROM k),
+q AS (SELECT id, list_distinct(flatten(list(keys))) AS keys FROM t GROUP BY id), n AS (SELECT * FROM q ORDER BY id DESC LIMIT 50),
+s AS (SELECT id, CASE WHEN len(keys) = 0 THEN 0.0 ELSE len(list_intersect(keys, ['ing', 'hello', 'query', 'question']))::DOUBLE / (len(keys) + 4 - len(list_intersect(keys, ['ing', 'hello', 'query', 'question']))) END AS s FROM n),
+v AS (SELECT path, sum(CASE WHEN odd = 0 THEN s ELSE 0 END) AS up, sum(CASE WHEN odd = 1 THEN s ELSE 0 END) AS down FROM (SELECT DISTINCT id, path, odd FROM t) JOIN s USING (id) GROUP BY path)
+SELECT path, round(greatest(0, least(3, up * 1.25)) - greatest(0, least(3, down * 0.35)), 3)::DOUBLE AS adjustment FROM v"""
+
+
 def test_pair_join(spark: SparkSession, d: str) -> DataFrame:
     f = B.table(spark, d, "part").select(F.col("p_type").alias("repo"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.when(F.col("p_size") % 2 == 0, "_test.py").otherwise(".py")).alias("path")).distinct()
     return ranking.test_pairs(f).select("a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("repos"))
@@ -250,13 +265,13 @@ SELECT run, k AS rank, tier, tokens, used FROM g WHERE tier IS NOT NULL"""),
     "line_dedup_first_seen": (line_dedup_first_seen, SQL_LINES),
     "scan_classify": (scan_classify, SQL_CLASSIFY),
     "secret_exclusion": (secret_exclusion, SQL_SECRET),
-    "keyword_extraction": (keyword_extraction, None),
+    "keyword_extraction": (keyword_extraction, f"WITH {_SQL_KEYS} SELECT conv_id, turn, array_to_string(keys, ',') AS keywords FROM k"),
     "keyword_windows": (keyword_windows, SQL_WINDOWS),
     "import_graph_degrees": (import_graph_degrees, f"WITH {SQL_EDGES}, x AS (SELECT src AS path, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) SELECT path, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM x GROUP BY path"),
     "graph_one_hop_boost": (graph_one_hop_boost, SQL_ONE_HOP),
-    "pagerank_fixed10": (pagerank_fixed10, _pagerank_sql()),
-    "pagerank_blend": (pagerank_blend, None),
-    "history_adjustment": (history_adjustment, None),
+    "pagerank_fixed10": (pagerank_fixed10, _pagerank_sql(10, "SELECT path, round(r / (SELECT sum(r) FROM r10), 6) AS rank FROM r10")),
+    "pagerank_blend": (pagerank_blend, _pagerank_sql(5, "SELECT path, round(0.6::DOUBLE * (length(path)::DOUBLE / (SELECT max(length(path)) FROM r5)) + 0.4::DOUBLE * r / (SELECT sum(r) FROM r5), 6) AS blended FROM r5")),
+    "history_adjustment": (history_adjustment, SQL_ADJUSTMENT),
     "test_pair_join": (test_pair_join, SQL_PAIRS),
     "resolve_longest_prefix": (resolve_longest_prefix, SQL_RESOLVE),
     "search_regex": (search_regex, SQL_SEARCH),
