@@ -109,7 +109,7 @@ def without_docstrings(text: Column) -> Column:
     return out
 
 
-def shortened_blocks(text: Column, most: int = 8, keep: int = 3) -> Column:
+def shortened_blocks(text: Column, most: int = 7, keep: int = 3) -> Column:
     """Literals opened at a line's end with more than ``most`` entry lines, closed at the indent they began at: the first ``keep``, a count, and the end."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("held"), F.lit("").alias("indent"), F.lit(False).alias("open"))
     opens = r"^(\s*)[\w.]+(?:\s*:\s*[^=]+)?\s*=\s*[\[{(]\s*$"

@@ -116,7 +116,7 @@ def containers(outputs: DataFrame) -> DataFrame:
 
 def build_steps(outputs: DataFrame) -> DataFrame:
     """(doc, pos, instruction, cached, seconds) of image builds in either form; a step counts as cached if a later line says so before the next step."""
-    old, new = r"^Step \d+/\d+\s*:\s*(.*)$", r"^\s*#?\s*(?:=>\s+)?(?:CACHED\s+)?\[(?:\S+\s+)?\d+/\d+\]\s*(.*?)\s+(\d+\.\d+)s\s*$"
+    old, new = r"^Step \d+/\d+\s*:\s*(.*)$", r"^\s*(?:#\d*)?\s*(?:=>\s+)?(?:CACHED\s+)?\[(?:\S+\s+)?\d+/\d+\]\s*(.*?)\s+(\d+\.\d+)s\s*$"
     get = lambda p, i: F.nullif(F.regexp_extract("line", p, i), F.lit(""))
     rows = lines(outputs).withColumn("step", F.coalesce(get(old, 1), get(new, 1)))
     rows = rows.withColumn("k", F.sum(F.col("step").isNotNull().cast("int")).over(W.partitionBy("doc").orderBy("pos"))).where("k > 0")

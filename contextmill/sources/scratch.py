@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder of this machine only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a session within this one process gets a temporary folder;
+    a cluster's executors would not see that, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="contextmill-")
         atexit.register(shutil.rmtree, root, True)
         spark.sparkContext.setCheckpointDir(root)

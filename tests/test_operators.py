@@ -176,7 +176,7 @@ def test_scan_and_artifacts(spark, tmp_path):
         file.write_text(text)
     rows = {r.path: r for r in scan.scan(spark, str(tmp_path / "repo"), ignore=("*.md",), max_bytes=4000, label="lib").collect()}
     assert {k: r.kind for k, r in rows.items()} == {"lib:a.py": "included", "lib:prod.env": "excluded", "lib:node_modules/m.js": "excluded", "lib:big.txt": "too_large", "lib:src/t.ts": "included", "lib:bin.dat": "binary"}
-    assert rows["lib:a.py"].symbols == ["f", "C"] and rows["lib:a.py"].imports == ["os", "x.y"] and rows["lib:src/t.ts"].imports == ["./q"] and rows["lib:a.py"].line_count == 6
+    assert rows["lib:a.py"].symbols == ["f", "C"] and rows["lib:a.py"].imports == ["os", "x.y", "x.y.z"] and rows["lib:src/t.ts"].imports == ["./q"] and rows["lib:a.py"].line_count == 6
     assert scan.gitignore("# c\n!no\n*.log\n/out/\na/**/b") == ["*.log", "*.log/*", "out/*"]
     runs = tmp_path / "runs"
     runs.mkdir()
