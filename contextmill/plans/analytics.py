@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contextmill.functions import scalar as S
 from contextmill.operators import analytics as A
 from contextmill.operators import ranking
+from contextmill.plans.ranking import _SCORE, KEYS
 from contextmill.sources import bindings as B
 from contextmill.sources.scratch import Scratch
 
@@ -47,7 +48,7 @@ def _drift_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drift_contributors(spark: SparkSession, d: str) -> DataFrame:
-    files = B.packed(spark, d).select(F.col("run").alias("id"), F.substring_index("path", "/", 1).alias("path"))
+    files = B.packed(spark, d).select(F.col("run").alias("id"), "path")
     return A.drift_contributors(_drift_runs(spark, d), files)
 
 
@@ -57,7 +58,7 @@ v AS (SELECT *, {_PCT.format('a', 'b')} AS pct, {_PCT.format('fa', 'fb')} AS fpc
 SELECT repo, runs, a AS first_tokens, b AS last_tokens, pct::DOUBLE AS token_drift_pct, fpct::DOUBLE AS file_drift_pct, CASE WHEN runs < 2 THEN 'not_enough_data' WHEN abs(pct) < 10 THEN 'none' WHEN abs(pct) < 25 THEN 'low'
 WHEN abs(pct) < 50 THEN 'moderate' WHEN abs(pct) < 100 THEN 'significant' ELSE 'critical' END AS verdict FROM v"""
 SQL_CONTRIBUTORS = f"""WITH {B.SQL_RUNS}, {_NEWEST}, c AS (SELECT repo, count(*) AS n FROM newest GROUP BY repo), p AS (SELECT newest.repo, run, n, greatest(1, n // 2) AS half, n - k < greatest(1, n // 2) AS old FROM newest JOIN c USING (repo)),
-f AS (SELECT DISTINCT run, split_part(path, '/', 1) AS path FROM packed),
+f AS (SELECT DISTINCT run, path FROM packed),
 s AS (SELECT repo, path, round(count(*) FILTER (WHERE old)::DOUBLE / max(half), 4) AS before, coalesce(round(count(*) FILTER (WHERE NOT old)::DOUBLE / nullif(max(n - half), 0), 4), 0.0) AS after FROM p JOIN f USING (run) GROUP BY repo, path),
 m AS (SELECT *, round(after - before, 4) AS change FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY abs(change) DESC, path) AS k FROM m WHERE abs(change) >= 0.01)
 SELECT repo, path, before, after, change FROM k WHERE k <= 10"""
@@ -135,13 +136,14 @@ SELECT * FROM y WHERE suggestion IS NOT NULL ORDER BY impact DESC, path LIMIT 25
 
 
 def selection_eval(spark: SparkSession, d: str) -> DataFrame:
-    docs = B.table(spark, d, "documents").select(F.col("source").alias("task"), F.col("doc_id").alias("path"), S.tokens(F.col("text")).alias("tokens"))
+    docs = B.table(spark, d, "documents").select(F.col("source").alias("task"), F.col("doc_id").alias("path"), S.tokens(F.col("text")).alias("tokens"), "text")
     truth = docs.join(B.table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("path")).distinct(), "path", "left_semi").select("task", "path")
-    return A.selection(docs.where("tokens <= 500"), truth)
+    picked = docs.where(ranking.content_score(F.coalesce("text", F.lit("")), KEYS) >= 0.5).drop("text")
+    return A.selection(picked, truth)
 
 
-SQL_SELECTION = """WITH x AS (SELECT source AS task, doc_id, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) AS tokens FROM documents), t AS (SELECT task, doc_id, tokens <= 500 AS hit FROM x WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-h AS (SELECT task, avg(hit::INT) AS c FROM t GROUP BY task), u AS (SELECT task, CAST(sum(tokens) AS BIGINT) AS tokens FROM x WHERE tokens <= 500 GROUP BY task)
+SQL_SELECTION = f"""WITH x AS (SELECT source AS task, doc_id, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) AS tokens, ({_SCORE}) >= 0.5 AS hit FROM (SELECT source, doc_id, coalesce(text, '') AS text FROM documents)), t AS (SELECT task, doc_id, hit FROM x WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+h AS (SELECT task, avg(hit::INT) AS c FROM t GROUP BY task), u AS (SELECT task, CAST(sum(tokens) AS BIGINT) AS tokens FROM x WHERE hit GROUP BY task)
 SELECT task, round(100 * c, 4) AS coverage_pct, coalesce(tokens, 0) AS tokens, round(CASE WHEN c > 0 THEN coalesce(tokens, 0) / (100 * c) END, 4) AS tokens_per_point FROM h LEFT JOIN u USING (task)"""
 
 

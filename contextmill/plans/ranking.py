@@ -48,14 +48,18 @@ def pack_progressive(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_file_score(spark: SparkSession, d: str) -> DataFrame:
     f = B.files(spark, d).select("doc_id", F.concat("path", F.when(F.col("doc_id") % 3 == 0, "_test.py").when(F.col("doc_id") % 3 == 1, ".md").otherwise(".ts")).alias("path"), "text")
-    base = ranking.base_score(F.col("path"), F.col("text"), F.lit(""), S.line_count(F.col("text")), KEYS, ("src1",)) * ranking.role_factor(F.col("path"), KEYS)
+    names = F.when(F.col("doc_id") % 5 == 0, f"def {KEYS[0]}_{KEYS[0]}").when(F.col("doc_id") % 5 == 1, f"class {KEYS[3].upper()}").otherwise("")
+    base = ranking.base_score(F.col("path"), F.col("text"), names, S.line_count(F.col("text")), KEYS, ("src1",)) * ranking.role_factor(F.col("path"), KEYS)
     out = f.select("doc_id", S.file_role(F.col("path")).alias("role"), F.round(S.clamp(base, 0, 10), 4).alias("score")).where("score > 0")
     return out
 
 
 _PATH_HITS = " + ".join(f"2.0 * CAST((length(lower(path)) - length(replace(lower(path), '{k}', ''))) / {len(k)} AS BIGINT)" for k in KEYS)
+_NAMED = {KEYS[0]: "CASE WHEN doc_id % 5 = 0 THEN 2.0 ELSE 0.0 END", KEYS[3]: "CASE WHEN doc_id % 5 = 1 THEN 1.0 ELSE 0.0 END"}
+_IN_TEXT = "CAST((length(lower(text)) - length(replace(lower(text), '{0}', ''))) / {1} AS BIGINT)"
+_TEXT_OR_NAMES = " + ".join(f"CASE WHEN {_IN_TEXT.format(k, len(k))} > 0 THEN least(4.0, 0.25 * {_IN_TEXT.format(k, len(k))}) ELSE {_NAMED.get(k, '0.0')} END" for k in KEYS)
 SQL_FILE_SCORE = f"""WITH {B.SQL_FILES}, named AS (SELECT doc_id, path || CASE doc_id % 3 WHEN 0 THEN '_test.py' WHEN 1 THEN '.md' ELSE '.ts' END AS path, text, doc_id % 3 AS m FROM files),
-base AS (SELECT doc_id, m, (CASE WHEN contains(path, 'src1') THEN 1.0 ELSE 0.0 END) + {_PATH_HITS} + {_SCORE} + CASE WHEN m <> 1 THEN 0.35 ELSE 0.0 END + CASE WHEN m = 0 THEN 0.25 ELSE 0.0 END
+base AS (SELECT doc_id, m, (CASE WHEN contains(path, 'src1') THEN 1.0 ELSE 0.0 END) + {_PATH_HITS} + {_TEXT_OR_NAMES} + CASE WHEN m <> 1 THEN 0.35 ELSE 0.0 END + CASE WHEN m = 0 THEN 0.25 ELSE 0.0 END
   - CASE WHEN length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN 0 ELSE 1 END > 500 THEN 0.2 ELSE 0.0 END AS s FROM named)
 SELECT doc_id, CASE m WHEN 0 THEN 'test' WHEN 1 THEN 'docs' ELSE 'prod' END AS role, score FROM (SELECT doc_id, m, round(greatest(0.0, least(10.0, s * CASE m WHEN 0 THEN 0.6 WHEN 1 THEN 0.4 ELSE 1.0 END)), 4)::DOUBLE AS score FROM base) WHERE score > 0"""
 
