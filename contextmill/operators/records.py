@@ -19,15 +19,14 @@ def run_costs(entries: DataFrame, per_million: float) -> DataFrame:
     return entries.select("run", "position", "path", "strategy", "original", "compressed", A.saved().alias("saved"), usd(F.col("original")).alias("baseline_usd"), usd(F.col("compressed")).alias("optimised_usd"), usd(A.saved()).alias("saved_usd"))
 
 
-def run_cost(runs: DataFrame, per_million: float) -> DataFrame:
-    """One row a run (run, input, saved): tokens before and after, the share saved, costs (6 decimals) and what is to note."""
+def run_cost(runs: DataFrame, per_million: float, decimals: int = 6) -> DataFrame:
+    """One row a run (run, input, saved): tokens before and after, the share saved, costs and what is to note."""
     whole = F.col("input") + F.col("saved")
     usd = lambda c: S.usd(c, per_million)
-    six = lambda c: F.round(c.cast("decimal(38,15)"), 6).cast("double")
     notes = F.array_compact(F.array(F.when(whole == 0, "no_tokens"), F.when(F.col("saved") == 0, "no_savings")))
     return runs.select(
         "run", whole.alias("baseline"), F.col("input").alias("optimised"), "saved", F.when(whole > 0, F.round(F.col("saved") / whole * 100, 2)).otherwise(0.0).alias("savings_pct"),
-        six(usd(whole)).alias("baseline_usd"), six(usd(F.col("input"))).alias("optimised_usd"), six(usd(whole) - usd(F.col("input"))).alias("saved_usd"), F.array_join(notes, ",").alias("notes"),
+        F.round(usd(whole), decimals).alias("baseline_usd"), F.round(usd(F.col("input")), decimals).alias("optimised_usd"), F.round(usd(whole) - usd(F.col("input")), decimals).alias("saved_usd"), F.array_join(notes, ",").alias("notes"),
     )
 
 
