@@ -32,7 +32,7 @@ PERCENT = 75
 MARGIN = 0.16
 SMALL = 64
 #: Counters of shingles by a part of their hash; they give the order of the prefix filter, any order is exact.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 17
 
 
 def shingle_sets(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +156,7 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in chunks(batch.column("text")):
             elements, _ = shingle_sets(words_of(data, offsets, NOT_SPACE, FOLD))
-            n += np.bincount((elements >> U(44)).astype(np.int64), minlength=COUNTERS)
+            n += np.bincount((elements >> U(47)).astype(np.int64), minlength=COUNTERS)
     at = np.flatnonzero(n)
     yield pa.record_batch([pa.array(at), pa.array(n[at])], ["counter", "n"])
 
@@ -166,7 +166,7 @@ def prefixes(elements: np.ndarray, tallies: np.ndarray, percent: int = PERCENT)
 
     Of two sets at the threshold the prefixes have an element in common, as both are in one order.
     """
-    order = np.lexsort((elements, tallies[(elements >> U(44)).astype(np.int64)]))
+    order = np.lexsort((elements, tallies[(elements >> U(47)).astype(np.int64)]))
     keep = len(elements) + (-len(elements) * percent // 100) + 1
     return elements[order[:keep]], np.arange(keep)
 
@@ -192,17 +192,20 @@ def candidates(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     An exact prefix-filter join: the rarest quarter of each member's shingles is joined, with length and positional filters.
     """
-    tallied = members.select("text").mapInArrow(_tallies, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
+    tallied = members.select("text").mapInArrow(_tallies, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
     tallies = np.zeros(COUNTERS, np.int64)
-    tallies[tallied.counter.to_numpy()] = tallied.n.to_numpy()
+    tallies[tallied["counter"].to_numpy()] = tallied["n"].to_numpy()
     shared = members.sparkSession.sparkContext.broadcast(tallies)
     rows = scratch.save(members.select("rep", "component", "text").mapInArrow(_prefix_rows(shared), "rep long, component long, n long, element long, place long"), f"{name}-prefixes")
-    mixed = rows.groupBy("element").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("element")
-    mixed = scratch.save(rows.join(mixed, "element", "left_semi"), f"{name}-postings")  # written, so that Spark can split the join with a frequent element
-    x, y = (mixed.select("element", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "n", "place"))) for k in "ab")
-    met = x.join(y, "element").where("rep_a < rep_b and component_a <> component_b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    met = met.where(f"{100 + PERCENT} * least(n_a - place_a, n_b - place_b) >= {PERCENT} * (n_a + n_b) - {100 + PERCENT} * least(place_a, place_b)")
-    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    # of an element's members most may be of one component: the others are paired with all, and these never with each other
+    held = rows.groupBy("element", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = held.groupBy("element").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("element", "most")
+    mixed = scratch.save(rows.join(most, "element"), f"{name}-postings")  # written, so that Spark can split the join with a frequent element
+    x, y = (mixed.select("element", "most", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "n", "place"))) for k in "ab")
+    met = x.where("component_a <> most").drop("most").join(y.drop("most"), "element").where("component_a <> component_b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    # a pair's first common element has all of them at its place or after it, so one of the pair's elements passes this
+    met = met.where(f"{100 + PERCENT} * least(n_a - place_a, n_b - place_b) >= {PERCENT} * (n_a + n_b)")
+    return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def exact_sets(texts: list[str]) -> list[np.ndarray]:
@@ -297,7 +300,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def asked(pairs: DataFrame) -> DataFrame:
         """Texts of the documents in pairs; equal sets of one doc_id make any of its rows fit."""
-        return texts.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
+        return texts.join(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "rep", "left_semi")
 
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
     best = scratch.save(best, "best")
