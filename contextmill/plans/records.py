@@ -23,7 +23,7 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 
 def effective_metrics(spark: SparkSession, d: str) -> DataFrame:
     delta = F.when(F.col("run") % 3 == 0, F.struct(F.floor(F.col("input") / 2).alias("tokens"), (F.col("saved") + 1).alias("saved"), F.col("input").alias("original"), F.lit(2).cast("long").alias("included"), F.col("run").alias("removed")))
-    return R.effective(B.runs(spark, d).withColumn("delta", delta))
+    return R.effective(B.runs(spark, d).withColumn("delta", delta)).na.fill(-1, ["original"])
 
 
 def dashboard_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +116,7 @@ QUERIES = {
     "cost_run_files": (lambda s, d: R.run_costs(B.packed(s, d), _PRICE), f"WITH {B.SQL_PACKED} SELECT run, position, path, strategy, original, compressed, greatest(original - compressed, 0) AS saved, round(original / 1000000.0::DOUBLE * 2.5::DOUBLE, 8) AS baseline_usd, round(compressed / 1000000.0::DOUBLE * 2.5::DOUBLE, 8) AS optimised_usd, round(greatest(original - compressed, 0) / 1000000.0::DOUBLE * 2.5::DOUBLE, 8) AS saved_usd FROM packed"),
     "cost_single_run": (lambda s, d: R.run_cost(B.runs(s, d), _PRICE, 8), f"""WITH {B.SQL_RUNS} SELECT run, input + saved AS baseline, input AS optimised, saved, (CASE WHEN input + saved > 0 THEN round(saved::DOUBLE / (input + saved) * 100, 2) ELSE 0.0 END)::DOUBLE AS savings_pct, round((input + saved) / 1000000.0::DOUBLE * 2.5::DOUBLE, 8) AS baseline_usd,
 round(input / 1000000.0::DOUBLE * 2.5::DOUBLE, 8) AS optimised_usd, round((input + saved) / 1000000.0::DOUBLE * 2.5::DOUBLE - input / 1000000.0::DOUBLE * 2.5::DOUBLE, 8) AS saved_usd, array_to_string(list_filter([CASE WHEN input + saved = 0 THEN 'no_tokens' END, CASE WHEN saved = 0 THEN 'no_savings' END], lambda x: x IS NOT NULL), ',') AS notes FROM runs"""),
-    "effective_metrics": (effective_metrics, f"WITH {B.SQL_RUNS} SELECT run, run % 3 = 0 AS delta_enabled, CASE WHEN run % 3 = 0 THEN CAST(floor(input / 2) AS BIGINT) ELSE input END AS input, CASE WHEN run % 3 = 0 THEN saved + 1 ELSE saved END AS saved, CASE WHEN run % 3 = 0 THEN input END AS original, CASE WHEN run % 3 = 0 THEN 2 ELSE n_files END AS n_files, CASE WHEN run % 3 = 0 THEN run ELSE 0 END AS n_removed FROM runs"),
+    "effective_metrics": (effective_metrics, f"WITH {B.SQL_RUNS} SELECT run, run % 3 = 0 AS delta_enabled, CASE WHEN run % 3 = 0 THEN CAST(floor(input / 2) AS BIGINT) ELSE input END AS input, CASE WHEN run % 3 = 0 THEN saved + 1 ELSE saved END AS saved, CASE WHEN run % 3 = 0 THEN input ELSE -1 END AS original, CASE WHEN run % 3 = 0 THEN 2 ELSE n_files END AS n_files, CASE WHEN run % 3 = 0 THEN run ELSE 0 END AS n_removed FROM runs"),
     "dataset_aggregate": (lambda s, d: R.dataset(B.runs(s, d).select((F.col("input") + F.col("saved")).alias("baseline"), F.col("input").alias("optimised"))), f"""WITH {B.SQL_RUNS} SELECT count(*) AS tasks, sum(input + saved)::BIGINT AS total_baseline, sum(input)::BIGINT AS total_optimised, round(avg(input + saved), 2) AS avg_baseline, round(avg(input), 2) AS avg_optimised,
 round(avg(CASE WHEN input + saved <= 0 THEN 0.0 ELSE round(greatest(0.0, saved::DOUBLE / (input + saved) * 100), 2) END), 2) AS avg_reduction_pct FROM runs"""),
     "dashboard_merge": (dashboard_merge, f"""WITH {B.SQL_RUNS}, a AS (SELECT generated_at, input, saved, n_files AS files FROM runs WHERE day(generated_at) <= 20), h AS (SELECT generated_at, input, saved, n_files AS files FROM runs WHERE day(generated_at) >= 10)
