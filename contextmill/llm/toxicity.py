@@ -104,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS) -> M
     if labels.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, "doc_id").withColumn("toxic", (F.col("toxic") > 0).cast("int"))
-    counts = Scratch(docs.sparkSession, "toxicity").save(rows.select("text", "toxic").mapInArrow(_class_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "counts")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    counts = scratch.save(rows.select("text", "toxic").mapInArrow(_class_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "counts")
     head = counts.where("bucket < 0").first()
     clean, toxic = (int(head["clean"]), int(head["toxic"])) if head else (0, 0)
     index = np.full(BUCKETS, -1, np.int32)
@@ -117,6 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS) -> M
     # of so many terms some differ between the classes by chance; a gain beyond the logarithm of their number is no chance
     noise = float(np.log(max(1, tried.count())))
     chosen = tried.where(F.col("gain") > noise).orderBy(F.desc("gain"), "bucket").limit(TERMS).select("bucket").toPandas()["bucket"].to_numpy()
+    scratch.drop()
     index[chosen] = np.arange(len(chosen), dtype=np.int32)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -172,6 +172,15 @@ def test_machine_learns_an_interaction():
     assert score(0, 1) > 0.9 and max(score(0), score(1), score(2, 3), score()) < 0.2
 
 
+def test_scores_equal_the_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    machine = toxicity.Machine(np.zeros(0), 0.3, rng.normal(size=20), rng.normal(size=(20, 5)))
+    for n in (0, 1, 2, 9):
+        terms = rng.choice(20, n, replace=False)
+        z = 0.3 + sum(machine.linear[i] for i in terms) + sum(float(machine.factors[i] @ machine.factors[j]) for i, j in itertools.combinations(terms, 2))
+        assert machine.score(terms) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_toxicity_of_awkward_rows(docs, no_docs, spark):
     labels = spark.createDataFrame([(3, 1), (3, 0), (6, None), (None, 1), (9, 0)], "doc_id long, toxic int")
     machine = toxicity.fit(docs, labels)
