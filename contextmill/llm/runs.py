@@ -4,7 +4,8 @@ The fingerprint of a window of 50 words is the smallest hash of its 12-word gram
 fingerprint wherever it stands, while neighbouring windows share it and the index holds a few per cent of the positions.
 Each batch of documents becomes one immutable run: a table bucketed and sorted by fingerprint. The batch is merge-joined,
 bucket by bucket, with the runs before it, which are never exchanged; for fingerprints that meet, whole windows are
-compared by a cryptographic digest of their bytes. Runs of one level are merged into a run of the next level, again bucket
+compared by a cryptographic digest of their bytes. The few fingerprints that very many documents of a batch have are kept
+beside the buckets, in files of equal size, and are met by a broadcast of themselves. Runs of one level are merged into a run of the next level, again bucket
 by bucket, once there are ``fanout`` of them. The index lives in a folder and can be opened by a later session.
 """
 
@@ -28,6 +29,10 @@ WINDOW = 50
 GRAM = 12
 FANOUT = 2
 BATCHES = 2
+#: Fingerprints with more than this part of a batch's posts, so no more of them than this, are heavy: no bucket has them.
+HEAVY = 256
+#: Posts of a fingerprint in the sample of a sixteenth of the documents from which it can be heavy.
+HEAVY_LEAST = 32
 _TAG = 0x7FFFFFFF
 #: In place of a mark's first word: all words of the text.
 _ALL = 0xFFFFFFFF
@@ -170,6 +175,7 @@ class WindowIndex:
         self.spark, self.path, self.window, self.fanout = spark, path.rstrip("/"), window, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: dict[str, int] = {}
+        self.heavy: dict[str, list[int]] = {}
         self.last: int | None = None
         self.version = 0
         self.tables: dict[str, str] = {}
@@ -183,13 +189,13 @@ class WindowIndex:
             rows = spark.read.parquet(f"{path.rstrip('/')}/manifest-{version}").collect()
             if rows:
                 out = cls(spark, path, rows[0].window, rows[0].fanout, rows[0].buckets)
-                out.last, out.version, out.runs = rows[0].last, version, {r.name: r.level for r in rows}
+                out.last, out.version, out.runs, out.heavy = rows[0].last, version, {r.name: r.level for r in rows}, {r.name: list(r.heavy) for r in rows}
                 return out
         raise ValueError(f"no index in {path}")
 
     def _record(self) -> None:
-        rows = [(name, level, self.window, self.fanout, self.buckets, self.last) for name, level in self.runs.items()]
-        self.spark.createDataFrame(rows, "name string, level int, window int, fanout int, buckets int, last long").coalesce(1).write.parquet(f"{self.path}/manifest-{self.version + 1}")
+        rows = [(name, level, self.window, self.fanout, self.buckets, self.last, self.heavy[name]) for name, level in self.runs.items()]
+        self.spark.createDataFrame(rows, "name string, level int, window int, fanout int, buckets int, last long, heavy array<long>").coalesce(1).write.parquet(f"{self.path}/manifest-{self.version + 1}")
         self._delete(f"manifest-{self.version}")
         self.version += 1
 
@@ -197,14 +203,31 @@ class WindowIndex:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    def _write(self, posts: DataFrame, level: int) -> str:
-        """A run of posts that are dealt by fingerprint already: each bucket is a sorted file."""
+    def _write(self, posts: DataFrame, level: int, heavy: DataFrame | None = None, prints: list[int] = ()) -> str:
+        """A run of posts that are dealt by fingerprint already, each bucket a sorted file, and of those of heavy fingerprints."""
         name = f"run-{uuid.uuid4().hex}"
         posts.select("print", "doc_id").write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "print").sortBy("print").saveAsTable(f"windows_{name[4:]}")
-        self.tables[name] = f"windows_{name[4:]}"
+        if prints:
+            heavy.select("print", "doc_id").write.option("compression", "zstd").parquet(f"{self.path}/heavy-{name}")
+        self.tables[name], self.heavy[name] = f"windows_{name[4:]}", list(prints)
         self.runs[name] = level
         return name
 
+    def _heavy_prints(self, posts: DataFrame) -> list[int]:
+        """Fingerprints of more than a HEAVY-th of the posts of some documents: where they are kept changes no result."""
+        counts = posts.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).groupBy("print").agg(F.count(F.lit(1)).alias("n"))
+        whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return sorted(r["print"] for r in counts.where(F.col("n") > max(HEAVY_LEAST, whole // HEAVY)).collect())
+
+    def _few(self, prints: list[int]) -> DataFrame:
+        """Heavy fingerprints as a table to broadcast: at most HEAVY of each batch."""
+        return F.broadcast(self.spark.createDataFrame([(p,) for p in prints], "print long"))
+
+    def heavy_posts(self, name: str) -> DataFrame:
+        """The posts of a run's heavy fingerprints."""
+        schema = "print long, doc_id long"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/heavy-{name}") if self.heavy[name] else self.spark.createDataFrame([], schema)
+
     def run(self, name: str) -> DataFrame:
         """The posts (print, doc_id) of a run; Spark knows how it is bucketed."""
         if name not in self.tables:
@@ -214,7 +237,7 @@ class WindowIndex:
         return self.spark.table(self.tables[name])
 
     def posts(self) -> DataFrame:
-        return reduce(DataFrame.union, map(self.run, self.runs))
+        return reduce(DataFrame.union, [*map(self.run, self.runs), *map(self.heavy_posts, self.runs)])
 
     def close(self) -> None:
         """Forgets the tables' names; the files stay."""
@@ -229,7 +252,17 @@ class WindowIndex:
         before = [self.run(name).join(prints.hint("merge"), "print", "left_semi") for name in old]
         shared = prints.where("first < last").select("print")
         both = reduce(DataFrame.union, [x.select("print") for x in before], shared)
-        return reduce(DataFrame.union, before, own.join(both, "print", "left_semi"))
+        mine, out = self.heavy[new], before
+        for name in old:  # heavy fingerprints are few: both ways by a broadcast of them
+            if mine:
+                out = [*out, self.run(name).join(self._few(mine), "print", "left_semi")]
+            if theirs := self.heavy[name]:
+                light = prints.select("print").join(self._few(theirs), "print", "left_semi")
+                both = both.union(light)
+                known = light if not mine else light.union(self._few(mine).join(self._few(theirs), "print", "left_semi"))
+                out = [*out, self.heavy_posts(name).join(F.broadcast(known.distinct()), "print", "left_semi")]
+        out = [*out, own.join(both, "print", "left_semi")]
+        return reduce(DataFrame.union, out if not mine else [*out, self.heavy_posts(new)])
 
     def add(self, batch: DataFrame, texts: DataFrame, scratch: Scratch, name: str, compact: bool = True) -> DataFrame:
         """Adds a batch (doc_id, prints) and returns (doc_id, marks): its windows that start in an earlier document too.
@@ -243,7 +276,11 @@ class WindowIndex:
         if self.last is not None and edge[0] <= self.last:
             raise ValueError(f"batches must ascend: {edge[0]} comes after {self.last}")
         old = list(self.runs)
-        new = self._write(batch.select(F.explode("prints").alias("print"), "doc_id").repartition(self.buckets, "print").distinct(), 0)
+        posts = batch.select(F.explode("prints").alias("print"), "doc_id")
+        prints = self._heavy_prints(posts)
+        light = posts.join(self._few(prints), "print", "left_anti") if prints else posts
+        heavy = posts.join(self._few(prints), "print", "left_semi").distinct().hint("rebalance") if prints else None
+        new = self._write(light.repartition(self.buckets, "print").distinct(), 0, heavy, prints)
         self.last = edge[1]
         self._record()
         asked = self.met(new, old).groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
@@ -266,13 +303,15 @@ class WindowIndex:
             if level is None:
                 return
             old = [n for n, k in self.runs.items() if k == level]
-            self._write(reduce(DataFrame.union, map(self.run, old)), level + 1)
+            prints = sorted({p for n in old for p in self.heavy[n]})
+            self._write(reduce(DataFrame.union, map(self.run, old)), level + 1, reduce(DataFrame.union, map(self.heavy_posts, old)), prints)
             for n in old:
-                del self.runs[n]
+                del self.runs[n], self.heavy[n]
             self._record()
             for n in old:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(n)}")
                 self._delete(n)
+                self._delete(f"heavy-{n}")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, carry: bool = False) -> DataFrame:

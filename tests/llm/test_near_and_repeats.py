@@ -207,6 +207,18 @@ def test_a_later_session_goes_on_with_the_index_and_runs_are_not_exchanged(spark
         index.add(survey.where("doc_id = 0"), texts, Scratch(index.spark, "later"), "again")
 
 
+@pytest.mark.parametrize("batches", [2, 5])
+def test_heavy_fingerprints_beside_the_buckets(docs, rows, monkeypatch, batches):
+    """The same result when every fingerprint of a sampled document is heavy."""
+    monkeypatch.setattr(runs, "HEAVY_LEAST", 0)
+    monkeypatch.setattr(runs, "HEAVY", 10**9)
+    monkeypatch.setattr(runs, "FANOUT", 2)
+    kept, write = [], runs.WindowIndex._write
+    monkeypatch.setattr(runs.WindowIndex, "_write", lambda self, posts, level, heavy=None, prints=(): kept.append(len(prints)) or write(self, posts, level, heavy, prints))
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in runs.remove_repeats(docs, batches=batches).collect()), key=str)
+    assert got == brute_repeats([(r[0], r[1]) for r in rows]) and max(kept) > 0
+
+
 def thue_morse(n):
     return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
 
