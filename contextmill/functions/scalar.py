@@ -22,6 +22,16 @@ TRACE_MASKS = [(r"\b0x[0-9a-fA-F]+\b", "<hex>"), (r"\b[0-9a-f]{12,}\b", "<id>"),
 EVENT_MASKS = [(r"\b[0-9a-f]{12,64}\b", "<id>"), (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<ip>"), (r"\b\d+m?s\b", "<dur>"), (r"\b\d+\.\d+(?:KB|MB|GB|MiB|KiB|GiB)\b", "<size>"), (r"\b\d{4,}\b", "<n>")]
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """A double with so many decimals: the product with the power of ten is rounded, halves away from zero.
+
+    A half is one of the double product, not of the shortest decimal text (which ``round`` takes): 4.475 gives 4.47, as the
+    double lies below.
+    """
+    scale = F.lit(float(10**digits))
+    return F.round((F.col(x) if isinstance(x, str) else x).cast("double") * scale) / scale
+
+
 def tokens(text: Column, per_token: float = 4.0) -> Column:
     """0 for an empty or null text, else the characters by ``per_token``, rounded up."""
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0)).otherwise(F.ceil(F.length(text) / F.lit(per_token))).cast("long")
@@ -181,7 +191,7 @@ def reduction_pct(before: Column, after: Column) -> Column:
 
 
 def complexity(lines: Column, symbols: Column, branches: Column, imports: Column) -> Column:
-    return F.round(lines / 60.0 + symbols * 1.2 + branches * 0.75 + imports * 0.6, 2)
+    return rounded(lines / 60.0 + symbols * 1.2 + branches * 0.75 + imports * 0.6, 2)
 
 
 def normalised_prompt(text: Column) -> Column:

@@ -167,7 +167,7 @@ def kube_events(events: DataFrame) -> DataFrame:
 def stacks(samples: DataFrame) -> DataFrame:
     """(stack, samples, depth, share) of collapsed stacks (stack, n)."""
     sums = samples.groupBy("stack").agg(F.sum("n").cast("long").alias("samples"))
-    return sums.crossJoin(F.broadcast(sums.agg(F.sum("samples").alias("all")))).select("stack", "samples", F.size(F.split("stack", ";")).cast("long").alias("depth"), F.round(100 * F.col("samples") / F.col("all"), 4).alias("share"))
+    return sums.crossJoin(F.broadcast(sums.agg(F.sum("samples").alias("all")))).select("stack", "samples", F.size(F.split("stack", ";")).cast("long").alias("depth"), S.rounded(100 * F.col("samples") / F.col("all"), 4).alias("share"))
 
 
 def log_keys(records: DataFrame, share: float = 0.8) -> DataFrame:
@@ -188,13 +188,13 @@ def log_levels(records: DataFrame) -> DataFrame:
 def coverage(rows: DataFrame) -> DataFrame:
     """(path, statements, missed, pct) of rows (path, statements, missed)."""
     sums = rows.groupBy("path").agg(F.sum("statements").cast("long").alias("statements"), F.sum("missed").cast("long").alias("missed"))
-    return sums.withColumn("pct", F.when(F.col("statements") == 0, 100.0).otherwise(F.round(100 * (1 - F.col("missed") / F.col("statements")), 2)))
+    return sums.withColumn("pct", F.when(F.col("statements") == 0, 100.0).otherwise(S.rounded(100 * (1 - F.col("missed") / F.col("statements")), 2)))
 
 
 def coverage_delta(before: DataFrame, after: DataFrame, least: float = 0.5, top: int = 12) -> DataFrame:
     """Files that are new, gone, or moved by half a point and more, the largest moves first."""
     b, a = before.select("path", F.col("pct").alias("before")), after.select("path", F.col("pct").alias("after"))
-    both = b.join(a, "path", "full_outer").withColumn("change", F.round(F.coalesce("after", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)), 2))
+    both = b.join(a, "path", "full_outer").withColumn("change", S.rounded(F.coalesce("after", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)), 2))
     status = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "gone").otherwise("moved")
     return both.withColumn("status", status).where((F.col("status") != "moved") | (F.abs("change") >= least)).orderBy(F.desc(F.abs("change")), "path").limit(top).select("path", "status", "change")
 

@@ -15,7 +15,7 @@ RISKS = ("low", "medium", "high")
 
 def run_costs(entries: DataFrame, per_million: float) -> DataFrame:
     """Each entry of a run with its tokens saved and what they cost before and after (8 decimals)."""
-    usd = lambda c: F.round(S.usd(c, per_million), 8)
+    usd = lambda c: S.rounded(S.usd(c, per_million), 8)
     return entries.select("run", "position", "path", "strategy", "original", "compressed", A.saved().alias("saved"), usd(F.col("original")).alias("baseline_usd"), usd(F.col("compressed")).alias("optimised_usd"), usd(A.saved()).alias("saved_usd"))
 
 
@@ -25,8 +25,8 @@ def run_cost(runs: DataFrame, per_million: float, decimals: int = 6) -> DataFram
     usd = lambda c: S.usd(c, per_million)
     notes = F.array_compact(F.array(F.when(whole == 0, "no_tokens"), F.when(F.col("saved") == 0, "no_savings")))
     return runs.select(
-        "run", whole.alias("baseline"), F.col("input").alias("optimised"), "saved", F.when(whole > 0, F.round(F.col("saved") / whole * 100, 2)).otherwise(0.0).alias("savings_pct"),
-        F.round(usd(whole), decimals).alias("baseline_usd"), F.round(usd(F.col("input")), decimals).alias("optimised_usd"), F.round(usd(whole) - usd(F.col("input")), decimals).alias("saved_usd"), F.array_join(notes, ",").alias("notes"),
+        "run", whole.alias("baseline"), F.col("input").alias("optimised"), "saved", F.when(whole > 0, S.rounded(F.col("saved") / whole * 100, 2)).otherwise(0.0).alias("savings_pct"),
+        S.rounded(usd(whole), decimals).alias("baseline_usd"), S.rounded(usd(F.col("input")), decimals).alias("optimised_usd"), S.rounded(usd(whole) - usd(F.col("input")), decimals).alias("saved_usd"), F.array_join(notes, ",").alias("notes"),
     )
 
 
@@ -40,13 +40,13 @@ def effective(runs: DataFrame) -> DataFrame:
 
 def reduction(baseline: Column, optimised: Column) -> Column:
     """Tokens saved in percent of the baseline, not below 0, two decimals."""
-    return F.when(baseline <= 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), (baseline - optimised) / baseline * 100), 2))
+    return F.when(baseline <= 0, 0.0).otherwise(S.rounded(F.greatest(F.lit(0.0), (baseline - optimised) / baseline * 100), 2))
 
 
 def dataset(entries: DataFrame) -> DataFrame:
     """One row for tasks (baseline, optimised): totals, means, and the mean of the tasks' reductions."""
     zero = F.lit(0)
-    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 2)
+    mean = lambda c: S.rounded(F.coalesce(F.avg(c), F.lit(0.0)), 2)
     return entries.agg(
         F.count(F.lit(1)).alias("tasks"), F.coalesce(F.sum("baseline"), zero).alias("total_baseline"), F.coalesce(F.sum("optimised"), zero).alias("total_optimised"),
         mean("baseline").alias("avg_baseline"), mean("optimised").alias("avg_optimised"), mean(reduction(F.col("baseline"), F.col("optimised"))).alias("avg_reduction_pct"),
@@ -85,13 +85,13 @@ def budget_changes(runs: DataFrame) -> DataFrame:
 def dashboard(runs: DataFrame, key: str) -> DataFrame:
     """Runs, tokens, saved, mean reduction and the share of cache look-ups that hit (hits, misses) of each key."""
     looked = F.sum(F.col("hits") + F.col("misses"))
-    return runs.groupBy(key).agg(F.count(F.lit(1)).alias("runs"), F.sum("input").alias("tokens"), F.sum("saved").alias("saved"), F.round(F.avg(S.reduction_pct(F.col("input") + F.col("saved"), F.col("input"))), 2).alias("mean_reduction_pct"), F.when(looked > 0, F.round(F.sum("hits") / looked, 4)).otherwise(0.0).alias("cache_hit_rate"))
+    return runs.groupBy(key).agg(F.count(F.lit(1)).alias("runs"), F.sum("input").alias("tokens"), F.sum("saved").alias("saved"), S.rounded(F.avg(S.reduction_pct(F.col("input") + F.col("saved"), F.col("input"))), 2).alias("mean_reduction_pct"), F.when(looked > 0, S.rounded(F.sum("hits") / looked, 4)).otherwise(0.0).alias("cache_hit_rate"))
 
 
 def policy(runs: DataFrame, limits: dict) -> DataFrame:
     """Violations of each run (run, input, saved, n_files, risk, bytes) of up to five limits, in a fixed order."""
     whole = F.col("input") + F.col("saved")
-    pct = F.when(whole > 0, F.round(F.col("saved") / whole * 100, 3)).otherwise(0.0)
+    pct = F.when(whole > 0, S.rounded(F.col("saved") / whole * 100, 3)).otherwise(0.0)
     broken = {
         "max_estimated_input_tokens": lambda x: F.col("input") > x, "max_files_included": lambda x: F.col("n_files") > x, "max_quality_risk_level": lambda x: risk_rank(F.col("risk")) > RISKS.index(x) + 1,
         "min_estimated_savings_percentage": lambda x: pct < x, "max_context_size_bytes": lambda x: F.col("bytes") > x,
@@ -102,13 +102,13 @@ def policy(runs: DataFrame, limits: dict) -> DataFrame:
 
 def selection_summary(tasks: DataFrame) -> DataFrame:
     """One row for tasks (coverage_pct, tokens): mean and median coverage, tokens for each point of coverage (null without any)."""
-    return tasks.agg(F.count(F.lit(1)).alias("tasks"), F.round(F.avg("coverage_pct"), 4).alias("mean_coverage"), F.round(F.median("coverage_pct"), 4).alias("median_coverage"), F.round(F.when(F.sum("coverage_pct") > 0, F.sum("tokens") / F.sum("coverage_pct")), 4).alias("tokens_per_point"))
+    return tasks.agg(F.count(F.lit(1)).alias("tasks"), S.rounded(F.avg("coverage_pct"), 4).alias("mean_coverage"), S.rounded(F.median("coverage_pct"), 4).alias("median_coverage"), S.rounded(F.when(F.sum("coverage_pct") > 0, F.sum("tokens") / F.sum("coverage_pct")), 4).alias("tokens_per_point"))
 
 
 def repeat_rate(calls: DataFrame) -> DataFrame:
     """The share of each session's calls (session, argv) whose argv the session had before."""
     each = calls.groupBy("session", "argv").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("session").agg(F.sum("n").alias("calls"), F.sum(F.col("n") - 1).alias("repeats"), F.round(F.sum(F.col("n") - 1) / F.sum("n"), 4).alias("repeat_rate"))
+    return each.groupBy("session").agg(F.sum("n").alias("calls"), F.sum(F.col("n") - 1).alias("repeats"), S.rounded(F.sum(F.col("n") - 1) / F.sum("n"), 4).alias("repeat_rate"))
 
 
 def newest_commands(commands: DataFrame, n: int) -> DataFrame:

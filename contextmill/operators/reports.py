@@ -36,7 +36,7 @@ def clamped_budget(asked: Column, window: Column, reserve: Column) -> Column:
 def workflow_cost(steps: DataFrame, input_price: float, output_price: float) -> DataFrame:
     """One row a workflow (workflow, step, total, output): input is total less output; least, most and mean cost of a step."""
     each = steps.withColumn("usd", S.usd(F.col("total") - F.col("output"), input_price) + S.usd(F.col("output"), output_price))
-    return each.groupBy("workflow").agg(F.count(F.lit(1)).alias("steps"), F.sum(F.col("total") - F.col("output")).alias("input_tokens"), F.sum("output").alias("output_tokens"), F.round(F.sum("usd"), 10).alias("usd"), F.round(F.min("usd"), 10).alias("least"), F.round(F.max("usd"), 10).alias("most"), F.round(F.avg("usd"), 10).alias("mean"))
+    return each.groupBy("workflow").agg(F.count(F.lit(1)).alias("steps"), F.sum(F.col("total") - F.col("output")).alias("input_tokens"), F.sum("output").alias("output_tokens"), S.rounded(F.sum("usd"), 10).alias("usd"), S.rounded(F.min("usd"), 10).alias("least"), S.rounded(F.max("usd"), 10).alias("most"), S.rounded(F.avg("usd"), 10).alias("mean"))
 
 
 def agent_plan(ranked: DataFrame, limit: int = 5) -> DataFrame:
@@ -65,7 +65,7 @@ def pipeline_trace(entries: DataFrame) -> DataFrame:
 
 def observed(runs: DataFrame) -> DataFrame:
     """One row: runs, tokens, and the mean files of a run."""
-    return runs.agg(F.count(F.lit(1)).alias("runs"), F.sum("input").alias("input_tokens"), F.sum("saved").alias("saved_tokens"), F.round(F.avg("n_files"), 4).alias("mean_files"))
+    return runs.agg(F.count(F.lit(1)).alias("runs"), F.sum("input").alias("input_tokens"), F.sum("saved").alias("saved_tokens"), S.rounded(F.avg("n_files"), 4).alias("mean_files"))
 
 
 def regression_gate(current: DataFrame, baseline: DataFrame, tolerance: float) -> DataFrame:
@@ -158,5 +158,5 @@ def tree_depths(outputs: DataFrame) -> DataFrame:
 def quality_floors(results: DataFrame) -> DataFrame:
     """Results (key, level, raw, compressed) below their level's floor, for inputs of 80 tokens and more."""
     floor = F.when(F.col("level") == "verbose", -10.0).when(F.col("level") == "compact", 30.0).otherwise(70.0)
-    pct = F.round(S.reduction_pct(F.col("raw"), F.col("compressed")), 4)
+    pct = S.rounded(S.reduction_pct(F.col("raw"), F.col("compressed")), 4)
     return results.where("raw >= 80").withColumn("reduction_pct", pct).where(pct < floor).select("key", "level", "reduction_pct")

@@ -60,21 +60,25 @@ def delta_package(old: DataFrame, new: DataFrame) -> DataFrame:
 def snapshot_choice(calls: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Whether a call's output is shown as a delta against the call before it with the same key.
 
-    The delta has the added and removed lines; it is taken if line similarity is 0.30 or more and its tokens are fewer.
-    The earlier output is the base whether or not a delta was taken. calls: id, key, text and the order columns.
+    The delta has the added and removed lines, each as often as it stands; it is taken if line similarity is 0.30 or more and
+    its tokens are fewer. The earlier output is the base whether or not a delta was taken. calls: id (of one row each), key,
+    text and the order columns; a null text is empty. Lines are counted by call and line, in time linear in the lines.
     """
     w = W.partitionBy(key).orderBy(*order)
-    rows = calls.withColumn("before", F.lag("text").over(w))
-    now, old = F.split("text", "\n"), F.split("before", "\n")
-    # the lines of one side that the other lacks, each as often as it stands: looked up in a set, not in the whole other text
-    fresh, gone = F.array_except(now, old), F.array_except(old, now)
-    lookup = lambda names: F.map_from_arrays(names, F.transform(names, lambda _: F.lit(True)))
-    plus, minus = F.filter(now, lambda x: F.map_contains_key(lookup(fresh), x)), F.filter(old, lambda x: F.map_contains_key(lookup(gone), x))
-    delta = F.array_join(F.concat(F.transform(plus, lambda x: F.concat(F.lit("+ "), x)), F.transform(minus, lambda x: F.concat(F.lit("- "), x))), "\n")
-    rows = rows.withColumn("similarity", F.when(F.col("before").isNotNull(), S.line_similarity(F.col("text"), F.col("before"))))
-    rows = rows.withColumn("tokens", S.tokens(F.col("text"))).withColumn("delta_tokens", F.when(F.col("before").isNotNull(), S.tokens(delta)))
+    text = F.coalesce("text", F.lit(""))
+    rows = calls.select("id", key, text.alias("text"), F.lag(text).over(w).alias("before")).withColumn("tokens", S.tokens(F.col("text")))
+    side = lambda c, now: F.transform(F.split(c, "\n"), lambda x: F.struct(x.alias("line"), F.lit(now).alias("now")))
+    both = F.concat(side("text", 1), F.coalesce(side("before", 0), F.array().cast("array<struct<line:string,now:int>>")))
+    call = ["id", key, "tokens", "has"]
+    lines = rows.repartition("id").select("id", key, "tokens", F.col("before").isNotNull().alias("has"), F.explode(both).alias("x"))
+    each = lines.groupBy(*call, "x.line").agg(F.sum("x.now").alias("new"), F.count(F.lit(1)).alias("n"))  # dealt by id already
+    lone = (F.col("new") == 0) | (F.col("new") == F.col("n"))
+    sums = each.groupBy(*call).agg(
+        F.count(F.lit(1)).alias("distinct"), F.sum((~lone).cast("long")).alias("common"), F.sum(F.when(lone, F.col("n") * (F.length("line") + 3)).otherwise(0)).alias("chars"))
+    size = F.greatest(F.col("chars") - 1, F.lit(0))  # two characters before a line and a line break between two
+    rows = sums.withColumn("similarity", F.when(F.col("has"), F.col("common") / F.col("distinct"))).withColumn("delta_tokens", F.when(F.col("has"), F.ceil(size / 4)))
     took = F.coalesce((F.col("similarity") >= 0.30) & (F.col("delta_tokens") < F.col("tokens")), F.lit(False))
-    return rows.select("id", key, "tokens", F.round("similarity", 4).alias("similarity"), "delta_tokens", took.alias("delta"), F.when(took, F.col("delta_tokens")).otherwise(F.col("tokens")).alias("sent_tokens"))
+    return rows.select("id", key, "tokens", S.rounded("similarity", 4).alias("similarity"), "delta_tokens", took.alias("delta"), F.when(took, F.col("delta_tokens")).otherwise(F.col("tokens")).alias("sent_tokens"))
 
 
 def references(blocks: DataFrame, session: str) -> DataFrame:

@@ -142,7 +142,7 @@ SELECT doc, 'src/p' || l_partkey || '.py' AS path, max(n) AS matches, CAST(sum(l
 
 def level_selection(spark: SparkSession, d: str) -> DataFrame:
     raw = S.tokens(F.col("text"))
-    return B.files(spark, d).select("doc_id", raw.alias("raw"), S.level_for(raw, F.lit(4000), F.lit(2000)).alias("level"), S.reduction_pct(raw, F.least(raw, F.lit(100))).alias("pct")).select("doc_id", "raw", "level", F.round("pct", 3).alias("reduction_pct"))
+    return B.files(spark, d).select("doc_id", raw.alias("raw"), S.level_for(raw, F.lit(4000), F.lit(2000)).alias("level"), S.reduction_pct(raw, F.least(raw, F.lit(100))).alias("pct")).select("doc_id", "raw", "level", S.rounded("pct", 3).alias("reduction_pct"))
 
 
 SQL_LEVEL = """WITH r AS (SELECT doc_id, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) AS raw FROM documents)

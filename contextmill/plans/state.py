@@ -99,7 +99,7 @@ f AS (SELECT *, min(call) OVER (PARTITION BY session, g) AS first FROM s) SELECT
 
 
 def repo_stats(spark: SparkSession, d: str) -> DataFrame:
-    runs = B.runs(spark, d).groupBy("repo").agg(F.count(F.lit(1)).alias("runs"), F.sum("saved").alias("saved"), F.round(F.avg("input"), 1).alias("average_size"))
+    runs = B.runs(spark, d).groupBy("repo").agg(F.count(F.lit(1)).alias("runs"), F.sum("saved").alias("saved"), S.rounded(F.avg("input"), 1).alias("average_size"))
     repos = B.table(spark, d, "customer").select(F.col("c_custkey").alias("repo"), F.col("c_nationkey").cast("long").alias("project"))
     return repos.join(runs, "repo", "left").select("repo", "project", F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("saved", F.lit(0)).alias("saved"), "average_size")
 
@@ -109,7 +109,7 @@ def recent_commits(spark: SparkSession, d: str) -> DataFrame:
     r = B.runs(spark, d).select("run", "repo", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("generated_at"), F.desc("run"))).alias("k")).where("k <= 10")
     total = r.groupBy("repo").agg(F.max("k").alias("total"))
     rows = B.packed(spark, d).select("run", F.substring_index("path", "/", 1).alias("path")).distinct().join(r, "run").join(total, "repo")
-    return rows.groupBy("repo", "path").agg(F.round(F.max((F.col("total") - F.col("k") + 1) / F.col("total")), 4).alias("weight"))
+    return rows.groupBy("repo", "path").agg(S.rounded(F.max((F.col("total") - F.col("k") + 1) / F.col("total")), 4).alias("weight"))
 
 
 SQL_COMMITS = f"""WITH {B.SQL_RUNS}, r AS (SELECT run, repo, row_number() OVER (PARTITION BY repo ORDER BY generated_at DESC, run DESC) AS k FROM runs QUALIFY k <= 10), t AS (SELECT repo, max(k) AS total FROM r GROUP BY repo),
@@ -129,7 +129,7 @@ QUERIES = {
     "call_cache": (call_cache, "SELECT event_id AS id, row_number() OVER (PARTITION BY event_type, props ORDER BY event_id) > 1 AS hit FROM events"),
     "session_ttl": (session_ttl, SQL_TTL),
     "sim_context_modes": (lambda s, d: O.context_modes(B.turns(s, d)), f"WITH {B.SQL_TURNS} SELECT session, turn, tokens AS isolated, tokens + coalesce(lag(tokens) OVER w, 0) AS rolling, CAST(sum(tokens) OVER (PARTITION BY session ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS \"full\" FROM turns WINDOW w AS (PARTITION BY session ORDER BY turn)"),
-    "sim_variance": (lambda s, d: B.turns(s, d).groupBy("session").agg(F.min("tokens").alias("least"), F.max("tokens").alias("most"), F.round(F.avg("tokens"), 4).alias("mean"), F.round(F.var_pop("tokens"), 4).alias("variance"), F.round(F.stddev_pop("tokens"), 4).alias("deviation")), f"WITH {B.SQL_TURNS} SELECT session, min(tokens) AS least, max(tokens) AS most, round(avg(tokens), 4) AS mean, round(var_pop(tokens), 4) AS variance, round(stddev_pop(tokens), 4) AS deviation FROM turns GROUP BY session"),
+    "sim_variance": (lambda s, d: B.turns(s, d).groupBy("session").agg(F.min("tokens").alias("least"), F.max("tokens").alias("most"), S.rounded(F.avg("tokens"), 4).alias("mean"), S.rounded(F.var_pop("tokens"), 4).alias("variance"), S.rounded(F.stddev_pop("tokens"), 4).alias("deviation")), f"WITH {B.SQL_TURNS} SELECT session, min(tokens) AS least, max(tokens) AS most, round(avg(tokens), 4) AS mean, round(var_pop(tokens), 4) AS variance, round(stddev_pop(tokens), 4) AS deviation FROM turns GROUP BY session"),
     "turn_ledger": (lambda s, d: O.turn_ledger(B.turns(s, d)), f"WITH {B.SQL_TURNS} SELECT session, turn, tokens, CAST(sum(tokens) OVER (PARTITION BY session ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative_tokens FROM turns"),
     "shingle_overlap": (shingle_overlap, SQL_OVERLAP),
     "repo_stats": (repo_stats, f"WITH {B.SQL_RUNS}, a AS (SELECT repo, count(*) AS runs, CAST(sum(saved) AS BIGINT) AS saved, round(avg(input), 1) AS average_size FROM runs GROUP BY repo) SELECT c_custkey AS repo, CAST(c_nationkey AS BIGINT) AS project, coalesce(runs, 0) AS runs, coalesce(saved, 0) AS saved, average_size FROM customer LEFT JOIN a ON repo = c_custkey"),
