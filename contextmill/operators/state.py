@@ -39,6 +39,18 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("old_size").isNull(), "added").when(F.col("new_size").isNull(), "removed").when(same, "reused").otherwise("updated").alias("change"))
 
 
+def carried_records(listed: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a new listing takes from an older scan, and what is left to read.
+
+    The first result has the old records of files whose path, size and stamp are the same; the second the other rows of
+    listed (path, size, stamp, kind, ...) whose kind is open. Files that could not be read are tried again.
+    """
+    known = old.where("kind in ('included', 'binary')")
+    same = ["path", "size", "stamp"]
+    todo = listed.where("kind is null")
+    return known.join(todo.select(*same), same, "left_semi").select(*old.columns), todo.join(known.select(*same), same, "left_anti")
+
+
 def score_changes(left: DataFrame, right: DataFrame) -> DataFrame:
     """Differences of two rankings (path, score): added, removed or changed by how much; equal scores are left out."""
     a, b = left.select("path", F.col("score").alias("before")), right.select("path", F.col("score").alias("after"))

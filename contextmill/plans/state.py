@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from contextmill.functions import scalar as S
 from contextmill.operators import state as O
 from contextmill.sources import bindings as B
+from contextmill.sources import scan
 
 
 def scan_snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +30,23 @@ SQL_PRIORITY = """WITH r AS (SELECT event_id AS id, event_id % 3 AS priority, CA
 SELECT id, priority, hour FROM r WHERE hour IS NOT NULL QUALIFY row_number() OVER (PARTITION BY hour ORDER BY priority, id) = 1 UNION ALL SELECT id, priority, hour FROM r WHERE hour IS NULL"""
 
 
+def scan_carried(spark: SparkSession, d: str) -> DataFrame:
+    """The records of a second scan: those of unchanged files come from the first, whose hashes tell them apart here."""
+    size = F.octet_length("text").cast("long")
+    listed = B.files(spark, d).select(F.col("path").alias("file"), "path", size.alias("size"), F.timestamp_seconds(F.col("doc_id") % 5).alias("stamp"), F.when(F.col("doc_id") % 11 == 0, "ignored").alias("kind"), "doc_id", "text")
+    old = listed.where("doc_id % 7 > 0").select("path", F.when(F.col("doc_id") % 3 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(F.col("doc_id") % 10 == 1, F.timestamp_seconds(F.lit(9))).otherwise(F.col("stamp")).alias("stamp"), F.when(F.col("doc_id") % 13 == 2, "unreadable").otherwise("included").alias("kind"), F.sha1(F.concat(F.lit("old:"), "text")).alias("content_hash"), S.line_count(F.col("text")).alias("line_count"))
+    kept, todo = O.carried_records(listed.select("file", "path", "size", "stamp", "kind"), old)
+    read = listed.select("file", F.col("text").cast("binary").alias("content"))
+    left = todo.unionByName(listed.where("kind is not null").select("file", "path", "size", "stamp", "kind"))
+    columns = ["path", "size", "kind", "content_hash", "line_count"]
+    return scan.described(left, read).select(*columns).unionByName(kept.select(*columns)).withColumn("line_count", F.col("line_count").cast("long"))
+
+
+SQL_CARRIED = f"""WITH {B.SQL_FILES}, x AS (SELECT *, doc_id % 7 > 0 AND doc_id % 3 > 0 AND doc_id % 10 <> 1 AND doc_id % 13 <> 2 AS kept FROM files)
+SELECT path, strlen(text)::BIGINT AS size, CASE WHEN doc_id % 11 = 0 THEN 'ignored' ELSE 'included' END AS kind, CASE WHEN doc_id % 11 > 0 THEN sha1(CASE WHEN kept THEN 'old:' || text ELSE text END) END AS content_hash,
+ CASE WHEN doc_id % 11 > 0 THEN CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END END AS line_count FROM x"""
+
+
 def snapshot_delta_choice(spark: SparkSession, d: str) -> DataFrame:
     paths = B.packed(spark, d).groupBy("run").agg(F.array_join(F.array_sort(F.collect_set(F.substring_index("path", "/", 2))), "\n").alias("text"))
     orders = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("repo"), F.col("o_orderdate").alias("ts"))
@@ -122,6 +140,7 @@ QUERIES = {
     "history_trim": (lambda s, d: O.newest_of_each(B.history(s, d), "repo", 20).select("id", "repo", "tokens"), f"{_H} SELECT id, repo, tokens FROM history QUALIFY row_number() OVER (PARTITION BY repo ORDER BY generated_at DESC, id DESC) <= 20"),
     "history_prune": (lambda s, d: O.prune(B.history(s, d), F.lit("2024-01-31").cast("timestamp_ntz"), 10).select("id", "repo", "tokens"), f"{_H} SELECT id, repo, tokens FROM history WHERE generated_at >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAYS"),
     "cost_source_priority": (cost_source_priority, SQL_PRIORITY),
+    "scan_carried": (scan_carried, SQL_CARRIED),
     "snapshot_delta_choice": (snapshot_delta_choice, SQL_CHOICE),
     "ref_ledger": (ref_ledger, SQL_LEDGER),
     "path_alias": (path_alias, SQL_ALIAS),

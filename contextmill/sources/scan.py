@@ -45,29 +45,40 @@ def fingerprint(settings: dict) -> str:
     return hashlib.sha1(json.dumps(settings, sort_keys=True).encode()).hexdigest()
 
 
-def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), max_bytes: int = 1 << 20, most: int | None = 50_000, label: str = "") -> DataFrame:
-    """path, size, stamp, kind, and for included files content_hash, line_count, preview, symbols and imports.
+def listing(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), max_bytes: int = 1 << 20, most: int | None = 50_000) -> DataFrame:
+    """file, path, size, stamp of the files below a folder, and kind of those that their name or size decides; no content is read.
 
-    Spark's file source lists no names that begin with a point or underscore, so such files are never read.
-    kind is the first that fits of excluded (ignored folders, secrets, results of earlier runs), ignored, too_large,
-    unreadable, binary, included. With ``most`` the scan ends after so many files in order of path; only paths are ordered,
-    and only files that may be included are read.
+    Spark's file source lists no names that begin with a point or underscore. With ``most`` the listing ends after so many
+    files in order of path.
     """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     base = root.rstrip("/") + "/"
     path = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^/*(?=" + base.lstrip("/").replace(".", "\\.") + ")" + base.lstrip("/").replace(".", "\\."), "")
     pruned = F.exists(F.split("path", "/"), lambda p: p.isin(*IGNORED_FOLDERS) | p.startswith(".venv") | p.startswith("venv-"))
-    # paths alone first: Spark's source reads no content for them
-    listed = read.load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("stamp")).withColumn("file", F.col("path")).withColumn("path", path)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = read.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("stamp")).withColumn("file", F.col("path")).withColumn("path", path)
     kind = F.when(pruned | matches(F.col("path"), [*SECRETS, *ARTIFACTS]), "excluded").when(matches(F.col("path"), ignore), "ignored").when(F.col("size") > max_bytes, "too_large")
-    listed = listed.withColumn("kind", kind)
-    if most is not None:
-        listed = listed.orderBy("path").limit(most)
-    texts = read.load(root).where(F.col("length") <= max_bytes).select(F.col("path").alias("file"), "content")
+    listed = listed.select("file", "path", "size", "stamp", kind.alias("kind"))
+    return listed if most is None else listed.orderBy("path").limit(most)
+
+
+def described(listed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The record of each listed file: path, size, stamp, kind, and for included ones content_hash, line_count, preview,
+    symbols and imports. texts: file, content of those whose kind is open; a file without content is unreadable."""
     zero = F.hex(F.substring("content", 1, 1024)).rlike("^(?:..)*?00")
     rows = listed.where("kind is null").join(texts, "file", "left").withColumn("kind", F.when(F.col("content").isNull(), "unreadable").when(zero, "binary").otherwise("included"))
     rows = rows.withColumn("text", F.when(F.col("kind") == "included", F.decode("content", "UTF-8"))).drop("content").unionByName(listed.where("kind is not null"), allowMissingColumns=True)
-    out = rows.select("path", "size", "stamp", "kind", F.sha1("text").alias("content_hash"), S.line_count(F.col("text")).alias("line_count"), F.substring("text", 1, PREVIEW).alias("preview"), symbols(F.col("text")).alias("symbols"), imports(F.col("path"), F.col("text")).alias("imports"))
+    return rows.select("path", "size", "stamp", "kind", F.sha1("text").alias("content_hash"), S.line_count(F.col("text")).alias("line_count"), F.substring("text", 1, PREVIEW).alias("preview"), symbols(F.col("text")).alias("symbols"), imports(F.col("path"), F.col("text")).alias("imports"))
+
+
+def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), max_bytes: int = 1 << 20, most: int | None = 50_000, label: str = "") -> DataFrame:
+    """The records of all files below a folder (``listing``, ``described``).
+
+    kind is the first that fits of excluded (ignored folders, secrets, results of earlier runs), ignored, too_large,
+    unreadable, binary, included. Only paths are ordered, and only files that may be included are read.
+    """
+    listed = listing(spark, root, ignore, max_bytes, most)
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes).select(F.col("path").alias("file"), "content")
+    out = described(listed, texts)
     return out.withColumn("path", F.concat(F.lit(f"{label}:"), F.col("path"))) if label else out
 
 
