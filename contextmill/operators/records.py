@@ -133,6 +133,17 @@ def cost_records(artifacts: DataFrame, observed: DataFrame, history: DataFrame)
     )
 
 
+def assembled_runs(starts: DataFrame, ends: DataFrame, hours: int) -> DataFrame:
+    """(run_id, name, started, ended, tokens): each run once, with its first end that comes up to so many hours after its start.
+
+    starts: run_id, name, started; ends: run_id, ended, tokens. Repeated events count once; a run without an end has nulls.
+    """
+    first = starts.groupBy("run_id").agg(F.min(F.struct("started", "name")).alias("a"))
+    timely = ends.join(first, "run_id").where((F.col("ended") >= F.col("a.started")) & (F.col("ended") <= F.col("a.started") + F.expr(f"INTERVAL {hours} HOURS")))
+    last = timely.groupBy("run_id").agg(F.min(F.struct("ended", "tokens")).alias("b"))
+    return first.join(last, "run_id", "left").select("run_id", "a.name", "a.started", "b.ended", "b.tokens")
+
+
 def payloads(events: DataFrame) -> DataFrame:
     """Telemetry events as JSON: name, schema_version, run_id and a payload with what the kind of event has."""
     part = {

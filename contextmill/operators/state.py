@@ -104,9 +104,10 @@ def references(blocks: DataFrame, session: str) -> DataFrame:
     return able.join(first, [session, "key"]).select(session, "call", "pos", (F.struct("call", "pos") != F.col("first")).alias("reference"), F.col("first.call").alias("first_call"), F.col("first.pos").alias("first_pos"))
 
 
-def aliases(mentions: DataFrame, session: str, least: int = 1, most: int | None = None) -> DataFrame:
-    """(session, name, alias): names numbered by where a session first mentions them. mentions: session, call, pos, name."""
-    first = mentions.where(F.length("name") >= least).groupBy(session, "name").agg(F.min(F.struct("call", "pos", "name")).alias("at"))
+def aliases(mentions: DataFrame, session: str, least: int = 1, most: int | None = None, blocked: tuple[str, ...] = ()) -> DataFrame:
+    """(session, name, alias): names numbered by where a session first mentions them, but for blocked ones. mentions: session, call, pos, name."""
+    able = mentions.where(F.length("name") >= least)
+    first = (able.where(~F.col("name").isin(*blocked)) if blocked else able).groupBy(session, "name").agg(F.min(F.struct("call", "pos", "name")).alias("at"))
     out = first.withColumn("alias", F.row_number().over(W.partitionBy(session).orderBy("at"))).select(session, "name", "alias")
     return out if most is None else out.where(F.col("alias") <= most)
 
