@@ -28,9 +28,11 @@ _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)\b
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.!?,;:]")
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas audio video annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements of formulas; their text belongs to the block around them.
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
 #: Elements that hold a block, by what they tell of it.
 HOLDERS = {"nav": "menu", "menu": "menu", "footer": "footer", "aside": "aside", "form": "form", "dialog": "form", "button": "form", "select": "form", "fieldset": "form", "head": "hidden", "header": "header", "article": "main", "main": "main"}
 #: The block's own element.
@@ -44,11 +46,11 @@ AGAINST = frozenset(
 FOR = frozenset("article content main body post entry story text".split())
 #: Elements that hold whole pages; their class names tell of the layout, such as one with a sidebar.
 FRAMES = frozenset("html body main article".split())
-#: Words that parts of an article may have in their class names too.
-EITHER = frozenset("header side text tags".split())
+#: Elements whose names are anchors for links to what they head, and tell nothing.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What the elements around a block can tell, as bits.
-MARKS = {name: 1 << k for k, name in enumerate(("menu", "footer", "aside", "form", "header", "inner", "main", "against", "either", "named", "hidden"))}
-FEATURES = [*MARKS, "paragraph", "title", "heading", "quote", "item", "long", "punctuation", "sentence", "links", "all links", "bias"]
+MARKS = {name: 1 << k for k, name in enumerate(("menu", "footer", "aside", "form", "header", "inner", "main", "against", "boxed", "either", "named", "hidden"))}
+FEATURES = [*MARKS, "paragraph", "title", "heading", "quote", "item", "long", "only", "punctuation", "sentence", "links", "all links", "bias"]
 #: Distances in the document tree that have a capacity each, farther blocks the last one; once for blocks with the same
 #: marks and once for others.
 DISTANCES = 8
@@ -64,9 +66,26 @@ class Block:
     steps: int = 0  # steps in the tree from the block before
 
 
+def _against(value: str) -> str:
+    """Whether one of the names is made of words that mark boilerplate only ("all"), some has such a word ("part"), or none ("")."""
+    found = ""
+    for name in value.split():
+        words = {w.lower() for w in _NAME.findall(name)}
+        if words and words <= AGAINST:
+            return "all"
+        if words & AGAINST:
+            found = "part"
+    return found
+
+
 def _marks(tag: str, attributes: str, above: int) -> int:
-    """The marks of an element: those of all above and its own."""
-    inside = above & MARKS["main"]
+    """The marks of an element: those of all above and its own.
+
+    Inside an article a name tells less: one that is a boilerplate word as a whole makes a box, which the text and the
+    neighbours can overrule; one that has such a word (related-work, overlay-network) is weaker still, and an id of that
+    kind tells nothing. Names of headings tell nothing anywhere.
+    """
+    inside = above & (MARKS["main"] | MARKS["named"])
     holder = HOLDERS.get(tag)
     out = above
     if holder:
@@ -75,10 +94,16 @@ def _marks(tag: str, attributes: str, above: int) -> int:
         value = next(filter(None, values), "")
         name = name.lower()
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in _NAME.findall(value)}
-            if words & AGAINST and tag not in FRAMES:
-                out |= MARKS["either" if inside and words & EITHER else "against"]
-            elif words & FOR:
+            if tag in HEADINGS:
+                continue
+            told = _against(value) if tag not in FRAMES else ""
+            if told and not inside:
+                out |= MARKS["against"]
+            elif told == "all":
+                out |= MARKS["boxed"]
+            elif told:
+                out |= MARKS["either"] if name != "id" else 0
+            elif {w.lower() for w in _NAME.findall(value)} & FOR:
                 out |= MARKS["named"]
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -210,16 +235,21 @@ def blocks_of(page: str) -> list[Block]:
 _CLOSES = frozenset({("li", "li"), ("dt", "dd"), ("dd", "dt"), ("dt", "dt"), ("dd", "dd"), ("tr", "tr"), ("tr", "td"), ("td", "td"), ("td", "th"), ("th", "th"), ("th", "td"), ("option", "option")})
 
 
-def features(block: Block, text: str) -> list[float]:
-    """The numbers that FEATURES names."""
+def features(block: Block, text: str, whole: int) -> list[float]:
+    """The numbers that FEATURES names, for a page with so many characters of text."""
     own = OWN.get(block.own)
     share = min(1.0, block.links / max(1, sum(map(len, block.text))))
     return [
         *(float(block.marks & bit > 0) for bit in MARKS.values()), *(float(own == name) for name in ("paragraph", "title", "heading", "quote", "item")),
-        min(1.0, len(text) / 200), min(3, len(_PUNCTUATION.findall(text))) / 3, float(text[-1] in ".!?:;\u2026"), share, float(share > 0.8), 1.0,
+        min(1.0, len(text) / 200), float(whole == len(text)), min(3, len(_PUNCTUATION.findall(text))) / 3, float(text[-1] in ".!?:;\u2026"), share, float(share > 0.8), 1.0,
     ]
 
 
+def rows_of(found: list[tuple[Block, str]]) -> np.ndarray:
+    whole = sum(len(t) for _, t in found)
+    return np.array([features(b, t, whole) for b, t in found])
+
+
 @dataclass
 class Labeller:
     """Weights of FEATURES, and the capacity of an edge by the kind that ``neighbours`` gives; both are log-odds."""
@@ -228,7 +258,7 @@ class Labeller:
     capacities: np.ndarray
 
     def costs(self, found: list[tuple[Block, str]]) -> list[float]:
-        return (np.array([features(b, t) for b, t in found]) @ self.weights).tolist()
+        return (rows_of(found) @ self.weights).tolist()
 
     def labels(self, found: list[tuple[Block, str]]) -> list[bool]:
         """Whether each block is content: the minimum cut."""
@@ -276,7 +306,7 @@ def fitted() -> Labeller:
     pages = [([*decoded(page)], content) for page, content in labelled_pages()]
     half = len(pages) // 2
     truth = [[t in content for _, t in found] for found, content in pages]
-    x = np.array([features(b, t) for found, _ in pages[:half] for b, t in found])
+    x = np.concatenate([rows_of(found) for found, _ in pages[:half]])
     weights = logistic(x, np.array([k for own in truth[:half] for k in own], float))
     same, met = np.ones(2 * DISTANCES), np.full(2 * DISTANCES, 2.0)
     for (found, _), own in zip(pages[:half], truth, strict=False):
@@ -285,7 +315,9 @@ def fitted() -> Labeller:
             same[kind] += own[i] == own[j]
     odds = np.maximum(0, np.log(same / (met - same)))
     wrong = lambda own: sum(a != b for (found, _), real in zip(pages[half:], truth[half:], strict=True) for a, b in zip(own.labels(found), real, strict=True))
-    return min((Labeller(weights, odds * scale) for scale in (1.0, 0.5, 0.25, 0.125)), key=wrong)
+    tried = [(wrong(Labeller(weights, odds * scale)), scale) for scale in (1.0, 0.7, 0.5, 0.35, 0.25)]
+    # edges no stronger than they need be: the weakest that have at most a fifth more wrong than the best
+    return Labeller(weights, odds * min(scale for n, scale in tried if n <= 1.2 * min(tried)[0]))
 
 
 def minimum_cut(terminal: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:

@@ -9,15 +9,17 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
-PAGES = 400
+PAGES = 1000
 SEED = 17
+#: Shares of pages with semantic elements, with telling names, and masked ones with neither.
+STYLES = (10, 10, 5)
 _SYLLABLES = "ka lo mi ren tas vo ner dul pri san el or an ti che mon bri gal fe ux".split()
 
 
 class Maker:
-    def __init__(self, rng: random.Random):
+    def __init__(self, rng: random.Random, styles: tuple[int, int, int]):
         self.rng, self.content = rng, set()
-        self.style = rng.choices(("semantic", "classes", "plain"), (12, 12, 1))[0]
+        self.style = rng.choices(("semantic", "classes", "plain"), styles)[0]
 
     def word(self) -> str:
         return "".join(self.rng.choice(_SYLLABLES) for _ in range(self.rng.randint(1, 4)))
@@ -67,7 +69,12 @@ class Maker:
                 out.append("<ul>" + "".join(self.keep("li", self.phrase(2, 9) + self.rng.choice((".", ""))) for _ in range(self.rng.randint(2, 5))) + "</ul>")
             elif kind < 0.9:
                 out.append(self.keep(self.rng.choice(("blockquote", "div", "td")), self.sentences(1, 2)))
-            elif kind < 0.95:
+            elif kind < 0.93:  # parts whose names have words of boilerplate, and are none
+                names = self.rng.choice(("related-work search-trees menu-planning", "form-of-government overlay-network comment-style", "side notes-on-ads social-history")).split()
+                own = f'{self.rng.choice(("id", "class"))}="{self.rng.choice(names)}"' if self.style != "plain" else ""
+                inner = self.keep(self.rng.choice(("h2", "h3")), self.phrase(2, 7)) + "".join(self.keep("p", self.sentences(1, 4)) for _ in range(self.rng.randint(1, 3)))
+                out.append(f"<section {own}>{inner}</section>")
+            elif kind < 0.965:
                 out.append(self.wrap(self.phrase(2, 8) + ".", "", "ad advert sponsored promo"))
             else:
                 out.append(self.wrap(f"<a href=x>{self.phrase(1, 1)}</a> <a href=y>{self.phrase(1, 2)}</a>", "aside", "share social related"))
@@ -94,14 +101,15 @@ class Maker:
         return [f for f in before if r.random() < 0.6], [f for f in after if r.random() < 0.6]
 
 
-def labelled_pages(pages: int = PAGES, seed: int = SEED) -> list[tuple[str, set[str]]]:
-    """(html, texts of the article's blocks) of each page."""
+def labelled_pages(pages: int = PAGES, seed: int = SEED, styles: tuple[int, int, int] = STYLES) -> list[tuple[str, set[str]]]:
+    """(html, texts of the article's blocks) of each page, in shares of the three styles."""
     out, rng = [], random.Random(seed)
     for _ in range(pages):
-        make = Maker(rng)
-        if rng.random() < 0.04:  # no markup at all
-            text = make.sentences(1, 4)
-            out.append((text, {text}))
+        make = Maker(rng, styles)
+        if rng.random() < 0.08:  # a fragment: text alone, or paragraphs without a page around them
+            bare = rng.random() < 0.5
+            parts = [make.sentences(1, 4) for _ in range(1 if bare else rng.randint(1, 3))]
+            out.append(("".join(parts if bare else map("<p>{}</p>".format, parts)), set(parts)))
             continue
         before, after = make.around()
         body = [f() for f in before] + [make.article()] + [f() for f in after]

@@ -220,7 +220,7 @@ def test_minimum_cut_of_page_like_and_dense_graphs_against_plain_maximum_flow():
 
 
 def test_edges_of_the_cut_mend_labels():
-    """On pages that the weights have not seen, the cut has fewer wrong blocks than the sign of the cost, by a quarter."""
+    """On pages that the weights have not seen, the cut has fewer wrong blocks than the sign of the cost, by a half."""
     from contextmill.llm.page_sample import labelled_pages
 
     labeller, alone, cut, changed = mincut.fitted(), 0, 0, 0
@@ -230,7 +230,53 @@ def test_edges_of_the_cut_mend_labels():
         alone += sum(a != b for a, b in zip(signs, truth, strict=True))
         cut += sum(a != b for a, b in zip(labels, truth, strict=True))
         changed += signs != labels
-    assert changed > 30 and cut < 0.75 * alone and cut < 300
+    assert changed > 30 and cut < 0.5 * alone and cut < 200
+
+
+def wrong_labels(pages):
+    """Blocks, and those that the sign of the cost and the cut have wrong."""
+    labeller, n, alone, cut = mincut.fitted(), 0, 0, 0
+    for page, content in pages:
+        found = mincut.decoded(page)
+        truth = [t in content for _, t in found]
+        n += len(found)
+        alone += sum((c > 0) != real for c, real in zip(labeller.costs(found), truth, strict=True))
+        cut += sum(a != real for a, real in zip(labeller.labels(found), truth, strict=True))
+    return n, alone, cut
+
+
+def test_cut_decides_masked_pages(spark):
+    """Without names and semantic elements the sign has 1272 of 8149 blocks wrong and the cut 329; on the table's pages, masked, 434 and 160 of 4521."""
+    from contextmill.llm.page_sample import labelled_pages
+
+    n, alone, cut = wrong_labels(labelled_pages(300, seed=99, styles=(0, 0, 1)))
+    assert n > 8000 and cut < alone - 800 and cut < 0.05 * n
+    import html
+
+    masked = []
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", " ")
+        parts = {" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1|div)\b[^>]*>", inner)}
+        masked.append((re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer|header|aside)\b", r"<\1div", r.html)), parts))
+    n, alone, cut = wrong_labels(masked)
+    assert cut < alone - 200 and cut < 0.05 * n
+
+
+LONG = "A long paragraph of prose, with words and more words, that goes on. " * 4
+
+
+@pytest.mark.parametrize(
+    "part, kept",
+    [
+        ('<h2 id="binary-search">Binary search</h2>', 1), ('<h2 id="comments-in-code">Comments in code</h2>', 1), ('<h3 id="menu-planning">Menu planning</h3>', 1), ('<h2 id="search">Search</h2>', 1),
+        (f'<section id="related-work"><h2>Related work</h2><p>{LONG}</p></section>', 2), (f'<section id="form-of-government"><h2>Form</h2><p>{LONG}</p></section>', 2), (f'<section class="hidden-gems overlay-network"><h2>Gems</h2><p>{LONG}</p></section>', 2),
+        (f'<div class="related"><h2>Prior art</h2><p>{LONG}</p></div>', 2), ('<p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p>', 1), ('<div class="ad">Buy now</div>', 0), ('<form class="newsletter"><p>Your address</p></form>', 0),
+    ],
+)
+def test_no_word_decides_inside_an_article(part, kept):
+    page = f"<body><nav><a href=x>Home</a></nav><article><p>{LONG}</p>{part}<p>{LONG}</p></article></body>"
+    text = mincut.main_text(page)
+    assert text.count("\n") == 1 + kept and ("math" not in part or "Here x=2 holds." in text)
 
 
 def test_scanning_and_cutting_take_linear_time():
