@@ -1,8 +1,9 @@
 """Operator 6: toxicity by a factorization machine over hashed terms.
 
 Terms are words and their first four and five bytes, lower-cased in A-Z and hashed. Class counts of all terms over all
-training documents choose the terms that tell the classes apart; the machine learns a weight and a short vector for each
-of these on a bounded sample, so that two terms together can say more than the sum of both.
+training documents choose the terms that tell the classes apart alone; a bounded sample adds those that tell them apart in
+pairs, by the contrast of the four cases of two terms. The machine learns a weight and a short vector for each of these on
+the sample, so that two terms together can say more than the sum of both.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from contextmill.llm.templates import _TOKEN
 from contextmill.llm.words import FOLD, U, chunks, seeded, spans, words_of
 
 BUCKETS = 1 << 18
-TERMS = 4096
 #: A term must stand in so many training documents.
 LEAST_DOCUMENTS = 2
 FACTORS = 8
 #: Labelled documents of each class that the machine is fitted on, about.
 SAMPLE_PER_CLASS = 3000
 THRESHOLD = 0.7
+#: Terms whose pairs are counted in one product.
+BLOCK = 1024
 #: Label rows up to this number (16 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_LABELS = 1_000_000
 
@@ -67,39 +69,96 @@ class Machine:
 
     def score(self, terms: np.ndarray) -> float:
         """Probability of the label 1 for a set of term numbers."""
-        v = self.factors[terms]
-        total = v.sum(0)
-        z = self.bias + self.linear[terms].sum() + 0.5 * float((total * total - (v * v).sum(0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-
-
-def fit_machine(x: np.ndarray, y: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.1, decay: float = 2e-4, seed: int = 9) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors for 0/1 rows x and labels y, by AdaGrad on the logistic loss with L2 decay."""
+        return float(self.scores(np.asarray(terms, np.int64), np.array([len(terms)]))[0])
+
+    def scores(self, terms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Probability of each text, whose term numbers follow each other."""
+        z = np.full(len(sizes), self.bias, np.float64)
+        held = np.flatnonzero(sizes)
+        if len(held):
+            first = (np.cumsum(sizes) - sizes)[held]
+            v = self.factors[terms]
+            total = np.add.reduceat(v, first)
+            z[held] += np.add.reduceat(self.linear[terms], first) + 0.5 * ((total * total).sum(1) - np.add.reduceat((v * v).sum(1), first))
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def fit_machine(x: list[np.ndarray], y: np.ndarray, terms: int, epochs: int = 30, batch: int = 64, rate: float = 0.05, decay: float = 2e-4, seed: int = 9) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors of so many terms for texts x (term numbers of each) and labels y, by AdaGrad on the logistic
+    loss with L2 decay. A step touches the terms of its texts only."""
     rng = np.random.default_rng(seed)
-    b, w, v = 0.0, np.zeros(x.shape[1], np.float32), rng.normal(0, 0.02, (x.shape[1], FACTORS)).astype(np.float32)
+    b, w, v = 0.0, np.zeros(terms, np.float32), rng.normal(0, 0.02, (terms, FACTORS)).astype(np.float32)
     gb, gw, gv = 1e-6, np.full_like(w, 1e-6), np.full_like(v, 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for s in range(0, len(order), batch):
-            rows, label = x[order[s : s + batch]], y[order[s : s + batch]]
-            xv = rows @ v
-            z = b + rows @ w + 0.5 * ((xv * xv).sum(1) - rows @ (v * v).sum(1))
-            g = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - label) / len(rows)).astype(np.float32)
-            db, dw = float(g.sum()), rows.T @ g + decay * w
-            dv = rows.T @ (g[:, None] * xv) - v * (rows.T @ g)[:, None] + decay * v
+            own = order[s : s + batch]
+            met, place = np.unique(np.concatenate([x[i] for i in own]), return_inverse=True)
+            rows = np.zeros((len(own), len(met)), np.float32)
+            rows[np.repeat(np.arange(len(own)), [len(x[i]) for i in own]), place] = 1
+            vm, wm = v[met], w[met]
+            xv = rows @ vm
+            z = b + rows @ wm + 0.5 * ((xv * xv).sum(1) - rows @ (vm * vm).sum(1))
+            g = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[own]) / len(own)).astype(np.float32)
+            db, dw = float(g.sum()), rows.T @ g + decay * wm
+            dv = rows.T @ (g[:, None] * xv) - vm * (rows.T @ g)[:, None] + decay * vm
             gb += db * db
-            gw += dw * dw
-            gv += dv * dv
+            gw[met] += dw * dw
+            gv[met] += dv * dv
             b -= rate * db / np.sqrt(gb)
-            w -= rate * dw / np.sqrt(gw)
-            v -= rate * dv / np.sqrt(gv)
+            w[met] = wm - rate * dw / np.sqrt(gw[met])
+            v[met] = vm - rate * dv / np.sqrt(gv[met])
     return b, w, v
 
 
+def telling_pairs(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Buckets of terms that tell the classes apart together with another, by more than each does alone.
+
+    Of two terms the four cases (both, either, none) have a share of label 1 each; their contrast (both + none - one - other)
+    is 0 for terms that only add up. Half the square of its standard score has to exceed the logarithm of the number of
+    pairs, as by chance some pair is always that far. A contrast of n texts can reach that only where twice the bound's number
+    of texts has both, so rarer terms take no part. x has the buckets of each text; copies count once, as they would make
+    pairs of all their terms.
+    """
+    once = {(t.tobytes(), float(label)): i for i, (t, label) in enumerate(zip(x, y, strict=True))}
+    x, y = [x[i] for i in once.values()], y[list(once.values())]
+    n = len(x)
+    every = np.concatenate(x) if n else np.zeros(0, np.int64)
+    counts = np.bincount(every, minlength=1)
+    able = np.flatnonzero(counts > 1)
+    bound = 2 * np.log(max(2, len(able)))  # grows with the number of terms, and that shrinks with the bound
+    able = np.flatnonzero(counts >= 2 * bound)
+    bound = 2 * np.log(max(2, len(able)))
+    index = np.full(len(counts), -1, np.int64)
+    index[able] = np.arange(len(able))
+    held = np.zeros((len(able), n), bool)
+    for i, terms in enumerate(x):
+        at = index[terms]
+        held[at[at >= 0], i] = True
+    mean = float(y.mean()) if n else 0.0
+    label, spread, out = y.astype(np.float32), max(mean * (1 - mean), 1e-9), np.zeros(len(able), bool)
+    for a in range(0, len(able), BLOCK):
+        p = held[a : a + BLOCK].astype(np.float32)
+        for c in range(a, len(able), BLOCK):
+            q = held[c : c + BLOCK].astype(np.float32)
+            both, both_of = p @ q.T, (p * label) @ q.T
+            one, one_of = p.sum(1)[:, None] - both, (p @ label)[:, None] - both_of
+            other, other_of = q.sum(1)[None, :] - both, (q @ label)[None, :] - both_of
+            none, none_of = n - both - one - other, label.sum() - both_of - one_of - other_of
+            share = lambda k, m: (k + 0.5 * mean) / (m + 0.5)
+            contrast = share(both_of, both) + share(none_of, none) - share(one_of, one) - share(other_of, other)
+            least = np.minimum(np.minimum(both, none), np.minimum(one, other)) >= 1
+            z2 = contrast**2 / (spread * (1 / (both + 0.5) + 1 / (one + 0.5) + 1 / (other + 0.5) + 1 / (none + 0.5)))
+            met = least & (z2 / 2 > bound)
+            out[a : a + BLOCK] |= met.any(1)
+            out[c : c + BLOCK] |= met.any(0)
+    return able[out]
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS) -> Machine:
     """Learns from docs (doc_id, text) that labels (doc_id, toxic) mark; null labels are left out, and a document with
     both labels is toxic. Class counts of terms cover all of them; about ``sample`` documents of each class reach the
-    driver as lists of chosen terms. The bias is set back to the classes' shares among all. Without labels: score 0.5."""
+    driver as lists of terms that two training documents have. The bias is set back to the classes' shares among all. Without labels: score 0.5."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     if labels.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
@@ -117,36 +176,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS) -> M
     tried = counts.where(f"bucket >= 0 and clean + toxic >= {LEAST_DOCUMENTS}").withColumn("gain", share)
     # of so many terms some differ between the classes by chance; a gain beyond the logarithm of their number is no chance
     noise = float(np.log(max(1, tried.count())))
-    chosen = tried.where(F.col("gain") > noise).orderBy(F.desc("gain"), "bucket").limit(TERMS).select("bucket").toPandas()["bucket"].to_numpy()
+    alone = tried.where(F.col("gain") > noise).select("bucket").toPandas()["bucket"].to_numpy(np.int64)  # BUCKETS at most
+    known = np.zeros(BUCKETS, bool)
+    known[tried.select("bucket").toPandas()["bucket"].to_numpy(np.int64)] = True
     scratch.drop()
-    index[chosen] = np.arange(len(chosen), dtype=np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in chunks(batch.column("text")):
-                yield pa.record_batch([batch.column("toxic").slice(at, to - at), pa.array(_chosen(data, offsets, shared.value), pa.list_(pa.int32()))], ["toxic", "terms"])
+                terms, sizes = _held(data, offsets, np.where(shared.value, np.arange(BUCKETS), -1))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(terms.astype(np.int32)))
+                yield pa.record_batch([batch.column("toxic").slice(at, to - at), batch.column("turn").slice(at, to - at), lists], ["toxic", "turn", "terms"])
 
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     limit = F.when(F.col("toxic") == 1, min(1.0, sample / max(toxic, 1))).otherwise(min(1.0, sample / max(clean, 1)))
-    seen = rows.where(draw < limit).select("text", "toxic").mapInArrow(run, "toxic int, terms array<int>").toPandas()
-    x = np.zeros((len(seen), len(chosen)), np.float32)
-    for i, terms in enumerate(seen.terms):
-        x[i, np.asarray(terms, np.int64)] = 1
-    y = seen.toxic.to_numpy(np.float32)
-    order = np.lexsort((x @ np.arange(1, x.shape[1] + 1), y))  # the rows come in any order
-    bias, linear, factors = fit_machine(x[order], y[order])
+    rows = rows.where(draw < limit).select("text", "toxic", F.xxhash64("doc_id", "text").alias("turn"))
+    seen = rows.mapInArrow(run, "toxic int, turn long, terms array<int>").toArrow().sort_by([("toxic", "ascending"), ("turn", "ascending")])  # they come in any order
+    y, x = seen.column("toxic").to_numpy().astype(np.float32), [t.values.to_numpy() for t in seen.column("terms")]
+    chosen = np.union1d(alone, telling_pairs(x, y))
+    index[chosen] = np.arange(len(chosen), dtype=np.int32)
+    bias, linear, factors = fit_machine([t[t >= 0] for t in (index[t] for t in x)], y, len(chosen))
     bias += prior - float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     return Machine(index, bias, linear, factors)
 
 
-def _chosen(data: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> list[np.ndarray]:
-    """Distinct chosen terms of each text."""
+def _held(data: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers that index gives the terms of each text, text by text, and how many each has; -1 is none."""
     bucket, owner = terms_of(data, offsets)
     term = index[bucket]
     held = term >= 0
-    once = np.unique(owner[held] * TERMS + term[held])
-    return np.split((once % TERMS).astype(np.int32), np.searchsorted(once, np.arange(1, len(offsets) - 1) * TERMS))
+    once = np.unique(owner[held] * BUCKETS + term[held])
+    return once % BUCKETS, np.bincount(once // BUCKETS, minlength=len(offsets) - 1)
 
 
 def scores(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -160,7 +221,7 @@ def scores(docs: DataFrame, machine: Machine) -> DataFrame:
         known = shared.value
         for batch in batches:
             for at, to, data, offsets in chunks(batch.column("text")):
-                found = [known.score(t) for t in _chosen(data, offsets, known.index)]
+                found = known.scores(*_held(data, offsets, known.index))
                 yield pa.record_batch([batch.column("doc_id").slice(at, to - at), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")

@@ -166,12 +166,28 @@ def test_machine_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = (rng.random((1500, 12)) < 0.4).astype(np.float32)
     y = (x[:, 0] * x[:, 1]).astype(np.float32)
-    b, w, v = toxicity.fit_machine(x, y, epochs=60)
+    b, w, v = toxicity.fit_machine([np.flatnonzero(r) for r in x], y, 12, epochs=60)
     machine = toxicity.Machine(np.zeros(0), b, w, v)
     score = lambda *terms: machine.score(np.array(terms, int))
     assert score(0, 1) > 0.9 and max(score(0), score(1), score(2, 3), score()) < 0.2
 
 
+def test_terms_that_tell_only_in_pairs_are_learned(spark):
+    """The label is 1 for exactly one of two words: neither tells anything alone."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"filler{rng.randrange(500)}" for _ in range(8)] + ["alphaword"] * a + ["betaword"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a != b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(docs.where("doc_id < 3000").select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    out = toxicity.scores(docs.where("doc_id >= 3000").select("doc_id", "text"), machine).join(docs.select("doc_id", "toxic"), "doc_id").toPandas()
+    pos, neg = out.score[out.toxic == 1].to_numpy(), out.score[out.toxic == 0].to_numpy()
+    assert (pos[:, None] > neg[None, :]).mean() > 0.95 and (machine.index >= 0).sum() < 60
+
+
 def test_scores_equal_the_sum_over_pairs():
     rng = np.random.default_rng(4)
     machine = toxicity.Machine(np.zeros(0), 0.3, rng.normal(size=20), rng.normal(size=(20, 5)))
