@@ -167,9 +167,9 @@ def neighbours(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         return pd.Series(out[cuts.shape[1] :])
 
     dealt = rows.withColumn("block", block_of(*turned))
-    place = F.struct(F.col("doc_id").isNull().alias("n"), (-F.col("doc_id")).alias("a"), F.col("h").alias("b"), F.col("text").alias("c"))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.bitwise_not("doc_id").alias("a"), F.col("h").alias("b"), F.col("text").alias("c"))
     firsts = dealt.groupBy("block").agg(F.min(place).alias("first"))
-    heads = scratch.save(firsts.select("block", (-F.col("first.a")).alias("doc_id"), F.col("first.c").alias("text")), "heads")
+    heads = scratch.save(firsts.select("block", F.bitwise_not("first.a").alias("doc_id"), F.col("first.c").alias("text")), "heads")
     turn = heads.select("block").toPandas()["block"].sort_values().tolist()  # one number for each block
     after = spark.createDataFrame([(b, turn[k - 1]) for k, b in enumerate(turn)], "block long, goes_to long")
     tails = heads.join(after, "block").select("doc_id", "text", F.col("goes_to").alias("block"), F.lit(True).alias("tail"))

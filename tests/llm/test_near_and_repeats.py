@@ -320,3 +320,22 @@ def test_words_are_those_of_the_pattern(texts, most):
             for word, h in zip(found, w.hashes[a:b].tolist(), strict=True):
                 assert hashes.setdefault(word, h) == h
     assert len(set(hashes.values())) == len(hashes)
+
+
+def test_query_compacts_its_runs(docs, monkeypatch):
+    """After two batches the log has one run of level 1, which the later batches are merge-joined with."""
+    seen, add = [], runs.WindowIndex.add
+
+    def watched(self, *args, **kw):
+        seen.append(sorted(self.runs.values()))
+        return add(self, *args, **kw)
+
+    monkeypatch.setattr(runs.WindowIndex, "add", watched)
+    runs.remove_repeats(docs).count()
+    assert seen == [[], [0], [1], [0, 1]]
+
+
+def test_fingerprints_of_the_smallest_doc_id(spark):
+    rows = [(-(2**63), "some words of a text"), (2**63 - 1, "other words of a text"), (0, "third words of a text"), (None, "no id")]
+    out = oph.neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id for r in out), key=str) == sorted((r[0] for r in rows), key=str)
