@@ -28,8 +28,8 @@ from contextmill.llm.words import U, Words, chunks, signed, windows_of, words_of
 WINDOW = 50
 GRAM = 12
 FANOUT = 2
-#: Two batches make a run of the next level, so that the third is met by a compacted one.
-BATCHES = 4
+#: Two batches make a run of the next level, so that the third meets a compacted one.
+BATCHES = 3
 #: Fingerprints with more than this part of a batch's posts, so no more of them than this, are heavy: no bucket has them.
 HEAVY = 256
 #: Posts of a fingerprint in the sample of a sixteenth of the documents from which it can be heavy.
