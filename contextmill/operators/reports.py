@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from contextmill.functions import scalar as S
+from contextmill.operators import folds
 from contextmill.operators.commands import carried, lines
 
 #: USD per million tokens (input, output) by model.
@@ -122,6 +123,81 @@ def test_failures(outputs: DataFrame, runner: str) -> DataFrame:
     return rows.where("name is not null").groupBy("doc", "name").agg(place.alias("file"), F.trim(F.min_by("line", body)).alias("message"))
 
 
+def failure_blocks(outputs: DataFrame) -> DataFrame:
+    """(doc, name, file, line, message) of the FAILURES and ERRORS sections of pytest: a block begins at its name between
+    underscores and ends with the next one or the section. The message is its lines marked E, the place its first location."""
+    section = F.when(F.col("line").rlike(r"^=+ (?:FAILURES|ERRORS) =+\s*$"), True).when(F.col("line").rlike(r"^=+ .* =+\s*$"), False)
+    rows = carried(lines(outputs), section, "inside").where("inside")
+    head = F.nullif(F.trim(F.regexp_extract("line", r"^_{2,} (.+?) _{2,}\s*$", 1)), F.lit(""))
+    rows = carried(rows, head, "name").where(F.col("name").isNotNull() & head.isNull())
+    place = r"^(\S+?):(\d+): "
+    at = F.when(F.col("line").rlike(place), F.col("pos"))
+    told = F.when(F.col("line").rlike(r"^\s*E(?:\s|$)"), F.struct("pos", F.trim(F.regexp_extract("line", r"^\s*E\s*(.*)$", 1)).alias("text")))
+    message = F.array_join(F.transform(F.array_sort(F.collect_list(told)), lambda x: x["text"]), "\n")
+    found = F.min_by(F.struct(F.regexp_extract("line", place, 1).alias("file"), F.regexp_extract("line", place, 2).cast("long").alias("line")), at)
+    return rows.groupBy("doc", "name").agg(found.alias("at"), message.alias("message")).select("doc", "name", "at.file", "at.line", "message")
+
+
+def merged_failures(outputs: DataFrame) -> DataFrame:
+    """(doc, name, file, line, message): failure blocks and the short summary as one, by the test's own name.
+
+    A block's name ends with the test's after a point, the summary's after colons. What only one of them has stays; the
+    block's message and place come first.
+    """
+    own = lambda c: F.regexp_extract(c, r"([^.:]+(?:\[.*\])?)$", 1)
+    blocks = failure_blocks(outputs).select("doc", own("name").alias("test"), F.col("name").alias("block"), F.col("file").alias("block_file"), "line", F.col("message").alias("block_message"))
+    short = test_failures(outputs, "pytest").select("doc", own("name").alias("test"), "name", "file", "message")
+    both = blocks.join(short, ["doc", "test"], "full_outer")
+    return both.select("doc", F.coalesce("name", "block").alias("name"), F.coalesce("block_file", "file").alias("file"), "line", F.coalesce(F.nullif("block_message", F.lit("")), "message").alias("message"))
+
+
+def ls_entries(outputs: DataFrame) -> DataFrame:
+    """(doc, pos, path, kind, size) of ls output: long lines, names alone, and folders' headers, which hold until a blank line."""
+    long = r"^([-dlcbps])[-rwxstST]{9}\S*\s+\S+\s+\S+\s+\S+\s+(\d+)\s+\S+\s+\S+\s+\S+\s+(.+)$"
+    part = lambda k: F.nullif(F.regexp_extract("line", long, k), F.lit(""))
+    header = ~F.col("line").rlike(long) & F.col("line").rlike(r"^[^:]+:$")
+    rows = lines(outputs).withColumn("line", F.rtrim("line"))
+    rows = carried(rows, F.when(header, F.regexp_replace("line", r"/*:$", "")).when(F.col("line") == "", F.lit("")), "folder").where((F.col("line") != "") & ~header & ~F.col("line").startswith("total "))
+    kind = F.when(part(1) == "d", "dir").when(part(1) == "l", "link").when(part(1).isNotNull(), "file")
+    names = F.when(kind.isNotNull(), F.array(part(3))).otherwise(F.filter(F.split("line", r"\s+"), lambda x: x != ""))
+    each = rows.select("doc", "pos", "folder", kind.alias("kind"), part(2).cast("long").alias("size"), F.explode(names).alias("name"))
+    bare = F.regexp_replace("name", "/+$", "")
+    path = F.when(F.coalesce("folder", F.lit("")) == "", bare).otherwise(F.concat("folder", F.lit("/"), bare))
+    return each.select("doc", "pos", path.alias("path"), F.coalesce("kind", F.when(F.col("name").endswith("/"), "dir").otherwise("file")).alias("kind"), "size")
+
+
+def top_folders(entries: DataFrame, folders: int = 30, names: int = 8) -> DataFrame:
+    """(doc, folder, entries, names): the folders of each listing (doc, path) with most entries, and the first names of each."""
+    split = entries.select("doc", F.regexp_replace("path", "/?[^/]*$", "").alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    first = split.withColumn("k", F.row_number().over(W.partitionBy("doc", "folder").orderBy("name")))
+    each = first.groupBy("doc", "folder").agg(F.count(F.lit(1)).alias("entries"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= names, F.col("name")))), ",").alias("names"))
+    return each.withColumn("k", F.row_number().over(W.partitionBy("doc").orderBy(F.desc("entries"), "folder"))).where(F.col("k") <= folders).drop("k")
+
+
+def tree_paths(outputs: DataFrame) -> DataFrame:
+    """(doc, pos, path, depth) of tree listings: names under the open folders, which a stack along the lines holds.
+
+    Four columns of drawing are a level; a line that begins with a point is the root, and the line of totals ends the listing.
+    """
+
+    def step(state: dict, row: tuple) -> tuple | None:
+        pos, name, level, ends = row
+        if ends or state["over"]:
+            state["over"] = True
+            return None
+        if name.startswith(".") and not level:
+            state["open"] = []
+            return None
+        above = max(0, level - 1)
+        state["open"][above:] = [*[""] * (above - len(state["open"])), name]
+        return pos, "/".join(x for x in state["open"] if x), level
+
+    lead = r"^((?:[│|`  ]{4})*(?:[├└|`][─-]{2}[  ])?)"
+    ends = F.col("line").rlike(r"\d+ director(?:y|ies), \d+ files?")
+    rows = lines(outputs).where(F.trim("line") != "").select("doc", F.col("pos").cast("long").alias("pos"), F.regexp_replace(F.rtrim(F.regexp_replace("line", lead, "")), "/+$", "").alias("name"), F.floor(F.length(F.regexp_extract("line", lead, 1)) / 4).alias("level"), ends.alias("ends"))
+    return folds.ordered_fold(rows, ["doc"], ["pos"], lambda: {"open": [], "over": False}, step, "pos long, path string, depth long")
+
+
 def package_operations(outputs: DataFrame) -> DataFrame:
     """(doc, operation, packages): packages that installers added, removed or updated; a line of totals counts as its number."""
     rows = lines(outputs)

@@ -95,6 +95,41 @@ def resource_states(spark: SparkSession, d: str) -> DataFrame:
     return R.resource_states(_outputs(rows.union(heads), ["n"]))
 
 
+def failure_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """One run an order: a failure with a block, in the summary, or in both."""
+    k = "o_orderkey"
+    block = f"concat('=== FAILURES ===\\n____ TestA.test_', {k}, ' ____\\n    def test():\\n>       assert x\\nE       assert ', {k} % 97, '\\nE        + more\\n\\nt/m', {k} % 13, '.py:', {k} % 7 + 1, ': AssertionError\\n')"
+    short = f"concat('=== short test summary info ===\\nFAILED t/s.py::TestA::test_', {k}, ' - assert it\\n=== 1 failed in 0.1s ===')"
+    text = f"concat('collected\\n', CASE WHEN {k} % 3 = 0 THEN '' ELSE {block} END, CASE WHEN {k} % 5 = 0 THEN '=== 1 failed ===' ELSE {short} END)"
+    return R.merged_failures(B.table(spark, d, "orders").select(F.col(k).alias("doc"), F.expr(text).alias("text")))
+
+
+SQL_BLOCKS = """WITH x AS (SELECT o_orderkey AS doc, o_orderkey % 3 <> 0 AS b, o_orderkey % 5 <> 0 AS s FROM orders)
+SELECT doc, CASE WHEN s THEN 't/s.py::TestA::test_' || doc ELSE 'TestA.test_' || doc END AS name, CASE WHEN b THEN 't/m' || doc % 13 || '.py' ELSE 't/s.py' END AS file, CASE WHEN b THEN doc % 7 + 1 END AS line,
+ CASE WHEN b THEN 'assert ' || doc % 97 || chr(10) || '+ more' ELSE 'assert it' END AS message FROM x WHERE b OR s"""
+
+
+def listing_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Recursive listings of orders: a folder and a file for each line."""
+    line = F.concat(F.lit("./d"), F.col("l_suppkey") % 4, F.lit(":\ntotal 4\n-rw-r--r-- 1 u g "), F.col("l_quantity").cast("long"), F.lit(" Jan 01 00:00 f"), F.col("l_partkey"), F.lit(" x\n"))
+    rows = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n"), line.alias("line"))
+    return R.top_folders(R.ls_entries(_outputs(rows, ["n"])), 2, 3)
+
+
+SQL_FOLDERS = """WITH e AS (SELECT l_orderkey AS doc, './d' || l_suppkey % 4 AS folder, 'f' || l_partkey || ' x' AS name FROM lineitem),
+g AS (SELECT doc, folder, count(*) AS entries, array_to_string(list_sort(list(name))[1:3], ',') AS names FROM e GROUP BY doc, folder),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY entries DESC, folder) AS k FROM g) SELECT doc, folder, entries, names FROM r WHERE k <= 2"""
+
+
+def tree_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Tree listings of customers: a folder for each order, below it one for the priority with a file."""
+    line = F.concat(F.lit("├── o"), F.col("o_orderkey"), F.lit("\n│   └── p/\n│       └── f"), F.col("o_orderkey") % 10)
+    rows = B.table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("n"), line.alias("line"))
+    return R.tree_paths(_outputs(rows, ["n"])).select("doc", "path", "depth")
+
+
+SQL_TREE = """SELECT o_custkey AS doc, unnest(['o' || o_orderkey, 'o' || o_orderkey || '/p', 'o' || o_orderkey || '/p/f' || o_orderkey % 10]) AS path, unnest([1, 2, 3])::BIGINT AS depth FROM orders"""
+
 QUERIES = {
     "price_resolution": (price_resolution, SQL_PRICES),
     "model_budget": (model_budget, f"WITH {B.SQL_RUNS} SELECT run, CAST(greatest(0, least(input, 2500)) AS BIGINT) AS budget FROM runs"),
@@ -107,6 +142,9 @@ u AS (SELECT run, a, unnest(['rank', 'pack', 'cache']) AS stage, unnest([1, 2, 3
     "call_transitions": (call_transitions, "SELECT * FROM (SELECT event_type AS from_name, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS to_name FROM events) t WHERE to_name IS NOT NULL".replace("SELECT * FROM", "SELECT from_name, to_name, count(*) AS times FROM") + " GROUP BY from_name, to_name"),
     "suffix_match": (suffix_match, SQL_SUFFIX),
     "test_run_counts": (test_run_counts, "SELECT l_orderkey AS doc, count(*) FILTER (WHERE l_returnflag = 'N') AS passed, count(*) FILTER (WHERE l_returnflag = 'R') AS failed, count(*) FILTER (WHERE l_returnflag = 'A') AS skipped FROM lineitem GROUP BY 1"),
+    "failure_blocks": (failure_blocks, SQL_BLOCKS),
+    "listing_folders": (listing_folders, SQL_FOLDERS),
+    "tree_paths": (tree_paths, SQL_TREE),
     "package_operations": (package_operations, SQL_PACKAGES),
     "resource_states": (resource_states, "SELECT user_id AS doc, upper(event_type[1]) || lower(event_type[2:]) AS status, count(*) AS resources FROM events GROUP BY 1, 2"),
 }
