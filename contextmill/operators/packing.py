@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,10 +40,75 @@ def best_within(rows: DataFrame, order: list[Column], budget: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long")).withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= budget)
 
 
+class _Room:
+    """The most tokens that a row may still have to be taken, after the rows seen of its pack.
+
+    A row of t tokens is taken only while t are left, so every row before it with t or fewer was taken as well. Hence it
+    can't be once those and t itself exceed the budget. The bound only falls: rows above it neither pass nor count.
+    """
+
+    def __init__(self, budget: int):
+        self.budget, self.most, self.total, self.held = budget, budget, 0, []
+
+    def passes(self, t: int) -> bool:
+        if t > self.most:
+            return False
+        if t:  # held rows have at least one token each and fit the budget together
+            heappush(self.held, -t)
+            self.total += t
+            while self.total + self.most > self.budget:
+                left = self.budget - self.total
+                self.most = left if left >= -self.held[0] else -self.held[0] - 1
+                while self.held and -self.held[0] > self.most:
+                    self.total += heappop(self.held)
+        return True
+
+
+def _possible(keys: int, least: int, budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Drops rows that can't be taken, of tables sorted by their first columns (keys) and the packs' order; least: the place of the column of smallest tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, room = None, _Room(budget)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = batch.column(least).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = [pc.dictionary_encode(batch.column(k), null_encoding="encode").indices.to_numpy() for k in range(keys)]
+            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in codes])) + 1
+            starts, ends = np.append(0, cuts), np.append(cuts, len(t))
+            keep = np.ones(len(t), bool)
+            whole = np.add.reduceat(t, starts) <= budget  # such a pack has room for all its rows
+            whole[[0, -1]] = False  # these may go on in another batch
+            for a, b in zip(starts[~whole].tolist(), ends[~whole].tolist(), strict=True):
+                key = tuple(batch.column(k)[a].as_py() for k in range(keys))
+                if key != last:
+                    last, room = key, _Room(budget)
+                for s in range(a, b, 1024):
+                    part = t[s : min(b, s + 1024)]
+                    low = np.flatnonzero(part <= room.most)
+                    own = np.zeros(len(part), bool)
+                    own[low] = [room.passes(x) for x in part[low].tolist()]
+                    keep[s : s + len(part)] = own
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def possible(rows: DataFrame, pack: list[str], order: list[str], least: str, budget: int) -> DataFrame:
+    """rows (pack's columns first) without those that no fold along each pack's order can take; without an exchange.
+
+    Each task looks at its own rows of a pack, whichever they are, and leaves of them at most ``budget * (1 + ln(budget))``
+    with tokens, and those without any. Memory of a task: ``budget`` numbers. So a pack of any size is worked on by all
+    tasks that hold rows of it, and what is folded afterwards grows with their number alone.
+    """
+    return rows.sortWithinPartitions(*pack, *order).mapInArrow(_possible(len(pack), rows.columns.index(least), budget), rows.schema)
+
+
 def greedy_skip(ranked: DataFrame, budget: int, pack: list[str]) -> DataFrame:
-    """(pack, rank, used) of the rows that fit when rows that overflow are passed over. A pack is one ordered fold.
+    """(pack, rank, used) of the rows that fit when rows that overflow are passed over. ranked: pack, rank, tokens.
 
-    Rows that do not fit alone can never be taken and take no part.
+    Rows that can't be taken go where they are (``possible``); the others of a pack are one ordered fold. Tokens are not
+    negative; rows with null tokens are never taken; of rows with the same rank those with fewer tokens come first.
     """
 
     def step(used: list[int], row: tuple) -> tuple | None:
@@ -49,24 +118,28 @@ def greedy_skip(ranked: DataFrame, budget: int, pack: list[str]) -> DataFrame:
         return row[0], used[0]
 
     rows = ranked.where(F.col("tokens") <= budget).select(*pack, F.col("rank").cast("long").alias("rank"), F.col("tokens").cast("long").alias("tokens"))
-    return folds.ordered_fold(rows, pack, ["rank"], lambda: [0], step, "rank long, used long")
+    rows = possible(rows, pack, ["rank", "tokens"], "tokens", budget)
+    return folds.ordered_fold(rows, pack, ["rank", "tokens"], lambda: [0], step, "rank long, used long")
 
 
 def best_tiers(ranked: DataFrame, budget: int, pack: list[str]) -> DataFrame:
     """(pack, rank, tier, tokens, used): each row in turn takes its most detailed tier that still fits, or none.
 
-    ranked: rank, tiers (array of tokens, most detailed first). tier counts from 0.
+    ranked: pack, rank, tiers (array of tokens, most detailed first). tier counts from 0. As for ``greedy_skip``, rows
+    whose smallest tier can't fit any more go before the fold; null tiers never fit; of rows with the same rank the
+    smaller array comes first.
     """
 
     def step(used: list[int], row: tuple) -> tuple | None:
-        tier = next((k for k, t in enumerate(row[1]) if used[0] + t <= budget), None)
+        tier = next((k for k, t in enumerate(row[1]) if t is not None and used[0] + t <= budget), None)
         if tier is None:
             return None
         used[0] += row[1][tier]
         return row[0], tier, row[1][tier], used[0]
 
-    rows = ranked.select(*pack, F.col("rank").cast("long").alias("rank"), F.col("tiers").cast("array<bigint>").alias("tiers")).where(F.array_min("tiers") <= budget)
-    return folds.ordered_fold(rows, pack, ["rank"], lambda: [0], step, "rank long, tier int, tokens long, used long")
+    rows = ranked.select(*pack, F.col("rank").cast("long").alias("rank"), F.col("tiers").cast("array<bigint>").alias("tiers"), F.array_min(F.col("tiers").cast("array<bigint>")).alias("least")).where(F.col("least") <= budget)
+    rows = possible(rows, pack, ["rank", "tiers"], "least", budget).drop("least")
+    return folds.ordered_fold(rows, pack, ["rank", "tiers"], lambda: [0], step, "rank long, tier int, tokens long, used long")
 
 
 def progressive(ranked: DataFrame, budget: int, pack: str, rounds: int = 1) -> DataFrame:
