@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextmill.llm.components import components
@@ -187,10 +187,28 @@ def _prefix_rows(shared: object):
     return run
 
 
+def band(n: Column) -> Column:
+    """A number that grows with a size: each up to 15 has its own, then eight share a doubling."""
+    shift = F.greatest(F.length(F.bin(n)) - 4, F.lit(0))
+    return shift * 16 + F.call_function("shiftright", n.cast("long"), shift).cast("int")
+
+
+def entered(rows: DataFrame) -> DataFrame:
+    """rows (n, place, ...), once for each band of sizes in which a partner may be if their first common element is this one.
+
+    A partner has ``least`` elements or more by the sizes' ratio, and at most ``most`` by what this row has left from its place on.
+    """
+    least = F.floor((F.col("n") * PERCENT + 99) / 100)
+    most = F.floor((F.col("n") * 100 - F.col("place") * (100 + PERCENT)) / PERCENT)
+    return rows.where(least <= most).withColumn("band", F.explode(F.sequence(band(least), band(most))))
+
+
 def candidates(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(a, b): pairs of members (rep, component, text) of different components that may reach the threshold; none that does is missing.
 
     An exact prefix-filter join: the rarest quarter of each member's shingles is joined, with length and positional filters.
+    The join's key is an element and a band of sizes, and a member meets only the bands that its place leaves open: members
+    that share a frequent element but too little besides meet nobody there.
     """
     tallied = members.select("text").mapInArrow(_tallies, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
     tallies = np.zeros(COUNTERS, np.int64)
@@ -201,8 +219,8 @@ def candidates(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     held = rows.groupBy("element", "component").agg(F.count(F.lit(1)).alias("n"))
     most = held.groupBy("element").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("element", "most")
     mixed = scratch.save(rows.join(most, "element"), f"{name}-postings")  # written, so that Spark can split the join with a frequent element
-    x, y = (mixed.select("element", "most", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "n", "place"))) for k in "ab")
-    met = x.where("component_a <> most").drop("most").join(y.drop("most"), "element").where("component_a <> component_b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    x, y = (df.select("element", "most", "band", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "n", "place"))) for df, k in ((entered(mixed.where("component <> most")), "a"), (mixed.withColumn("band", band(F.col("n"))), "b")))
+    met = x.drop("most").join(y.drop("most"), ["element", "band"]).where("component_a <> component_b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
     # a pair's first common element has all of them at its place or after it, so one of the pair's elements passes this
     met = met.where(f"{100 + PERCENT} * least(n_a - place_a, n_b - place_b) >= {PERCENT} * (n_a + n_b)")
     return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()

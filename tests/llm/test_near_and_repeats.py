@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from contextmill.llm import oph, runs, setsketch
 from contextmill.llm.scratch import Scratch
@@ -91,6 +92,29 @@ def test_candidates_are_all_links_and_few_others(spark):
     assert want and want <= got and len(got) < 3 * len(want)
 
 
+def test_bands_of_sizes_lose_no_pair(spark):
+    """Every partner that the filters let through stands in a band that is entered; a place after too many elements enters none."""
+    sizes = [*range(1, 70), 127, 128, 129, 1000, 4095, 4096]
+    bands = dict(spark.createDataFrame([(n,) for n in sizes], "n long").select("n", setsketch.band(F.col("n"))).collect())
+    assert [bands[n] for n in sizes] == sorted(bands.values())
+    rows = [(n, k) for n in sizes for k in range(n - -(-n * 75 // 100) + 1)]
+    into = defaultdict(set)
+    for n, k, b in setsketch.entered(spark.createDataFrame(rows, "n long, place long")).select("n", "place", "band").collect():
+        into[n, k].add(b)
+    for n, k in rows:
+        for m in sizes:
+            if 100 * min(n, m) >= 75 * max(n, m) and 175 * (n - k) >= 75 * (n + m):
+                assert bands[m] in into[n, k], (n, k, m)
+    assert not any(bands[n] in into[n, k] for n, k in rows if n >= 127 and 5 * k > n)
+
+
+def test_members_that_share_too_much_to_be_apart_and_too_little_to_be_linked(spark):
+    """20,000 members with 150 of 200 shingles in common: every frequent element stands late in each, so none meets another."""
+    rows = spark.range(20_000).select(F.col("id").alias("rep"), F.col("id").alias("component"), F.lit(200).cast("long").alias("n"), F.lit(50).cast("long").alias("place"))
+    sizes = {r[0] for r in rows.select(setsketch.band(F.col("n"))).distinct().collect()}
+    assert not sizes & {r[0] for r in setsketch.entered(rows).select("band").distinct().collect()}
+
+
 def test_rows_that_share_a_doc_id_are_one_document_however_they_are_dealt(spark):
     rng = random.Random(3)
     a, b = (" ".join(f"{k}{rng.randrange(50)}" for _ in range(40)) for k in "ab")
