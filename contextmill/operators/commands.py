@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -179,10 +179,41 @@ def log_keys(records: DataFrame, share: float = 0.8) -> DataFrame:
     return kept.select("key", "records", F.row_number().over(W.orderBy("at")).cast("long").alias("place"))  # some tens of keys
 
 
+# fixed values: the keys that hold a record's level, the first that is there counts, and levels from the most severe on
+LEVEL_KEYS = ("level", "lvl", "severity", "@level", "log.level")
+LEVELS = ("fatal", "error", "warn", "warning", "info", "debug", "trace")
+
+
+def _log_level() -> Column:
+    return F.lower(F.coalesce(*[F.get_json_object("line", f"$['{k}']") for k in LEVEL_KEYS], F.lit("none")))
+
+
 def log_levels(records: DataFrame) -> DataFrame:
     """(level, records) of lines (i, line), other levels as they are, without one ``none``."""
-    level = F.lower(F.coalesce(*[F.get_json_object("line", f"$['{k}']") for k in ("level", "lvl", "severity", "@level", "log.level")], F.lit("none")))
-    return records.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("records"))
+    return records.groupBy(_log_level().alias("level")).agg(F.count(F.lit(1)).alias("records"))
+
+
+def log_rows(records: DataFrame, most: int = 30, outliers: int = 8, share: float = 0.8, width: int = 200) -> DataFrame:
+    """(kind, place, i, level, line) of the report on lines (i, line): the most severe records, the latest first, and the first lines that are none.
+
+    A record is a JSON object with every key of ``log_keys``; other levels, and none, come after the known ones. Outliers are
+    first the lines that are no object, then objects that lack a key; without any common key all objects are outliers
+    and other lines are left out. Null and blank lines are no lines. Lines are cut to ``width`` characters, the last three of
+    them points. The limits are the report's: each task passes on its own first rows, and no record is sorted twice.
+    """
+    lines = records.select("i", F.trim("line").alias("line")).where("line <> ''")
+    common = log_keys(lines, share).agg(F.collect_list("key").alias("common"))  # one row of some tens of keys
+    parted = lines.withColumn("keys", F.json_object_keys("line")).crossJoin(F.broadcast(common))
+    whole = F.col("keys").isNotNull() & (F.size("common") > 0) & (F.size(F.array_except("common", "keys")) == 0)
+    level = _log_level()
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LEVELS]), level), F.lit(0))
+    rank = F.when(rank == 0, 99).otherwise(rank)
+    clipped = F.when(F.length("line") > width, F.concat(F.substring("line", 1, width - 3), F.lit("..."))).otherwise(F.col("line"))
+    rows = parted.select("i", F.when(F.col("keys").isNotNull(), level).alias("level"), clipped.alias("line"), rank.alias("rank"), F.coalesce(whole, F.lit(False)).alias("whole"), F.col("keys").isNotNull().alias("object"), (F.size("common") > 0).alias("any"))
+    body = rows.where("whole").orderBy("rank", F.desc("i")).limit(most).withColumn("place", F.row_number().over(W.orderBy("rank", F.desc("i"))))
+    rest = rows.where("not whole and (any or object)").orderBy("object", "i").limit(outliers).withColumn("place", F.row_number().over(W.orderBy("object", "i")))
+    out = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("place").cast("long").alias("place"), "i", "level", "line")
+    return out(body, "record").unionByName(out(rest, "outlier"))
 
 
 def coverage(rows: DataFrame) -> DataFrame:

@@ -43,6 +43,12 @@ _SQL_LOG = """log AS (SELECT event_id AS i, CASE WHEN event_id % 9 = 0 THEN 'pla
 SQL_KEYS = f"""WITH {_SQL_LOG}, k AS (SELECT i, json_keys(line) AS ks FROM log WHERE json_valid(line)), e AS (SELECT i, unnest(ks) AS key, unnest(range(len(ks))) AS pos FROM k), g AS (SELECT key, count(DISTINCT i) AS records, min((i, pos)) AS spot FROM e GROUP BY key)
 SELECT key, records, row_number() OVER (ORDER BY spot) AS place FROM g WHERE records >= greatest(1, floor(0.8 * (SELECT count(*) FROM k)))"""
 
+SQL_LOG_ROWS = f"""WITH {_SQL_LOG}, k AS (SELECT i, json_keys(line) AS ks FROM log WHERE json_valid(line)), e AS (SELECT unnest(ks) AS key FROM k), c AS (SELECT key FROM e GROUP BY key HAVING count(*) >= greatest(1, floor(0.8 * (SELECT count(*) FROM k)))),
+ r AS (SELECT log.i, line, ks, CASE WHEN ks IS NOT NULL THEN lower(coalesce(line::JSON->>'level', 'none')) END AS level, ks IS NOT NULL AND list_has_all(ks, (SELECT list(key) FROM c)) AS whole FROM log LEFT JOIN k ON log.i = k.i),
+ p AS (SELECT *, CASE level WHEN 'fatal' THEN 1 WHEN 'error' THEN 2 WHEN 'warn' THEN 3 WHEN 'warning' THEN 4 WHEN 'info' THEN 5 WHEN 'debug' THEN 6 WHEN 'trace' THEN 7 ELSE 99 END AS sev FROM r)
+SELECT 'record' AS kind, row_number() OVER (ORDER BY sev, i DESC) AS place, i, level, line FROM p WHERE whole QUALIFY place <= 30
+UNION ALL SELECT 'outlier', row_number() OVER (ORDER BY ks IS NOT NULL, i) AS place, i, level, line FROM p WHERE NOT whole QUALIFY place <= 8"""
+
 
 def profiler_stacks(spark: SparkSession, d: str) -> DataFrame:
     line, part = B.table(spark, d, "lineitem"), B.table(spark, d, "part")
@@ -161,6 +167,7 @@ QUERIES = {
     "skeleton_cluster": (skeleton_cluster, """SELECT 'user ' || CASE WHEN user_id >= 10 THEN '<n>' ELSE CAST(user_id AS VARCHAR) END || ' got ''<s>'' in <f> s' AS skeleton, count(*) AS items, min(event_id) AS first FROM events GROUP BY 1"""),
     "json_log_schema": (lambda s, d: C.log_keys(_log(s, d)), SQL_KEYS),
     "json_log_levels": (lambda s, d: C.log_levels(_log(s, d)), f"WITH {_SQL_LOG} SELECT lower(CASE WHEN json_valid(line) THEN coalesce(line::JSON->>'level', 'none') ELSE 'none' END) AS level, count(*) AS records FROM log GROUP BY 1"),
+    "json_log_rows": (lambda s, d: C.log_rows(_log(s, d)), SQL_LOG_ROWS),
     "profiler_stacks": (profiler_stacks, "WITH s AS (SELECT p_type || ';' || p_brand || ';' || p_name AS stack, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS samples FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT stack, samples, 3::BIGINT AS depth, round(100 * samples::DOUBLE / (SELECT sum(samples) FROM s), 4) AS share FROM s"),
     "kube_event_groups": (kube_event_groups, SQL_KUBE),
     "lint_counts": (lint_counts, f"WITH {_SQL_LINT} SELECT path, code, 'error' AS severity, count(*) AS issues, CAST(sum(line_no) AS BIGINT) AS line_numbers FROM i GROUP BY 1, 2"),

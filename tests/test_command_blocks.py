@@ -1,7 +1,9 @@
 """Failure blocks, recursive listings and tree listings of command output."""
 
+import json
 import random
 
+from contextmill.operators import commands
 from contextmill.operators import reports as R
 
 PYTEST = """=== test session starts ===
@@ -62,3 +64,25 @@ def test_trees_are_rebuilt(spark):
     got = R.tree_paths(outputs(spark, *(".\n" + "\n".join(t) + "\n\n3 directories, 4 files\nafter" for t in texts), "", None)).orderBy("doc", "pos").collect()
     assert [(r.doc, r.path) for r in got] == [(i, p) for i, paths in enumerate(wanted) for p in paths]
     assert all(r.depth == r.path.count("/") + 1 for r in got)
+
+
+def test_log_rows_by_severity_and_what_is_no_record(spark):
+    rng = random.Random(4)
+    texts = []
+    for k in range(400):
+        kind = rng.random()
+        level = rng.choice(["info", "debug", "ERROR", "Fatal", "warn", "odd", None])
+        texts.append("plain" if kind < 0.05 else "[1]" if kind < 0.07 else " " if kind < 0.09 else json.dumps({"n": k} if kind < 0.12 else {"n": k, "severity": level} | ({"more": "x" * 300} if kind < 0.3 else {})))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(400, None)]
+    parsed = [(k, t, json.loads(t)) for k, t in rows if t and t.startswith("{")]
+    ranks = {x: n for n, x in enumerate(("fatal", "error", "warn", "warning", "info", "debug", "trace"))}
+    level = lambda o: (o.get("severity") or "none").lower()
+    clip = lambda t: t if len(t) <= 200 else t[:197] + "..."
+    body = sorted(((ranks.get(level(o), 99), -k, level(o), clip(t)) for k, t, o in parsed if "severity" in o))[:30]
+    rest = [(k, None, t) for k, t in rows if t in ("plain", "[1]")] + [(k, level(o), clip(t)) for k, t, o in parsed if "severity" not in o]
+    want = [("record", n, -k, lv, t) for n, (_, k, lv, t) in enumerate(body, 1)] + [("outlier", n, *x) for n, x in enumerate(rest[:60], 1)]
+    table = spark.createDataFrame(rows, "i long, line string").repartition(5)
+    assert sorted(tuple(r) for r in commands.log_rows(table, outliers=60).collect()) == sorted(want)
+    assert commands.log_rows(table.where("false")).count() == 0
+    apart = spark.createDataFrame([(k, json.dumps({f"k{k}": 1})) for k in range(9)] + [(9, "x")], "i long, line string")
+    assert [(r.kind, r.i) for r in commands.log_rows(apart).orderBy("place").collect()] == [("outlier", k) for k in range(8)]
