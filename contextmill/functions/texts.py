@@ -124,3 +124,27 @@ def shortened_blocks(text: Column, most: int = 7, keep: int = 3) -> Column:
         return F.when(s["open"] & ~closes, F.struct(s["out"].alias("out"), F.concat(s["held"], F.array(line)).alias("held"), s["indent"].alias("indent"), F.lit(True).alias("open"))).otherwise(ended)
 
     return F.aggregate(F.split(text, "\n"), start, step, lambda s: F.array_join(F.concat(s["out"], s["held"]), "\n"))
+
+
+def boilerplate(lines: Column) -> Column:
+    """How many of a file's first lines say nothing of it: an interpreter or encoding line, a block comment, three or more
+    lines of ``#`` comments, a quoted text before any code, in this order, and blank lines around them. Null: null."""
+    quotes = ('"""', "'''")
+
+    def step(a: Column, line: Column) -> Column:
+        text = F.btrim(line, F.lit(" \t\r\n\f\x0b"))
+        at, n, marks = a["at"], a["n"], a["marks"]
+        to = lambda where, skipped, marked=None: F.struct(F.lit(where).alias("at") if isinstance(where, int) else where.alias("at"), skipped.alias("n"), (F.lit(0) if marked is None else marked).alias("marks"))
+        blank, closed = text == "", F.when(line.contains("*/"), 3).otherwise(2)
+        whole = lambda q: text.startswith(q) & text.endswith(q) & (F.length(text) >= 6)
+        # at: 0 and 1 before comments, 2 in a block comment, 3 in comments, 4 after them, 5 and 7 in a quoted text, 6 after it, 9 in the file's own lines
+        out = F.when(at == 9, a).when((at == 0) & text.rlike(r"^(?:#!|# -\*-|# coding)"), to(0, n + 1)).when((at <= 1) & blank, to(1, n + 1))
+        out = out.when(((at <= 1) & text.startswith("/*")) | (at == 2), to(closed, n + 1)).when((at <= 3) & text.startswith("#"), to(3, n, marks + 1))
+        out = out.when((marks > 0) & (marks < 3), to(9, n)).when((at <= 4) & blank, to(4, n + marks + 1))
+        for place, q in zip((5, 7), quotes, strict=True):
+            out = out.when((at <= 4) & whole(q), to(6, n + marks + 1)).when((at <= 4) & text.startswith(q), to(place, n + marks + 1))
+            out = out.when(at == place, to(F.when(line.contains(q), 6).otherwise(place), n + 1))
+        return out.when((at == 6) & blank, to(6, n + 1)).otherwise(to(9, n + marks))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("marks"))
+    return F.aggregate(lines, start, step, lambda a: a["n"] + F.when(a["marks"] >= 3, a["marks"]).otherwise(0))

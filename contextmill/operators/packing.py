@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from contextmill.functions import scalar as S
+from contextmill.functions import texts as X
 from contextmill.operators import folds
 
 
@@ -205,14 +206,14 @@ def tier_texts(files: DataFrame, keys: list[str], full_tokens: int = 300, least_
     """(path, place, tier, tokens): the forms in which a file (path, text, score) may be packed, most detailed first.
 
     full up to 300 tokens; snippet (lines with a keyword and those beside them) from a score of 2.5; always the summary
-    (first lines that are not blank), of one token at least.
+    (first lines that are not blank, after the file's boilerplate), of one token at least.
     """
     rows = files.select("path", "score", "text", F.split("text", "\n").alias("lines"))
     pattern = "|".join(keys)
     found = F.slice(F.filter(F.transform("lines", lambda x, i: F.when(F.lower(x).rlike(pattern), i)), lambda i: i.isNotNull()), 1, hits)
-    rows = rows.withColumn("hits", found)
+    rows = rows.withColumn("hits", found).withColumn("skipped", X.boilerplate(F.col("lines")))
     snippet = F.array_join(F.filter("lines", lambda x, i: F.exists("hits", lambda h: F.abs(h - i) <= 1)), "\n")
-    summary = F.array_join(F.slice(F.filter("lines", lambda x: F.trim(x) != ""), 1, summary_lines), "\n")
+    summary = F.array_join(F.slice(F.filter(F.filter("lines", lambda x, i: i >= F.col("skipped")), lambda x: F.trim(x) != ""), 1, summary_lines), "\n")
     tier = lambda place, name, text, when, least=0: F.when(when, F.struct(F.lit(place).cast("long").alias("place"), F.lit(name).alias("tier"), F.greatest(S.tokens(text), F.lit(least)).cast("long").alias("tokens")))
     forms = F.array_compact(F.array(tier(0, "full", F.col("text"), S.tokens(F.col("text")) <= full_tokens), tier(1, "snippet", snippet, (F.col("score") >= least_score) & (F.size("hits") > 0)), tier(2, "summary", summary, F.lit(True), 1)))
     return rows.select("path", F.explode(forms).alias("f")).select("path", "f.*")
