@@ -54,6 +54,23 @@ def test_paths_are_normalised(spark):
     assert [r.n for r in rows.select("i", imports.normalised(F.col("p")).alias("n")).orderBy("i").collect()] == ["a/b", "b", None, "c", None, "a/b", ""]
 
 
+def _plan(df):
+    """The plan as first made, before any of it has run."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _small_tree(spark):
+    files = spark.createDataFrame([("r", f"p/m{i}.py", "import p.m1") for i in range(3)] + [("r", f"g{i % 2}/x{i}.go", 'import "o/g1"\nimport "o/g0"') for i in range(4)], "repo string, path string, text string")
+    return imports.specs_of(files), files.select("repo", "path")
+
+
+def test_pairs_of_a_package_are_not_shuffled(spark):
+    pairs = imports.package_targets(*_small_tree(spark))
+    plan = _plan(pairs)
+    assert plan.split("SortMergeJoin")[0].count("Exchange") == 0 and "Broadcast" not in plan
+    assert sorted((r.src, r.dst) for r in pairs.collect()) == sorted((f"g{k}/x{i}.go", f"g{1 - k}/x{j}.go") for k in (0, 1) for i in (k, k + 2) for j in (1 - k, 3 - k))
+
+
 CODE = """import x
 
 
