@@ -71,6 +71,11 @@ def test_pairs_of_a_package_are_not_shuffled(spark):
     assert sorted((r.src, r.dst) for r in pairs.collect()) == sorted((f"g{k}/x{i}.go", f"g{1 - k}/x{j}.go") for k in (0, 1) for i in (k, k + 2) for j in (1 - k, 3 - k))
 
 
+def test_modules_of_all_files_are_not_broadcast(spark):
+    targets = imports.module_targets(*_small_tree(spark))
+    assert "Broadcast" not in _plan(targets) and {r.src for r in targets.collect()} == {"p/m0.py", "p/m2.py"}
+
+
 CODE = """import x
 
 
