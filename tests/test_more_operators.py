@@ -76,6 +76,20 @@ def test_modules_of_all_files_are_not_broadcast(spark):
     assert "Broadcast" not in _plan(targets) and {r.src for r in targets.collect()} == {"p/m0.py", "p/m2.py"}
 
 
+def test_long_ways_up_are_normalised_too(spark):
+    paths = ["a/b/c/d/../../../../e", "a/../b/../../c", "./../a", "a/b/../..", "/", "a/..b/...", "../../a/..", "a/./../b/.", "..", "//a/.//b/..", "x/a/b/c/../../../../../y"]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
+    assert [r.n for r in rows.select("i", imports.normalised(F.col("p")).alias("n")).orderBy("i").collect()] == ["e", None, None, "", "", "a/..b/...", None, "b", None, "a", None]
+
+
+def test_script_turns_are_tried_from_the_files(spark):
+    names = ["w/a.ts.js", "w/a.ts", "w/b.mjs", "w/b.cjs", "w/b/index.cjs", "w/c/index.tsx", "w/c/index.jsx", "w/D.TS", "index.js"]
+    files = spark.createDataFrame([("r", p) for p in names], "repo string, path string")
+    specs = spark.createDataFrame([("r", "w/x.ts", s) for s in ("./a", "./a.ts", "./a.ts.js", "./b", "./c", "./c/index", "./D", "./D.TS", "/", "./x")], "repo string, src string, spec string")
+    found = lambda only: {r.dst for r in imports.relative_targets(specs.where(F.col("spec") == only), files).collect()}
+    assert [found(s) for s in ("./a", "./a.ts", "./a.ts.js", "./b", "./c", "./c/index", "./D", "./D.TS", "/", "./x")] == [{"w/a.ts"}, {"w/a.ts"}, {"w/a.ts.js"}, {"w/b.cjs"}, {"w/c/index.jsx"}, {"w/c/index.jsx"}, set(), set(), set(), set()]
+
+
 CODE = """import x
 
 
