@@ -238,41 +238,52 @@ def plan_nodes(outputs: DataFrame) -> DataFrame:
     """
     plain = r"^(\s*)(?:->\s*)?([A-Z][A-Za-z][\w \-/]*?)(?:\s+(?:on|using)\s+(\S+).*?)?\s*\(cost=[\d.]+\.\.([\d.]+)\s+rows=(\d+)[^)]*\)(?:\s*\(actual time=[\d.]+\.\.([\d.]+)\s+rows=(\d+)\s+loops=(\d+)\))?"
     tree = r"^(\s*)(?:->\s*)?([A-Z][A-Za-z][\w \-/]*?)(?:\s+(?:on|using)\s+(\S+).*?)?\s*\(cost=([\d.]+)\s+rows=(\d+)\)(?:\s*\(actual time=(?:[\d.]+\.\.)?([\d.]+)\s+rows=(\d+)\s+loops=(\d+)\))?"
-    rows = lines(outputs)
-    get = lambda i: F.coalesce(F.nullif(F.regexp_extract("line", plain, i), F.lit("")), F.nullif(F.regexp_extract("line", tree, i), F.lit("")))
-    out = rows.where(get(2).isNotNull()).select(
-        F.col("doc").alias("plan"), "pos", F.length(F.regexp_extract("line", r"^(\s*)", 1)).alias("depth"), F.trim(get(2)).alias("op"), get(3).alias("relation"), get(4).try_cast("double").alias("cost"), get(5).try_cast("long").alias("rows_estimated"),
-        get(6).try_cast("double").alias("ms"), get(7).try_cast("long").alias("rows"), get(8).try_cast("long").alias("loops"),
+    # each pattern is met once a line: its groups become lines of their own, which no group has within it
+    cells = lambda p: F.split(F.regexp_replace("line", p + r"[\s\S]*", "$2\n$3\n$4\n$5\n$6\n$7\n$8"), "\n")
+    whole = (F.size("plain") == 7) & ~F.array_contains("plain", "")
+    rows = lines(outputs).withColumn("plain", cells(plain)).withColumn("tree", F.when(~whole, cells(tree)))
+    cell = lambda c, i: F.when(F.size(c) == 7, F.nullif(F.get(c, F.lit(i - 2)), F.lit("")))
+    rows = rows.select("doc", "pos", "line", *[F.coalesce(cell("plain", i), cell("tree", i)).alias(f"c{i}") for i in range(2, 9)])
+    return rows.where("c2 is not null").select(
+        F.col("doc").alias("plan"), "pos", F.length(F.regexp_extract("line", r"^(\s*)", 1)).alias("depth"), F.trim("c2").alias("op"), F.col("c3").alias("relation"), F.col("c4").try_cast("double").alias("cost"), F.col("c5").try_cast("long").alias("rows_estimated"),
+        F.col("c6").try_cast("double").alias("ms"), F.col("c7").try_cast("long").alias("rows"), F.col("c8").try_cast("long").alias("loops"),
     )
-    return out
+
+
+def large_scan(least: int = 1000) -> Column:
+    """Whether a node (op, rows) is a whole scan of a table that gave so many rows; null if its rows are not known."""
+    return F.lower("op").rlike(r"^(?:parallel )?(?:seq|table|full) scan") & (F.col("rows") >= least)
 
 
 def plan_warnings(nodes: DataFrame, least: int = 1000) -> DataFrame:
     """(plan, pos, relation, rows): whole scans of tables that gave so many rows."""
-    return nodes.where(F.lower("op").rlike(r"^(?:parallel )?(?:seq|table|full) scan") & (F.col("rows") >= least)).select("plan", "pos", F.coalesce("relation", F.lit("<unknown>")).alias("relation"), "rows")
+    return nodes.where(large_scan(least)).select("plan", "pos", F.coalesce("relation", F.lit("<unknown>")).alias("relation"), "rows")
 
 
-def self_times(nodes: DataFrame) -> DataFrame:
-    """Own time of plan nodes (plan, pos, depth, op, ms, loops): total less the children's, not below 0.
+def self_times(nodes: DataFrame, kept: list[str] | None = None, tasks: int | None = None) -> DataFrame:
+    """Own time of plan nodes (plan, pos, depth, op, ms, loops): total less the children's, not below 0; kept columns follow.
 
-    A node's parent is the nearest earlier one of smaller depth: an ordered fold keeps the nodes that may still have
-    children.
+    A node's parent is the nearest earlier one of smaller depth. So from the last node to the first, an ordered fold keeps
+    the times of those that have no parent yet, by depth: the next node takes all the deeper ones. One exchange by plan is all.
     """
 
-    def step(above: list[tuple[int, int]], row: tuple) -> tuple:
-        pos, depth, op, total = row
-        while above and above[-1][0] >= depth:
-            above.pop()
-        parent = above[-1][1] if above else None
-        above.append((depth, pos))
-        return pos, op, total, parent
-
-    n = nodes.select("plan", F.col("pos").cast("long").alias("pos"), F.col("depth").cast("long").alias("depth"), "op", (F.col("ms") * F.col("loops")).alias("total"))
+    def step(open_: list[tuple], row: tuple) -> tuple:
+        pos, depth, op, total, *rest = row
+        below = 0
+        while open_ and open_[-1][0] > depth:
+            below += open_.pop()[1]
+        mine = total if total is not None else 0
+        if open_ and open_[-1][0] == depth:
+            open_[-1] = (depth, open_[-1][1] + mine)
+        else:
+            open_.append((depth, mine))
+        return pos, op, max(mine - below, 0) if total is not None else 0, *rest
+
+    n = nodes.select("plan", F.col("pos").cast("long").alias("pos"), F.col("depth").cast("long").alias("depth"), "op", (F.col("ms") * F.col("loops")).alias("total"), *(kept or []))
     kind = n.schema["total"].dataType.simpleString()
-    rows = folds.ordered_fold(n, ["plan"], ["pos"], list, step, f"pos long, op string, total {kind}, parent long")
-    mine = rows.select("plan", "pos", F.explode(F.array_compact(F.array(F.struct("op", "total", F.lit(None).cast(kind).alias("below"), F.col("pos").alias("of")), F.when(F.col("parent").isNotNull(), F.struct(F.lit(None).cast("string").alias("op"), F.lit(None).cast(kind).alias("total"), F.col("total").alias("below"), F.col("parent").alias("of")))))).alias("x"))
-    sums = mine.groupBy("plan", F.col("x.of").alias("pos")).agg(F.max("x.op").alias("op"), F.max("x.total").alias("total"), F.sum("x.below").alias("below"))
-    return sums.select("plan", "pos", "op", F.greatest(F.col("total") - F.coalesce("below", F.lit(0)), F.lit(0)).alias("self_ms"))
+    kind = "bigint" if kind in ("tinyint", "smallint", "int") else kind
+    out = ", ".join(["pos long", "op string", f"self_ms {kind}", *(f"{c} {n.schema[c].dataType.simpleString()}" for c in kept or [])])
+    return folds.ordered_fold(n, ["plan"], [F.desc("pos")], list, step, out, tasks)
 
 
 def skeletons(items: DataFrame, rules: list[tuple[str, str]] = S.TRACE_MASKS) -> DataFrame:

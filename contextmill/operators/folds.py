@@ -14,11 +14,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from contextmill.sources.scratch import Scratch
 
 
-def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple | None], out: str) -> DataFrame:
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str | Column], start: Callable[[], object], step: Callable[[object, tuple], tuple | None], out: str, tasks: int | None = None) -> DataFrame:
     """``step(state, row)`` along the rows of each key in order; what it returns, unless None, is a row after the key.
 
     rows has the keys, then the columns that step gets; out names the result's columns after the keys. Rows are dealt and
-    sorted by key and streamed through a task with one state at a time: a long key costs time but no memory.
+    sorted by key and streamed through a task with one state at a time: a long key costs time but no memory. With tasks, so
+    many partitions are dealt, whatever their size.
     """
     n = len(keys)
     schema = T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in keys), *T.StructType.fromDDL(out).fields])
@@ -37,7 +38,7 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Call
             if made:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return rows.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def running(rows: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:

@@ -11,9 +11,15 @@ from contextmill.operators import commands as C
 from contextmill.sources import bindings as B
 
 
-def _outputs(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Texts of lines (doc, line) in order: the captured output of one command a doc."""
-    return rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]), "\n").alias("text"))
+def _outputs(rows: DataFrame, order: list[str], tasks: int | None = None) -> DataFrame:
+    """Texts of lines (doc, line) in order: the captured output of one command a doc.
+
+    Lines are dealt by doc to so many tasks (``B.tasks``). What works on a doc's lines later finds them there and needs no
+    exchange, and a number that is given stays, where small exchanges else become few large tasks. Without it they are dealt
+    by doc already.
+    """
+    dealt = rows.repartition(tasks, "doc") if tasks else rows
+    return dealt.groupBy("doc").agg(F.array_join(F.sort_array(F.collect_list(F.struct(*order, "line")))["line"], "\n").alias("text"))
 
 
 def topk_per_group(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +77,7 @@ def _lint(spark: SparkSession, d: str) -> DataFrame:
     ruff = F.concat(F.lit("src/"), F.lower("p_type"), F.lit(".py:"), F.col("l_quantity").cast("int"), F.lit(":4: E"), (F.col("p_size") + 100), F.lit(" too long"))
     mypy = F.concat(F.lit("src/"), F.lower("p_type"), F.lit(".py:"), F.col("l_quantity").cast("int"), F.lit(": error: bad type  [arg-type]"))
     rows = rows.select(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.when(F.col("l_returnflag") == "R", mypy).otherwise(ruff).alias("line"))
-    return C.lint(_outputs(rows, ["o", "n"]))
+    return C.lint(_outputs(rows, ["o", "n"], B.tasks(spark, d, "lineitem")))
 
 
 _SQL_LINT = """i AS (SELECT l_suppkey AS doc, 'src/' || lower(p_type) || '.py' AS path, CASE WHEN l_returnflag = 'R' THEN 'arg-type' ELSE 'E' || (p_size + 100) END AS code, CAST(l_quantity AS INT) AS line_no, l_orderkey AS o, l_linenumber AS n,
@@ -103,8 +109,8 @@ SELECT path, status, change FROM x WHERE status <> 'moved' OR abs(change) >= 0.5
 
 def explain_self_time(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    n = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan"), F.row_number().over(w).alias("pos"), (F.row_number().over(w) % 3).alias("depth"), F.col("l_returnflag").alias("op"), F.col("l_quantity").cast("long").alias("ms"), F.lit(2).alias("loops"))
-    return C.self_times(n).select("plan", F.col("pos").cast("long").alias("pos"), "op", "self_ms")
+    n = B.table(spark, d, "lineitem").repartition(B.tasks(spark, d, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("plan"), F.row_number().over(w).alias("pos"), (F.row_number().over(w) % 3).alias("depth"), F.col("l_returnflag").alias("op"), F.col("l_quantity").cast("long").alias("ms"), F.lit(2).alias("loops"))
+    return C.self_times(n, tasks=B.tasks(spark, d, "lineitem")).select("plan", F.col("pos").cast("long").alias("pos"), "op", "self_ms")
 
 
 SQL_SELF = """WITH n AS (SELECT l_orderkey AS plan, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos, l_returnflag AS op, CAST(l_quantity AS BIGINT) * 2 AS t FROM lineitem), m AS (SELECT *, pos % 3 AS depth FROM n),
@@ -125,7 +131,7 @@ def _diffs(spark: SparkSession, d: str) -> DataFrame:
     head = line.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("f")).distinct()
     body = line.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("f"), F.col("l_linenumber").alias("n"), F.when(F.col("l_returnflag") == "R", "-old").when(F.col("l_returnflag") == "A", "+new").otherwise("@@ -1 +1 @@").alias("line"))
     heads = head.select("doc", "f", F.lit(-1).alias("n"), F.concat(F.lit("diff --git a/p"), "f", F.lit(".py b/p"), "f", F.lit(".py")).alias("line"))
-    return _outputs(body.union(heads), ["f", "n"])
+    return _outputs(body.union(heads), ["f", "n"], B.tasks(spark, d, "lineitem"))
 
 
 SQL_DIFF = """SELECT l_orderkey AS doc, 'p' || l_partkey || '.py' AS file, count(*) FILTER (WHERE l_returnflag = 'A') AS added, count(*) FILTER (WHERE l_returnflag = 'R') AS removed, count(*) FILTER (WHERE l_returnflag = 'N') AS hunks FROM lineitem GROUP BY 1, 2"""
@@ -134,12 +140,12 @@ SQL_DIFF = """SELECT l_orderkey AS doc, 'p' || l_partkey || '.py' AS file, count
 def git_status_counts(spark: SparkSession, d: str) -> DataFrame:
     code = F.when(F.col("l_returnflag") == "R", " M").when(F.col("l_linestatus") == "O", "A ").otherwise("??")
     rows = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("o"), F.concat(code, F.lit(" f"), "l_orderkey").alias("line"))
-    return C.git_status(_outputs(rows, ["o"]))
+    return C.git_status(_outputs(rows, ["o"], B.tasks(spark, d, "lineitem")))
 
 
 def grep_matches(spark: SparkSession, d: str) -> DataFrame:
     rows = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("f"), F.col("l_orderkey").alias("o"), F.concat(F.lit("src/p"), "l_partkey", F.lit(".py:"), "l_orderkey", F.lit(":use of "), "l_returnflag").alias("line"))
-    return C.grep(_outputs(rows, ["f", "o"])).groupBy("doc", "path").agg(F.max("matches").alias("matches"), F.sum("line_no").alias("line_numbers"))
+    return C.grep(_outputs(rows, ["f", "o"], B.tasks(spark, d, "lineitem"))).groupBy("doc", "path").agg(F.max("matches").alias("matches"), F.sum("line_no").alias("line_numbers"))
 
 
 SQL_GREP = """WITH g AS (SELECT l_suppkey AS doc, l_partkey, l_orderkey, count(*) OVER (PARTITION BY l_suppkey, l_partkey) AS n, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_returnflag) AS k FROM lineitem)

@@ -77,12 +77,12 @@ SELECT asked, path FROM a JOIN p ON path = asked OR ends_with(path, '/' || asked
 def test_run_counts(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(F.lit("--- "), F.when(F.col("l_returnflag") == "R", "FAIL").when(F.col("l_returnflag") == "A", "SKIP").otherwise("PASS"), F.lit(": Test"), F.col("l_partkey"), F.lit(" (0.00s)"))
     rows = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n"), line.alias("line"))
-    return R.test_counts(_outputs(rows, ["n"]), "go")
+    return R.test_counts(_outputs(rows, ["n"], B.tasks(spark, d, "lineitem")), "go")
 
 
 def package_operations(spark: SparkSession, d: str) -> DataFrame:
     line = F.when(F.col("event_type") == "error", F.concat(F.lit("added "), F.col("event_id") % 9 + 1, F.lit(" packages in 2s"))).when(F.col("event_type") == "purchase", "- left-pad").otherwise("Collecting requests")
-    return R.package_operations(_outputs(B.table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("n"), line.alias("line")), ["n"]))
+    return R.package_operations(_outputs(B.table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("n"), line.alias("line")), ["n"], B.tasks(spark, d, "events")))
 
 
 SQL_PACKAGES = """SELECT user_id AS doc, CASE WHEN event_type = 'purchase' THEN 'removed' ELSE 'added' END AS operation, CAST(sum(CASE WHEN event_type = 'error' THEN event_id % 9 + 1 ELSE 1 END) AS BIGINT) AS packages FROM events GROUP BY 1, 2"""
@@ -92,7 +92,7 @@ def resource_states(spark: SparkSession, d: str) -> DataFrame:
     e = B.table(spark, d, "events")
     rows = e.select(F.col("user_id").alias("doc"), F.col("event_id").alias("n"), F.concat(F.lit("pod-"), "event_id", F.lit("   1/1     "), F.initcap("event_type"), F.lit("   0          5d")).alias("line"))
     heads = e.select(F.col("user_id").alias("doc"), F.lit(-1).cast("long").alias("n"), F.lit("NAME    READY   STATUS    RESTARTS   AGE").alias("line")).distinct()
-    return R.resource_states(_outputs(rows.union(heads), ["n"]))
+    return R.resource_states(_outputs(rows.union(heads), ["n"], B.tasks(spark, d, "events")))
 
 
 def failure_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,8 @@ def failure_blocks(spark: SparkSession, d: str) -> DataFrame:
     block = f"concat('=== FAILURES ===\\n____ TestA.test_', {k}, ' ____\\n    def test():\\n>       assert x\\nE       assert ', {k} % 97, '\\nE        + more\\n\\nt/m', {k} % 13, '.py:', {k} % 7 + 1, ': AssertionError\\n')"
     short = f"concat('=== short test summary info ===\\nFAILED t/s.py::TestA::test_', {k}, ' - assert it\\n=== 1 failed in 0.1s ===')"
     text = f"concat('collected\\n', CASE WHEN {k} % 3 = 0 THEN '' ELSE {block} END, CASE WHEN {k} % 5 = 0 THEN '=== 1 failed ===' ELSE {short} END)"
-    return R.merged_failures(B.table(spark, d, "orders").select(F.col(k).alias("doc"), F.expr(text).alias("text")))
+    outputs = B.table(spark, d, "orders").repartition(B.tasks(spark, d, "orders", rows=20_000), k)  # a run has up to twelve lines, which stay where it is
+    return R.merged_failures(outputs.select(F.col(k).alias("doc"), F.expr(text).alias("text")))
 
 
 SQL_BLOCKS = """WITH x AS (SELECT o_orderkey AS doc, o_orderkey % 3 <> 0 AS b, o_orderkey % 5 <> 0 AS s FROM orders)
@@ -113,7 +114,7 @@ def listing_folders(spark: SparkSession, d: str) -> DataFrame:
     """Recursive listings of orders: a folder and a file for each line."""
     line = F.concat(F.lit("./d"), F.col("l_suppkey") % 4, F.lit(":\ntotal 4\n-rw-r--r-- 1 u g "), F.col("l_quantity").cast("long"), F.lit(" Jan 01 00:00 f"), F.col("l_partkey"), F.lit(" x\n"))
     rows = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n"), line.alias("line"))
-    return R.top_folders(R.ls_entries(_outputs(rows, ["n"])), 2, 3)
+    return R.top_folders(R.ls_entries(_outputs(rows, ["n"], B.tasks(spark, d, "lineitem"))), 2, 3)
 
 
 SQL_FOLDERS = """WITH e AS (SELECT l_orderkey AS doc, './d' || l_suppkey % 4 AS folder, 'f' || l_partkey || ' x' AS name FROM lineitem),
@@ -125,7 +126,7 @@ def tree_paths(spark: SparkSession, d: str) -> DataFrame:
     """Tree listings of customers: a folder for each order, below it one for the priority with a file."""
     line = F.concat(F.lit("├── o"), F.col("o_orderkey"), F.lit("\n│   └── p/\n│       └── f"), F.col("o_orderkey") % 10)
     rows = B.table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("n"), line.alias("line"))
-    return R.tree_paths(_outputs(rows, ["n"])).select("doc", "path", "depth")
+    return R.tree_paths(_outputs(rows, ["n"], B.tasks(spark, d, "orders"))).select("doc", "path", "depth")
 
 
 SQL_TREE = """SELECT o_custkey AS doc, unnest(['o' || o_orderkey, 'o' || o_orderkey || '/p', 'o' || o_orderkey || '/p/f' || o_orderkey % 10]) AS path, unnest([1, 2, 3])::BIGINT AS depth FROM orders"""

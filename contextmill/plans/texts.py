@@ -79,7 +79,7 @@ def _diff(spark: SparkSession, d: str, k: int) -> DataFrame:
     line = B.table(spark, d, "lineitem").where(F.col("l_linenumber") % 3 != k)
     head = line.select((F.col("l_orderkey") % 200).alias("doc"), F.col("l_partkey").alias("f")).distinct()
     body = line.select((F.col("l_orderkey") % 200).alias("doc"), F.col("l_partkey").alias("f"), F.col("l_linenumber").alias("n"), F.when(F.col("l_returnflag") == "R", "-old").otherwise("+new").alias("line"))
-    return C.git_diff(_outputs(body.union(head.select("doc", "f", F.lit(-1), F.concat(F.lit("diff --git a/p"), "f", F.lit(" b/p"), "f"))), ["f", "n"]))
+    return C.git_diff(_outputs(body.union(head.select("doc", "f", F.lit(-1), F.concat(F.lit("diff --git a/p"), "f", F.lit(" b/p"), "f"))), ["f", "n"], B.tasks(spark, d, "lineitem")))
 
 
 _SQL_SIDE = "SELECT l_orderkey % 200 AS doc, 'p' || l_partkey AS file, count(*) FILTER (WHERE l_returnflag <> 'R') AS added, count(*) FILTER (WHERE l_returnflag = 'R') AS removed FROM lineitem WHERE l_linenumber % 3 <> {} GROUP BY 1, 2"
@@ -112,7 +112,7 @@ def containers(spark: SparkSession, d: str) -> DataFrame:
     row = "rpad(substr(sha1(cast(s_suppkey AS string)), 1, 12), 17, ' ') || rpad('img:' || s_suppkey % 5, 12, ' ') || rpad('\"run\"', 12, ' ') || rpad(s_suppkey || ' hours ago', 15, ' ') || rpad(CASE WHEN s_suppkey % 3 = 0 THEN 'Exited (0)' ELSE 'Up ' || s_suppkey || ' minutes' END, 22, ' ') || rpad(CASE WHEN s_suppkey % 2 = 0 THEN '80/tcp, 81/tcp' ELSE '' END, 24, ' ') || 'box_' || s_suppkey"
     s = B.table(spark, d, "supplier")
     rows = s.select(F.col("s_nationkey").alias("doc"), F.col("s_suppkey").alias("k"), F.expr(row).alias("line")).union(s.select("s_nationkey", F.lit(-1), F.expr(head)).distinct())
-    return C.containers(_outputs(rows, ["k"]))
+    return C.containers(_outputs(rows, ["k"], B.tasks(spark, d, "supplier")))
 
 
 SQL_CONTAINERS = """SELECT s_nationkey AS doc, substr(sha1(CAST(s_suppkey AS VARCHAR)), 1, 12) AS container, 'img:' || s_suppkey % 5 AS image, s_suppkey || ' hours ago' AS age, CASE WHEN s_suppkey % 3 = 0 THEN 'Exited (0)' ELSE 'Up ' || s_suppkey || ' minutes' END AS status,
@@ -124,7 +124,7 @@ def build_steps(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("doc").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     n = line.withColumn("k", F.row_number().over(w))
     rows = n.select("doc", "k", F.lit(0).alias("j"), F.concat(F.lit("Step "), "k", F.lit("/99 : RUN p"), "l_partkey").alias("line")).union(n.where("l_returnflag = 'A'").select("doc", "k", F.lit(1), F.lit(" ---> Using cache")))
-    return C.build_steps(_outputs(rows, ["k", "j"])).select("doc", F.row_number().over(W.partitionBy("doc").orderBy("pos")).cast("long").alias("step"), "instruction", "cached")
+    return C.build_steps(_outputs(rows, ["k", "j"], B.tasks(spark, d, "lineitem"))).select("doc", F.row_number().over(W.partitionBy("doc").orderBy("pos")).cast("long").alias("step"), "instruction", "cached")
 
 
 SQL_STEPS = "SELECT doc, step, 'RUN p' || l_partkey AS instruction, l_returnflag = 'A' AS cached FROM (SELECT l_orderkey % 300 AS doc, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey % 300 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS step FROM lineitem)"
@@ -142,7 +142,7 @@ CASE c_custkey % 4 WHEN 0 THEN c_custkey ELSE 0 END AS ahead, CASE c_custkey % 4
 def grep_json(spark: SparkSession, d: str) -> DataFrame:
     e = B.table(spark, d, "events")
     event = F.to_json(F.struct(F.when(F.col("event_id") % 4 == 0, "begin").otherwise("match").alias("type"), F.struct(F.struct(F.concat(F.lit("f"), F.col("event_id") % 9).alias("text")).alias("path"), F.struct(F.concat("event_type", F.lit("  \n")).alias("text")).alias("lines"), F.col("event_id").alias("line_number"), F.array(F.struct((F.col("event_id") % 50).alias("start"))).alias("submatches")).alias("data")))
-    return C.grep_json(_outputs(e.select(F.col("user_id").alias("doc"), F.col("event_id").alias("k"), event.alias("line")), ["k"]))
+    return C.grep_json(_outputs(e.select(F.col("user_id").alias("doc"), F.col("event_id").alias("k"), event.alias("line")), ["k"], B.tasks(spark, d, "events")))
 
 
 SQL_JSON = """SELECT doc, path, line_no, col AS "column", text, matches FROM (SELECT user_id AS doc, 'f' || event_id % 9 AS path, event_id AS line_no, event_id % 50 + 1 AS col, event_type AS text, count(*) OVER (PARTITION BY user_id, event_id % 9) AS matches, row_number() OVER (PARTITION BY user_id, event_id % 9 ORDER BY event_id) AS k FROM events WHERE event_id % 4 <> 0) WHERE k <= 3"""
@@ -150,12 +150,13 @@ SQL_JSON = """SELECT doc, path, line_no, col AS "column", text, matches FROM (SE
 
 def plan_texts(spark: SparkSession, d: str) -> DataFrame:
     """Own times of plans in text form: an operator a line, deeper ones indented."""
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    n = B.table(spark, d, "lineitem").withColumn("k", F.row_number().over(w))
+    w = W.partitionBy("doc").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    tasks = B.tasks(spark, d, "lineitem")
+    n = B.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "doc").repartition(tasks, "doc").withColumn("k", F.row_number().over(w))
     line = "concat(repeat('  ', k % 3), '->  ', CASE l_returnflag WHEN 'R' THEN 'Seq Scan' WHEN 'A' THEN 'Hash Join' ELSE 'Index Scan' END, ' on t', l_partkey, '  (cost=0.00..', l_suppkey, '.50 rows=', l_partkey, ' width=8) (actual time=0.1..', cast(l_quantity as bigint), '.000 rows=', l_partkey * 20, ' loops=2)')"
-    text = _outputs(n.select(F.col("l_orderkey").alias("doc"), "k", F.expr(line).alias("line")), ["k"])
-    nodes = C.plan_nodes(text)
-    return C.self_times(nodes).join(C.plan_warnings(nodes).select("plan", "pos", F.col("rows").alias("scanned")), ["plan", "pos"], "left").select("plan", F.col("pos").cast("long").alias("pos"), "op", F.round("self_ms", 3).alias("self_ms"), F.coalesce("scanned", F.lit(0)).alias("scanned"))
+    text = _outputs(n.select("doc", "k", F.expr(line).alias("line")), ["k"])
+    own = C.self_times(C.plan_nodes(text), ["rows"], tasks)
+    return own.select("plan", "pos", "op", F.round("self_ms", 3).alias("self_ms"), F.when(C.large_scan(), F.col("rows")).otherwise(0).alias("scanned"))
 
 
 SQL_PLANS = """WITH n AS (SELECT l_orderkey AS plan, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k, CASE l_returnflag WHEN 'R' THEN 'Seq Scan' WHEN 'A' THEN 'Hash Join' ELSE 'Index Scan' END AS op, CAST(l_quantity AS BIGINT) * 2 AS t, l_partkey * 20 AS r FROM lineitem), m AS (SELECT *, k % 3 AS depth FROM n),
