@@ -133,7 +133,7 @@ def failure_blocks(outputs: DataFrame) -> DataFrame:
     place = r"^(\S+?):(\d+): "
     at = F.when(F.col("line").rlike(place), F.col("pos"))
     told = F.when(F.col("line").rlike(r"^\s*E(?:\s|$)"), F.struct("pos", F.trim(F.regexp_extract("line", r"^\s*E\s*(.*)$", 1)).alias("text")))
-    message = F.array_join(F.transform(F.array_sort(F.collect_list(told)), lambda x: x["text"]), "\n")
+    message = F.array_join(F.sort_array(F.collect_list(told))["text"], "\n")
     found = F.min_by(F.struct(F.regexp_extract("line", place, 1).alias("file"), F.regexp_extract("line", place, 2).cast("long").alias("line")), at)
     return rows.groupBy("doc", "name").agg(found.alias("at"), message.alias("message")).select("doc", "name", "at.file", "at.line", "message")
 
