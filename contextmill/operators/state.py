@@ -69,20 +69,22 @@ def delta_package(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status"), F.when(status.isin("added", "changed"), F.col("new_tokens")).otherwise(F.lit(0)).cast("long").alias("send_tokens")).where("status <> 'same'")
 
 
-def snapshot_choice(calls: DataFrame, key: str, order: list[str]) -> DataFrame:
+def snapshot_choice(calls: DataFrame, key: str, order: list[str], tasks: int | None = None) -> DataFrame:
     """Whether a call's output is shown as a delta against the call before it with the same key.
 
     The delta has the added and removed lines, each as often as it stands; it is taken if line similarity is 0.30 or more and
     its tokens are fewer. The earlier output is the base whether or not a delta was taken. calls: id (of one row each), key,
     text and the order columns; a null text is empty. Lines are counted by call and line, in time linear in the lines.
+    With tasks, calls are dealt to so many partitions by key and then by id, whatever their size.
     """
     w = W.partitionBy(key).orderBy(*order)
     text = F.coalesce("text", F.lit(""))
-    rows = calls.select("id", key, text.alias("text"), F.lag(text).over(w).alias("before")).withColumn("tokens", S.tokens(F.col("text")))
+    number = [tasks] if tasks else []
+    rows = calls.repartition(*number, key).select("id", key, text.alias("text"), F.lag(text).over(w).alias("before")).withColumn("tokens", S.tokens(F.col("text")))
     side = lambda c, now: F.transform(F.split(c, "\n"), lambda x: F.struct(x.alias("line"), F.lit(now).alias("now")))
     both = F.concat(side("text", 1), F.coalesce(side("before", 0), F.array().cast("array<struct<line:string,now:int>>")))
     call = ["id", key, "tokens", "has"]
-    lines = rows.repartition("id").select("id", key, "tokens", F.col("before").isNotNull().alias("has"), F.explode(both).alias("x"))
+    lines = rows.repartition(*number, "id").select("id", key, "tokens", F.col("before").isNotNull().alias("has"), F.explode(both).alias("x"))
     each = lines.groupBy(*call, "x.line").agg(F.sum("x.now").alias("new"), F.count(F.lit(1)).alias("n"))  # dealt by id already
     lone = (F.col("new") == 0) | (F.col("new") == F.col("n"))
     sums = each.groupBy(*call).agg(

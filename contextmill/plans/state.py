@@ -48,9 +48,10 @@ SELECT path, strlen(text)::BIGINT AS size, CASE WHEN doc_id % 11 = 0 THEN 'ignor
 
 
 def snapshot_delta_choice(spark: SparkSession, d: str) -> DataFrame:
-    paths = B.packed(spark, d).groupBy("run").agg(F.array_join(F.array_sort(F.collect_set(F.substring_index("path", "/", 2))), "\n").alias("text"))
+    tasks = B.tasks(spark, d, "lineitem")
+    paths = B.packed(spark, d).select("run", "path").repartition(tasks, "run").groupBy("run").agg(F.array_join(F.array_sort(F.collect_set(F.substring_index("path", "/", 2))), "\n").alias("text"))
     orders = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("repo"), F.col("o_orderdate").alias("ts"))
-    return O.snapshot_choice(paths.join(orders, "run").withColumnRenamed("run", "id"), "repo", ["ts", "id"]).na.fill(-1, ["delta_tokens", "similarity"])
+    return O.snapshot_choice(paths.join(orders, "run").withColumnRenamed("run", "id"), "repo", ["ts", "id"], tasks).na.fill(-1, ["delta_tokens", "similarity"])
 
 
 SQL_CHOICE = f"""WITH {B.SQL_PACKED}, t AS (SELECT run, list_sort(list_distinct(list(split_part(path, '/', 1) || '/' || split_part(path, '/', 2)))) AS now FROM packed GROUP BY run),
