@@ -15,14 +15,14 @@ def test_lines_stay_where_they_were_dealt(spark):
     texts = plans._outputs(rows, ["n"], 7)
     assert texts.rdd.getNumPartitions() == 7 and {r.text for r in texts.collect()} == {"src/p:1:x\nsrc/p:2:x"}
     found = commands.grep(texts)
-    assert found.rdd.getNumPartitions() == 7 and found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and found.rdd.getNumPartitions() == 7  # the plan before it has run
 
 
 def test_own_times_take_one_exchange_and_keep_columns(spark):
     rows = [(1, p, d, f"n{p}", t, 1, 10 * p) for p, (d, t) in enumerate([(0, 100), (2, 40), (4, 15), (2, 30), (1, 20), (3, 5), (3, 50)])] + [(2, 0, 1, "m", None, 1, None)]
     nodes = spark.createDataFrame(rows, "plan int, pos int, depth int, op string, ms int, loops int, rows long")
     own = commands.self_times(nodes, ["rows"], 5)
-    assert own.rdd.getNumPartitions() == 5 and own._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert own._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and own.rdd.getNumPartitions() == 5
     assert {(r.plan, r.op): (r.self_ms, r.rows) for r in own.collect()} == {(1, "n0"): (10, 0), (1, "n1"): (25, 10), (1, "n2"): (15, 20), (1, "n3"): (30, 30), (1, "n4"): (0, 40), (1, "n5"): (5, 50), (1, "n6"): (50, 60), (2, "m"): (0, None)}
 
 
