@@ -1,7 +1,8 @@
 """Exchanges keep the number of tasks that the tables' rows call for, however small they are."""
 
-from contextmill.operators import commands, state
+from contextmill.operators import commands, imports, state
 from contextmill.plans import commands as plans
+from contextmill.plans import imports as import_plans
 from contextmill.sources import bindings as B
 
 
@@ -30,3 +31,18 @@ def test_snapshot_choices_keep_their_tasks(spark):
     calls = spark.createDataFrame([(i, i % 2, "a\nb\nc\nd" + str(i)) for i in range(6)], "id int, key int, text string")
     got = state.snapshot_choice(calls, "key", ["id"], 6)
     assert got.rdd.getNumPartitions() == 6 and got.count() == 6
+
+
+def test_pairs_of_packages_stay_where_they_were_dealt(spark, monkeypatch):
+    monkeypatch.setattr(B, "tasks", lambda *_, **__: 7)
+    pairs = import_plans.import_edges_package(spark, "/root/testdata/sf0.001")
+    assert pairs.rdd.getNumPartitions() == 7 and pairs.count() == pairs.distinct().count() > 0
+
+
+def test_specs_of_packages_are_resolved_once_and_pairs_once(spark):
+    files = [(r, f"g{i % 2}/x{i}.go") for r in "ab" for i in range(4)]
+    specs = spark.createDataFrame([(r, p, s) for r, p in files for s in ("o/g1", "g1", "o/g0", "q")] * 2 + [("c", "g0/x0.go", "o/g1"), (None, "g0/x0.go", "g1")], "repo string, src string, spec string")
+    pairs = imports.package_targets(specs, spark.createDataFrame(files * 2 + [(None, "g1/x1.go")], "repo string, path string"), 7)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.split("\n") if "Generate posexplode" in line and "src" in line] == []  # specs alone are taken apart
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted((r, p, q) for r, p in files for s, q in files if r == s and p[:2] != q[:2])
